@@ -27,7 +27,7 @@ _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 #: A character that can be seen: no white space, separator, control, format or blank-rendering character.
 _VISIBLE = "[^\\s\\p{Z}\\p{Cc}\\p{Cf}\\u034f\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u2800\\u3164\\ufe00-\\ufe0f\\uffa0]"
 _OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-_END = datetime(2500, 1, 1)
+_END = datetime(2200, 1, 1)
 
 ROWS = "session_id string, slice bigint, arrived timestamp, state string, instant bigint, role string, hash bigint, text string"
 SLICES = (
@@ -120,7 +120,9 @@ def run_slices(spark: SparkSession, path: str, slice_minutes: int = 60, with_tex
     )
     mark.write.parquet(f"{base}/mark")
     marks = spark.readStream.schema(ROWS).parquet(f"{base}/mark")
-    rows = message_rows(spark.readStream.schema(schema).parquet(path), slice_minutes, with_text).unionByName(marks)
+    # a pattern, as the stream takes a plain path for a folder only
+    items = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    rows = message_rows(items, slice_minutes, with_text).unionByName(marks)
     query = (
         closed_slices(rows)
         .writeStream.format("parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import conversations, splitting, truncation
+from loomlog.llm import conversations, language, mixing, packing, splitting, truncation
 from loomlog.sources.tables import table
 
 
@@ -44,7 +44,40 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "archive_members")).drop("end_line_no")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_rates, p4_limits, p7_found, p7_pieces)}
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document placed in a container of each kind."""
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Used space of each kind of container."""
+    return packing.fill(p8_packing(spark, folder))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mix with their copies."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label, and of mixed documents."""
+    return language.found(table(spark, folder, "documents"))
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of each segment of each document."""
+    return language.labelled(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_conversations, p4_found, p4_rates, p4_limits, p7_found, p7_pieces, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)
+}
 
 SQL = {
     "p7_found": """SELECT member_id, CAST(i AS BIGINT) AS line_no FROM (

@@ -20,9 +20,12 @@ from loomlog.storage import materialize
 
 #: A limit's length occurs at least so often, and so many times as often as the mean of the WINDOW lengths below it.
 SPIKE_COUNT, SPIKE_RATIO, WINDOW = 8, 8.0, 16
+#: Limits are broadcast up to so many sources; beyond that, and for frequent openers, rows are spread over SALTS parts.
+BROADCAST_SOURCES, SALTS = 10_000, 16
 #: Openers of which at least this share of the sentences lacks a final mark are complete without one.
 UNMARKED_SHARE = 0.5
-#: Identifiers, paths, numbers: any word with a digit, slash, underscore or inner dot.
+#: A last word is usual for an opener from this share of its texts on.
+USUAL_SHARE = 0.02
 _FINAL = r"[.?!:;…。？！」』”’\"')\]}*>|]$"
 _MARKED = r"[.?!…。？！][\"'”’)\]*]*$"
 _PATH = r"(^|\s)[\w.-]+(/[\w.-]+)+\.[A-Za-z0-9]{1,5}$"
@@ -110,10 +113,14 @@ def limits(measured_rows: DataFrame) -> DataFrame:
 def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     """table_name, record_id, source, reason (null: complete) of every text."""
     rows = materialize(measured(texts(lines, items)), "lengths")
-    # a row for each source: the number of sources bounds the broadcast, and Spark checks its size
-    at = limits(rows).select(F.col("source").alias("s"), "rank", "limit_length")
+    at = materialize(limits(rows).select(F.col("source").alias("s"), "rank", "limit_length"), "limits")
+    if at.count() <= BROADCAST_SOURCES:
+        at, salted = F.broadcast(at), F.lit(True)
+    else:  # too many sources to send: spread each over SALTS parts, as one may hold a third of all rows
+        at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)) == F.col("part")
     slack = F.when(F.get(F.array(*(F.lit(k.endswith("bytes")) for k in measures())), F.col("rank")), F.lit(3)).otherwise(F.lit(0))
-    joined = rows.join(at, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
+    joined = rows.join(at, F.col("source").eqNullSafe(F.col("s")) & salted, "left").withColumn(
         "at_limit", F.coalesce(F.get("lengths", F.col("rank")).between(F.col("limit_length") - slack, F.col("limit_length")), F.lit(False))
     )
     word = F.regexp_extract("unit", r"(\S+)$", 1)
@@ -129,19 +136,29 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     openers = facts.where("not at_limit and not open_fence").groupBy("opener").agg(
         F.avg((~F.col("marked")).cast("double")).alias("unmarked"), F.count("*").alias("opened")
     )
-    # which words occur before others or before a final mark: whole words, not parts of one
-    inner = facts.where("not open_fence").select(F.explode(F.split(F.regexp_replace("unit", r"[^\p{L}\p{M}]+", " "), " ")).alias("piece"), F.lit(1).alias("k"))
-    vocabulary = inner.groupBy("piece").agg(F.count("*").alias("seen"))
+    # words that stand before others or before a final mark are whole; the last word of an unmarked text may be a part
+    whole = F.when(F.col("marked"), F.col("unit")).otherwise(F.regexp_replace("unit", r"\S+$", ""))
+    pieces = facts.where("not open_fence").select(F.explode(F.split(F.regexp_replace(whole, r"[^\p{L}\p{M}]+", " "), " ")).alias("piece"))
+    vocabulary = pieces.where("piece <> ''").groupBy("piece").agg(F.count("*").alias("seen"))
 
-    doubtful = facts.where("not marked and not at_limit and not open_fence and not broken_char")
-    doubtful = doubtful.join(openers, "opener", "left").withColumn("tail", F.regexp_extract("last_word", r"([\p{L}\p{M}]+)$", 1)).join(
-        vocabulary, F.col("tail") == F.col("piece"), "left"
+    doubtful = facts.where("not marked and not at_limit and not open_fence and not broken_char").withColumn(
+        "tail", F.regexp_extract("last_word", r"([\p{L}\p{M}]+)$", 1)
     )
+    # a last word that texts with this opener end in again and again is whole too
+    ends = doubtful.groupBy("opener", "tail").agg(F.count("*").alias("ended")).join(openers, "opener", "left")
+    ends = ends.join(vocabulary, F.col("tail") == F.col("piece"), "left").drop("piece")
+    # openers are few and some are frequent: their rows are spread over SALTS parts
+    ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    doubtful = doubtful.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(ends, ["opener", "tail", "part"], "left")
     natural = (F.col("unmarked") >= UNMARKED_SHARE) & (F.col("opened") >= 3)
-    part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= 3)
+    part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= 3) & (F.col("ended") < USUAL_SHARE * F.col("opened"))
     stub = F.col("last_word").rlike(r"[_/(\[{,=-]$")
-    verdict = F.when(F.col("hanging"), "sentence").when(~natural | (natural & stub), F.when(part_of_word | stub, "word").otherwise("sentence")).when(natural & part_of_word & ~F.col("path"), "word")
-    ends = doubtful.select("table_name", "record_id", "source", verdict.alias("reason"))
+    verdict = (
+        F.when(F.col("hanging"), "sentence")
+        .when(~natural | stub, F.when(part_of_word | stub, "word").otherwise("sentence"))
+        .when(part_of_word & ~F.col("path"), "word")
+    )
+    judged_ends = doubtful.select("table_name", "record_id", "source", verdict.alias("reason"))
     half_path = F.col("unit").rlike(r"(^|\s)\w+/\w*_\w*\.$")
     complete = F.col("marked") & ~half_path & ~F.col("unit").rlike(r"[,;:]$") | F.col("path") & F.col("unit").rlike(r"^\S+ \S+$")
     plain = facts.where("marked or at_limit or open_fence or broken_char").select(
@@ -150,7 +167,7 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
         "source",
         F.when(F.col("broken_char"), "character").when(F.col("open_fence"), "block").when(F.col("at_limit") & ~complete, "limit").alias("reason"),
     )
-    return ends.unionByName(plain)
+    return judged_ends.unionByName(plain)
 
 
 def found(lines: DataFrame, items: DataFrame) -> DataFrame:
