@@ -3,7 +3,7 @@
 The largest total is taken at which no source needs more than its allowed repeats.  Every document of a source then has
 the same expected number of copies: a whole part, used as is, and a fraction, drawn by the cube method.  The flight
 moves the fractions of three documents at a time along the null space of the constraints (tokens, documents) until one
-of them is 0 or 1, so both totals stay as expected.  It runs in hashed blocks, each of which leaves at most two open
+of them is 0 or 1, so both totals stay as expected.  It runs in hashed blocks, each of which leaves a few open
 documents; those are flown again together until one block is left, and the landing decides its last few by the error in tokens.
 
 Defined results for odd input: documents without a source or of a source without a target are left out; sources whose
@@ -67,15 +67,13 @@ def landing(tokens: list[int], share: list[float]) -> list[float]:
     return out
 
 
-def _fly(last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id"])
-        tokens = pdf["tokens"].astype(int).tolist()
-        p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING if last else 2)
-        pdf["open"] = landing(tokens, p) if last else p
-        return pdf[["source", "doc_id", "tokens", "expected", "whole", "open"]]
-
-    return run
+def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Flight of one block; the only block of a source lands."""
+    pdf = pdf.sort_values(["tokens", "doc_id"])
+    tokens = pdf["tokens"].astype(int).tolist()
+    p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING)
+    pdf["open"] = landing(tokens, p) if pdf["blocks"].iloc[0] == 1 else p
+    return pdf[["source", "doc_id", "tokens", "expected", "whole", "open"]]
 
 
 def plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
@@ -101,20 +99,17 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     whole = F.floor(F.col("expected") + EPS).cast("int")
     units = units.withColumn("whole", whole).withColumn("open", F.greatest(F.lit(0.0), F.col("expected") - F.col("whole")))
     columns = ["source", "doc_id", "tokens", "expected", "whole", "open"]
-    done, most, salt = [units.where(f"open <= {EPS}").select(columns)], max(blocks.values()), 0
+    done, salt = [units.where(f"open <= {EPS}").select(columns)], 0
     todo = units.where(f"open > {EPS}")
-    while True:
+    while blocks:
         key = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks")).alias("block")
-        flown = todo.select(*columns, key).groupBy("source", "block").applyInPandas(_fly(most == 1), FLOWN)
-        if most == 1:
-            done.append(flown)
-            break
-        flown = materialize(flown, "flown")
+        flown = materialize(todo.select(*columns, "blocks", key).groupBy("source", "block").applyInPandas(_fly, FLOWN), "flown")
         done.append(flown.where("open in (0, 1)"))
-        # at most two open documents of each block go on
-        blocks = {s: -(-2 * n // block) for s, n in blocks.items()}
-        expected = spark.createDataFrame([*blocks.items()], "source string, blocks int")
-        most, salt, todo = max(blocks.values()), salt + 1, flown.where("open not in (0, 1)").join(expected, "source")
+        # at most LANDING open documents of each block go on, where a source has several
+        blocks = {s: -(-LANDING * n // block) for s, n in blocks.items() if n > 1}
+        if blocks:
+            expected = spark.createDataFrame([*blocks.items()], "source string, blocks int")
+            salt, todo = salt + 1, flown.where("open not in (0, 1)").join(expected, "source")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
