@@ -31,9 +31,11 @@ def flight(tokens: list[int], share: list[float], seed: str = "", leave: int = 2
     """Moves shares until at most leave (2 or more) are left between 0 and 1; their sum and the sum of tokens times share stay.
 
     Each step is a martingale: its two ends are drawn so that every expected share stays too."""
-    draw = random.Random(seed).random
+    rng = random.Random(seed)
     p = list(share)
+    # in random order: a large document among small ones could not move, and would be left to the landing
     waiting = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
+    rng.shuffle(waiting)
     hand: list[int] = []
     while True:
         while len(hand) < 3 and waiting:
@@ -46,7 +48,7 @@ def flight(tokens: list[int], share: list[float], seed: str = "", leave: int = 2
             u = (1, -1, 0)
         up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(hand, u) if x)
         down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(hand, u) if x)
-        step = up if draw() * (up + down) < down else -down
+        step = up if rng.random() * (up + down) < down else -down
         for i, x in zip(hand, u):
             p[i] += step * x
             p[i] = 0.0 if p[i] < EPS else 1.0 if p[i] > 1 - EPS else p[i]
@@ -69,7 +71,7 @@ def landing(tokens: list[int], share: list[float]) -> list[float]:
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     """Flight of one block; the only block of a source lands."""
-    pdf = pdf.sort_values(["tokens", "doc_id"])
+    pdf = pdf.sort_values("doc_id")
     tokens = pdf["tokens"].astype(int).tolist()
     p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING)
     pdf["open"] = landing(tokens, p) if pdf["blocks"].iloc[0] == 1 else p
