@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from loomlog.llm.tokens import TOKENIZER, with_tokens
 from loomlog.storage import materialize
 
-#: Documents of a block; documents that the last block leaves to the landing, which tries all choices of them.
-BLOCK, LANDING = 2000, 14
+#: Documents of a block; documents that the last block leaves to the landing, which tries all their choices.
+BLOCK, LANDING = 2000, 28
 FLOWN = "source string, doc_id bigint, tokens bigint, expected double, whole int, open double"
 EPS = 1e-9
 
@@ -56,16 +56,20 @@ def flight(tokens: list[int], share: list[float], seed: str = "", leave: int = 2
 
 
 def landing(tokens: list[int], share: list[float]) -> list[float]:
-    """Decides the few open shares: the choice nearest to the expected tokens, then to the expected count."""
+    """Decides the few open shares: the choice nearest to the expected tokens, met in the middle of both halves."""
     at = [i for i, x in enumerate(share) if 0 < x < 1]
-    if not at:
-        return share
-    choices = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
-    size, p = np.array([tokens[i] for i in at], float), np.array([share[i] for i in at])
-    best = np.lexsort((np.abs(choices.sum(axis=1) - p.sum()), np.round(np.abs(choices @ size - size @ p), 6)))[0]
+    size, want = np.array([tokens[i] for i in at], float), sum(tokens[i] * share[i] for i in at)
+    half = len(at) // 2
+    bits = [(np.arange(1 << n)[:, None] >> np.arange(n)) & 1 for n in (half, len(at) - half)]
+    left, right = bits[0] @ size[:half], bits[1] @ size[half:]
+    order = np.argsort(right, kind="stable")
+    near = np.searchsorted(right[order], want - left)
+    pairs = [(np.abs(left + right[order[k]] - want), order[k]) for k in (np.maximum(near - 1, 0), np.minimum(near, len(right) - 1))]
+    side = int(pairs[1][0].min() < pairs[0][0].min())
+    i = int(pairs[side][0].argmin())
     out = list(share)
-    for i, x in zip(at, choices[best]):
-        out[i] = float(x)
+    for k, x in zip(at, [*bits[0][i], *bits[1][pairs[side][1][i]]]):
+        out[k] = float(x)
     return out
 
 
