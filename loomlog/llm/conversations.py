@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Rows are keyed by (session, time slice): a session that holds a third of all rows is spread over its slices.  Each key
-buffers its messages in state, takes late and redelivered rows in any order, and closes when the arrival watermark
-passes its timeout.  It then emits one validated slice.  Slices of a session are folded in order by an associative rule
-(first and last speaker, broken or not), so validation needs no group larger than a slice.
+Rows are keyed by (session, time slice): a session that holds a third of all rows is spread over its slices, and rows are
+pre-aggregated before the shuffle.  Each key buffers its messages as a set in streaming state, takes late and redelivered
+rows in any order, and closes when the arrival watermark passes its inactivity timeout (a session window over arrival
+times, in append mode).  Slices of a session are then folded in order by an associative rule (first and last speaker,
+broken or not), so validation needs no group larger than a slice.
 
 Defined results for odd input: a null session id is a session of its own; rows that are no messages only show that
 their session exists; null content, null parts and invisible text make a row no message; equal (instant, role, texts)
@@ -12,12 +13,9 @@ are one message; messages of one instant are ordered user first, then by their t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomlog.storage import scratch_path
 
@@ -30,11 +28,8 @@ _OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 _END = datetime(2200, 1, 1)
 
 ROWS = "session_id string, slice bigint, arrived timestamp, state string, instant bigint, role string, hash bigint, text string"
-SLICES = (
-    "session_id string, slice bigint, bad boolean, n int, first string, last string, broken boolean, "
-    "messages array<struct<instant:bigint,role:string,text:string>>"
-)
-STATE = "bad boolean, messages array<struct<instant:bigint,role:string,hash:bigint,text:string>>"
+MESSAGE = "struct<instant:bigint,answer:boolean,hash:bigint,text:string>"
+CLOSED = f"session_id string, slice bigint, bad boolean, messages array<{MESSAGE}>"
 
 
 def message_rows(items: DataFrame, slice_minutes: int = 60, with_text: bool = False) -> DataFrame:
@@ -71,39 +66,35 @@ def message_rows(items: DataFrame, slice_minutes: int = 60, with_text: bool = Fa
     )
 
 
-def _slice(timeout_ms: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bad, kept = state.get if state.exists else (False, [])
-        if not state.hasTimedOut:
-            seen = {(m[0], m[1], m[2]): m[3] for m in kept}
-            latest = 0
-            for c in chunks:
-                bad = bad or bool((c["state"] == "bad").any())
-                latest = max(latest, int(c["arrived"].max().timestamp() * 1000))
-                m = c[c["state"] == "message"]
-                seen.update(zip(zip(m["instant"].astype("int64"), m["role"], m["hash"].astype("int64")), m["text"]))
-            state.update((bad, [(*k, t) for k, t in seen.items()]))
-            state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
-            return
-        state.remove()
-        done = sorted(((m[0], m[1] != "user", m[2], m[1], m[3]) for m in kept), key=lambda m: m[:3])
-        roles = [m[3] for m in done]
-        broken = any(a == b == "user" for a, b in zip(roles, roles[1:]))
-        messages = [{"instant": m[0], "role": m[3], "text": m[4]} for m in done]
-        yield pd.DataFrame(
-            {"session_id": [key[0]], "slice": [key[1]], "bad": [bad], "n": [len(done)], "first": [roles[0] if roles else None],
-             "last": [roles[-1] if roles else None], "broken": [broken], "messages": [messages]}
-        )
-
-    return step
-
-
-def closed_slices(rows: DataFrame, delay: str = "10 days", timeout_minutes: int = 60) -> DataFrame:
-    """Streaming rows of message_rows to closed, validated slices (append mode)."""
+def closed_keys(rows: DataFrame, delay: str = "10 days", timeout: str = "7 days") -> DataFrame:
+    """Streaming rows of message_rows to keys whose timeout has passed, with their set of messages (append mode).
+
+    A key that gets rows after it closed opens again; slices() joins its parts."""
+    message = F.struct("instant", (F.col("role") == "assistant").alias("answer"), "hash", "text")
     return (
         rows.withWatermark("arrived", delay)
-        .groupBy("session_id", "slice")
-        .applyInPandasWithState(_slice(timeout_minutes * 60_000), SLICES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .groupBy("session_id", "slice", F.session_window("arrived", timeout))
+        .agg(F.max(F.col("state") == "bad").alias("bad"), F.collect_set(F.when(F.col("state") == "message", message)).alias("messages"))
+        .select("session_id", "slice", "bad", "messages")
+    )
+
+
+def slices(closed: DataFrame) -> DataFrame:
+    """One row for each (session, slice): messages in order, whether bad, first and last speaker, whether broken inside."""
+    whole = closed.groupBy("session_id", "slice").agg(F.max("bad").alias("bad"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("messages")))).alias("messages"))
+    nexts = F.slice("messages", 2, F.greatest(F.size("messages") - 1, F.lit(0)))
+    # zip_with fills up with nulls: the last message has no next one here
+    unanswered = F.exists(F.zip_with("messages", nexts, lambda a, b: ~a["answer"] & ~F.coalesce(b["answer"], F.lit(True))), lambda x: x)
+    speaker = lambda m: F.when(m["answer"], "assistant").when(~m["answer"], "user")
+    return whole.select(
+        "session_id",
+        "slice",
+        "bad",
+        F.size("messages").alias("n"),
+        speaker(F.get("messages", F.lit(0))).alias("first"),
+        speaker(F.get("messages", F.size("messages") - 1)).alias("last"),
+        unanswered.alias("broken"),
+        "messages",
     )
 
 
@@ -124,22 +115,22 @@ def run_slices(spark: SparkSession, path: str, slice_minutes: int = 60, with_tex
     items = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     rows = message_rows(items, slice_minutes, with_text).unionByName(marks)
     query = (
-        closed_slices(rows)
+        closed_keys(rows)
         .writeStream.format("parquet")
-        .option("path", f"{base}/slices")
+        .option("path", f"{base}/closed")
         .option("checkpointLocation", f"{base}/state")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(SLICES).parquet(f"{base}/slices").where("not session_id <=> '\0punctuation'")
+    return slices(spark.read.schema(CLOSED).parquet(f"{base}/closed").where("not session_id <=> '\0punctuation'"))
 
 
-def verdicts(slices: DataFrame) -> DataFrame:
+def verdicts(parts: DataFrame) -> DataFrame:
     """session_id, keep, reason: slices folded in time order.  Reasons: unusable, empty, no_prompt, no_reply."""
     part = F.struct("slice", "first", "last", "broken")
-    folded = slices.groupBy("session_id").agg(
+    folded = parts.groupBy("session_id").agg(
         F.max("bad").alias("bad"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, part))).alias("parts")
     )
     nexts = F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))
@@ -160,11 +151,11 @@ def found(spark: SparkSession, path: str) -> DataFrame:
 
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     """session_id, position, instant, role, text of the conversations that stay, in order."""
-    slices = run_slices(spark, path, with_text=True)
-    kept = verdicts(slices).where("keep").select("session_id")
+    parts = run_slices(spark, path, with_text=True)
+    kept = verdicts(parts).where("keep").select("session_id")
     before = W.partitionBy("session_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = slices.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     flat = starts.join(kept, "session_id", "left_semi").select("session_id", "start", F.posexplode("messages").alias("at", "m"))
     return flat.select(
-        "session_id", (F.col("start") + F.col("at")).cast("bigint").alias("position"), F.col("m.instant").alias("instant_us"), F.col("m.role").alias("role"), F.col("m.text").alias("text")
+        "session_id", (F.col("start") + F.col("at")).cast("bigint").alias("position"), F.col("m.instant").alias("instant_us"), F.when(F.col("m.answer"), "assistant").otherwise("user").alias("role"), F.col("m.text").alias("text")
     )
