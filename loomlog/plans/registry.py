@@ -1,4 +1,8 @@
 """All named queries of the log operators, with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from loomlog.plans import log_queries
+
+QUERIES = {**log_queries.QUERIES}
+SQL = {**log_queries.SQL}
