@@ -9,8 +9,12 @@ from loomlog.operators import records as R
 from loomlog.operators import sequences as Q
 from loomlog.sources.tables import table
 
-IS_PROMPT = (F.col("kind") == "message") & (F.col("role") == "user")
-IS_REPLY = (F.col("kind") == "message") & (F.col("role") == "assistant")
+def is_prompt() -> Column:
+    return (F.col("kind") == "message") & (F.col("role") == "user")
+
+
+def is_reply() -> Column:
+    return (F.col("kind") == "message") & (F.col("role") == "assistant")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,8 +43,8 @@ def turn_metrics(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.min("line_no").alias("first_line"),
             F.max("line_no").alias("last_line"),
-            _sum(X.tokens("text"), IS_PROMPT).alias("prompt_tokens"),
-            _sum(X.lines("text"), IS_PROMPT).alias("prompt_lines"),
+            _sum(X.tokens("text"), is_prompt()).alias("prompt_tokens"),
+            _sum(X.lines("text"), is_prompt()).alias("prompt_lines"),
             _sum(X.tokens("text"), reply).alias("response_tokens"),
             _sum(X.lines("text"), reply).alias("response_lines"),
             F.count_if(reply).alias("response_records"),
@@ -57,8 +61,8 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("session_id")
         .agg(
             F.count("*").alias("records"),
-            F.count_if(IS_PROMPT).alias("prompts"),
-            F.count_if(IS_REPLY).alias("replies"),
+            F.count_if(is_prompt()).alias("prompts"),
+            F.count_if(is_reply()).alias("replies"),
             F.count_if(F.col("kind") == "action").alias("actions"),
             F.min_by("timestamp", F.when(stamped, F.col("line_no"))).alias("first_timestamp"),
             F.max_by("timestamp", F.when(stamped, F.col("line_no"))).alias("last_timestamp"),
@@ -81,11 +85,11 @@ def response_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = _turns(spark, folder).where("turn_no > 0 and role <> 'user'")
     return rows.groupBy("session_id", "turn_no").agg(
         F.count("*").alias("records"),
-        _sum(F.length("text"), IS_REPLY).alias("assistant_chars"),
+        _sum(F.length("text"), is_reply()).alias("assistant_chars"),
         F.sum(X.lines("text")).alias("lines"),
         F.sum(X.tokens("text")).alias("tokens"),
         F.count_if(F.col("kind") == "action").alias("actions"),
-        F.min_by("text", F.when(IS_REPLY, F.col("line_no"))).alias("first_reply"),
+        F.min_by("text", F.when(is_reply(), F.col("line_no"))).alias("first_reply"),
     )
 
 
@@ -132,14 +136,14 @@ def turn_n(spark: SparkSession, folder: str) -> DataFrame:
 
 def last_assistant(spark: SparkSession, folder: str) -> DataFrame:
     """Last assistant message of each session."""
-    rows = _records(spark, folder).where(IS_REPLY)
+    rows = _records(spark, folder).where(is_reply())
     return rows.groupBy("session_id").agg(F.max("line_no").alias("line_no"), F.max_by("text", "line_no").alias("text"))
 
 
 def last_substantial(spark: SparkSession, folder: str) -> DataFrame:
     """Last assistant message of at least 200 characters, else the last one."""
     order = F.struct((F.length("text") >= 200).alias("big"), F.col("line_no"))
-    rows = _records(spark, folder).where(IS_REPLY)
+    rows = _records(spark, folder).where(is_reply())
     return rows.groupBy("session_id").agg(F.max_by("line_no", order).alias("line_no"), F.max_by("text", order).alias("text"))
 
 
@@ -168,7 +172,7 @@ def last_n_turns_indexed(spark: SparkSession, folder: str) -> DataFrame:
 def since_text(spark: SparkSession, folder: str) -> DataFrame:
     """Records from the first prompt on that contains a phrase, whatever its case and spacing."""
     rows = _turns(spark, folder)
-    hit = rows.where(IS_PROMPT & X.search_key("text").contains("archive writer"))
+    hit = rows.where(is_prompt() & X.search_key("text").contains("archive writer"))
     start = hit.groupBy(F.col("session_id").alias("s")).agg(F.min("turn_no").alias("start_turn"))
     return rows.join(start, F.col("session_id").eqNullSafe(F.col("s"))).where("turn_no >= start_turn").select("session_id", "turn_no", "line_no", "role")
 
@@ -177,7 +181,7 @@ def since_time(spark: SparkSession, folder: str) -> DataFrame:
     """Records from the first prompt on, in line order, whose offset-aware time is 2025-07-01 or later."""
     rows = _turns(spark, folder)
     written = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"), F.col("timestamp")).try_cast("timestamp")
-    hit = rows.where(IS_PROMPT & (written >= F.lit("2025-07-01T00:00:00Z").cast("timestamp")))
+    hit = rows.where(is_prompt() & (written >= F.lit("2025-07-01T00:00:00Z").cast("timestamp")))
     start = hit.groupBy(F.col("session_id").alias("s")).agg(F.min("turn_no").alias("start_turn"))
     return rows.join(start, F.col("session_id").eqNullSafe(F.col("s"))).where("turn_no >= start_turn").select("session_id", "turn_no", "line_no", "role")
 
