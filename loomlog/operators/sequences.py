@@ -126,10 +126,11 @@ def history_in_turns(rows: DataFrame) -> DataFrame:
 
 
 def live_lines(lines: DataFrame) -> DataFrame:
-    """Record lines that survive all compactions and rollbacks, and the last compaction's line.
+    """Record lines that survive all compactions and rollbacks, and the last compaction's line with the number of prompts
+    of its history that survive.
 
-    A compaction with entries replaces everything before it.  A rollback of n turns cuts at the n-th last prompt still
-    there; with fewer prompts it empties everything.  As running aggregates: with a prompt as +1 and a rollback as -n the
+    A compaction with entries replaces everything before it by its history.  A rollback of n turns cuts at the n-th last
+    prompt still there, of the history too; with fewer prompts it empties everything.  As running aggregates: with a prompt as +1 and a rollback as -n the
     number of prompts is the running sum less its least value so far (or 0); a line stays if that number never falls
     below the line's own number later, and nothing empties everything later."""
     e = events(lines)
@@ -138,7 +139,9 @@ def live_lines(lines: DataFrame) -> DataFrame:
     compacted = (F.coalesce(F.col("type"), F.lit("")) == "compacted") & (F.coalesce(F.size("payload.replacement_history"), F.lit(0)) > 0)
     item = F.coalesce(F.col("payload.item.type"), F.lit(""))
     record = p.isin("user_message", "agent_message", "assistant_message") | item.isin("local_shell_call", "local_shell_call_output", "FileChange")
-    step = F.when(prompt, 1).when(rolled, -F.col("payload.num_turns")).otherwise(0).cast("bigint")
+    spoken = lambda h: (h["role"] == "user") & F.exists(F.coalesce(h["content"], F.array()), lambda c: F.coalesce(c["text"].rlike(r"\S"), F.lit(False)))
+    asked = F.size(F.filter("payload.replacement_history", lambda h: F.coalesce(spoken(h), F.lit(False))))
+    step = F.when(prompt, 1).when(rolled, -F.col("payload.num_turns")).when(compacted, asked).otherwise(0).cast("bigint")
     rows = e.select("session_id", "line_no", step.alias("step"), compacted.alias("compacted"), record.alias("record"), rolled.alias("rolled"))
     rows = running(rows, ["session_id"], "line_no", {"last": ("max", F.when(F.col("compacted"), F.col("line_no")))}, backwards=True)
     rows = rows.where("last is null or line_no = last").drop("last")  # nothing before the last compaction counts
@@ -149,8 +152,9 @@ def live_lines(lines: DataFrame) -> DataFrame:
     emptied = F.col("rolled") & (F.col("s") < F.least(F.coalesce("low_before", F.lit(0)), F.lit(0)))
     after = F.when(emptied, -1).when(F.col("rolled"), F.col("level"))
     rows = running(rows, ["session_id"], "line_no", {"later": ("min", after.cast("bigint"))}, before_only=True, backwards=True)
-    stays = F.col("later").isNull() | (F.col("later") >= F.col("level"))
-    return rows.where(stays & (F.col("record") | F.col("compacted"))).select("session_id", "line_no", "compacted")
+    stays = F.col("later").isNull() | (F.col("later") >= F.when(F.col("compacted"), 0).otherwise(F.col("level")))
+    left = F.when(F.col("compacted"), F.least("level", "later"))
+    return rows.where(stays & (F.col("record") | F.col("compacted"))).select("session_id", "line_no", left.alias("history_prompts"))
 
 
 def byte_ranges(records: DataFrame) -> DataFrame:
