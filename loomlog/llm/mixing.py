@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from loomlog.llm.tokens import TOKENIZER, with_tokens
 from loomlog.storage import materialize
 
-#: Documents of a block; documents that the last block leaves to the landing, which tries all their choices.
-BLOCK, LANDING = 2000, 28
+#: Documents of a block; documents that a block leaves to the next level; documents that the last block leaves to the
+#: landing, which tries all their choices.
+BLOCK, LEFT, LANDING = 2000, 10, 28
 FLOWN = "source string, doc_id bigint, tokens bigint, expected double, whole int, open double"
 EPS = 1e-9
 
@@ -77,8 +78,9 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     """Flight of one block; the only block of a source lands."""
     pdf = pdf.sort_values("doc_id")
     tokens = pdf["tokens"].astype(int).tolist()
-    p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING)
-    pdf["open"] = landing(tokens, p) if pdf["blocks"].iloc[0] == 1 else p
+    last = pdf["blocks"].iloc[0] == 1
+    p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING if last else LEFT)
+    pdf["open"] = landing(tokens, p) if last else p
     return pdf[["source", "doc_id", "tokens", "expected", "whole", "open"]]
 
 
@@ -93,6 +95,8 @@ def plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
     """source, doc_id, tokens, expected, copies (at least 1): the documents of the mix."""
+    if block < 2 * LEFT:
+        raise ValueError(f"blocks need at least {2 * LEFT} documents")
     spark = documents.sparkSession
     known = documents.join(targets.where("target_share > 0").select("source").distinct(), "source", "left_semi")
     sized = materialize(with_tokens(known, tokenizer), "tokens")
@@ -111,8 +115,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
         key = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks")).alias("block")
         flown = materialize(todo.select(*columns, "blocks", key).groupBy("source", "block").applyInPandas(_fly, FLOWN), "flown")
         done.append(flown.where("open in (0, 1)"))
-        # at most LANDING open documents of each block go on, where a source has several
-        blocks = {s: -(-LANDING * n // block) for s, n in blocks.items() if n > 1}
+        # at most LEFT open documents of each block go on, where a source has several
+        blocks = {s: -(-LEFT * n // block) for s, n in blocks.items() if n > 1}
         if blocks:
             expected = spark.createDataFrame([*blocks.items()], "source string, blocks int")
             salt, todo = salt + 1, flown.where("open not in (0, 1)").join(expected, "source")
