@@ -26,6 +26,8 @@ BROADCAST_SOURCES, SALTS = 10_000, 16
 UNMARKED_SHARE = 0.5
 #: A last word is usual for an opener from this share of its texts on.
 USUAL_SHARE = 0.02
+#: A frequent word that ends texts in a smaller share of its uses ends no text.
+NEVER_FINAL_SHARE = 0.005
 _FINAL = r"[.?!:;…。？！」』”’\"')\]}*>|]$"
 _MARKED = r"[.?!…。？！][\"'”’)\]*]*$"
 _PATH = r"(^|\s)[\w.-]+(/[\w.-]+)+\.[A-Za-z0-9]{1,5}$"
@@ -67,7 +69,7 @@ def texts(lines: DataFrame, items: DataFrame) -> DataFrame:
 def measured(rows: DataFrame) -> DataFrame:
     """Every text reduced to lengths and the facts about its end that step 2 needs; the text itself is dropped."""
     line = F.regexp_replace(F.substring_index(F.col("text"), "\n", -1), r"\s+$", "")
-    unit = F.regexp_extract(line, r"^(?:.*[.?!…。？！][\"'”’)\]*]*\s+|.*[。？！])?(.*)$", 1)
+    unit = F.regexp_extract(line, r"^(?:.*[.?!。？！][\"'”’)\]*]*\s+|.*[。？！])?(.*)$", 1)
     fence = F.pmod(_count("text", "```"), F.lit(2)) == 1
     return rows.select(
         "table_name",
@@ -138,25 +140,33 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     )
     # words that stand before others or before a final mark are whole; the last word of an unmarked text may be a part
     whole = F.when(F.col("marked"), F.col("unit")).otherwise(F.regexp_replace("unit", r"\S+$", ""))
-    pieces = facts.where("not open_fence").select(F.explode(F.split(F.regexp_replace(whole, r"[^\p{L}\p{M}]+", " "), " ")).alias("piece"))
-    vocabulary = pieces.where("piece <> ''").groupBy("piece").agg(F.count("*").alias("seen"))
+    split = F.filter(F.split(F.regexp_replace(whole, r"[^\p{L}\p{M}]+", " "), " "), lambda p: p != "")
+    pieces = facts.where("not open_fence").select(split.alias("pieces"), "marked")
+    last = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), ((i == F.size("pieces") - 1) & F.col("marked")).cast("int").alias("final")))
+    vocabulary = pieces.select(F.inline(last)).groupBy("piece").agg(F.count("*").alias("seen"), F.sum("final").alias("final"))
 
+    # letters that are a word of their own, not the end of a hash
     doubtful = facts.where("not marked and not at_limit and not open_fence and not broken_char").withColumn(
-        "tail", F.regexp_extract("last_word", r"([\p{L}\p{M}]+)$", 1)
+        "tail", F.regexp_extract("last_word", r"(?:^|[^\p{L}\p{M}\p{N}])([\p{L}\p{M}]+)$", 1)
     )
     # a last word that texts with this opener end in again and again is whole too
-    ends = doubtful.groupBy("opener", "tail").agg(F.count("*").alias("ended")).join(openers, "opener", "left")
+    usual = doubtful.groupBy("opener", "tail").agg(F.count("*").alias("ended"))
+    anywhere = usual.groupBy(F.col("tail").alias("t")).agg(F.sum("ended").alias("ended_anywhere"))
+    ends = usual.join(openers, "opener", "left").join(anywhere, F.col("tail") == F.col("t")).drop("t")
     ends = ends.join(vocabulary, F.col("tail") == F.col("piece"), "left").drop("piece")
     # openers are few and some are frequent: their rows are spread over SALTS parts
     ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     doubtful = doubtful.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(ends, ["opener", "tail", "part"], "left")
     natural = (F.col("unmarked") >= UNMARKED_SHARE) & (F.col("opened") >= 3)
     part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= 3) & (F.col("ended") < USUAL_SHARE * F.col("opened"))
+    # words such as articles, which hardly ever end anything
+    unfinished = (F.col("tail") != "") & (F.col("seen") >= 500) & (F.col("final") + F.col("ended_anywhere") < NEVER_FINAL_SHARE * F.col("seen"))
     stub = F.col("last_word").rlike(r"[_/(\[{,=-]$")
     verdict = (
         F.when(F.col("hanging"), "sentence")
         .when(~natural | stub, F.when(part_of_word | stub, "word").otherwise("sentence"))
         .when(part_of_word & ~F.col("path"), "word")
+        .when(unfinished, "sentence")
     )
     judged_ends = doubtful.select("table_name", "record_id", "source", verdict.alias("reason"))
     half_path = F.col("unit").rlike(r"(^|\s)\w+/\w*_\w*\.$")
