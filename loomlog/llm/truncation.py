@@ -160,7 +160,7 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     natural = (F.col("unmarked") >= UNMARKED_SHARE) & (F.col("opened") >= 3)
     part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= 3) & (F.col("ended") < USUAL_SHARE * F.col("opened"))
     # words such as articles, which hardly ever end anything
-    unfinished = (F.col("tail") != "") & (F.col("seen") >= 500) & (F.col("final") + F.col("ended_anywhere") < NEVER_FINAL_SHARE * F.col("seen"))
+    unfinished = (F.col("tail") != "") & (F.col("tail") == F.col("last_word")) & (F.col("seen") >= 500) & (F.col("final") + F.col("ended_anywhere") < NEVER_FINAL_SHARE * F.col("seen"))
     stub = F.col("last_word").rlike(r"[_/(\[{,=-]$")
     verdict = (
         F.when(F.col("hanging"), "sentence")
