@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from loomlog.functions import context as CX
 from loomlog.functions import text as X
 from loomlog.functions import times as T
 from loomlog.operators import catalog as C
+from loomlog.operators import chunks
 from loomlog.operators import records as R
 from loomlog.operators import texts as TX
 from loomlog.operators import tree
@@ -233,6 +235,23 @@ def tree_preorder(spark: SparkSession, folder: str) -> DataFrame:
     return tree.preorder(nodes)
 
 
+def segment_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents cut into parts of 4096 bytes and put together again."""
+    pieces = chunks.parts(table(spark, folder, "documents"), 4096)
+    return chunks.reassembled(pieces).select("doc_id", "bytes", "sha256", "whole")
+
+
+def chunk_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte ranges of the parts of every document."""
+    return chunks.parts(table(spark, folder, "documents"), 4096).drop("body")
+
+
+def context_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """User messages that are injected context or service context as a whole."""
+    rows = R.records(table(spark, folder, "rollout_lines")).where("role = 'user'")
+    return rows.select("session_id", "line_no", CX.is_injected_context("text").alias("injected"), CX.is_service_context("text").alias("service"))
+
+
 def event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events by type and hour, counted by a stream over the closed table."""
     from loomlog.streaming import counts
@@ -243,7 +262,7 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
 _NAMES = """source_union catalog_full_outer missing_rollouts unindexed_rollouts catalog_audit project_rollup title_precedence best_delivery
 sorted_listing listing_page search_and path_keys project_filter latest_session session_head path_sessions created_display updated_since
 role_histogram account_inventory duplicate_samples line_gaps text_metrics redacted_texts cleaned_texts mojibake title_slugs search_keys
-member_sizes repeat_runs long_lines json_lines embedded_json tree_preorder event_counts""".split()
+member_sizes repeat_runs long_lines json_lines embedded_json tree_preorder event_counts segment_reassembly chunk_parts context_flags""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -315,5 +334,6 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS
     "tree_preorder": """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, CAST(r_regionkey AS BIGINT) AS ordinal FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
 t AS (SELECT id, parent, id AS root, 0 AS depth, [ordinal] AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, t.root, t.depth + 1, list_append(t.path, n.ordinal) FROM t JOIN nodes n ON n.parent = t.id)
 SELECT id, parent, root, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS position FROM t""",
+    "segment_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, true AS whole FROM documents WHERE text <> ''",
     "event_counts": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL",
 }

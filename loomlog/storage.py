@@ -13,14 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, without a trailing slash."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="loomlog-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+    if not conf:  # no cluster named one: a test or a single machine
+        own = spark.sparkContext.applicationId
+        if own not in _local:
+            _local[own] = "file://" + tempfile.mkdtemp(prefix="loomlog-")
+        conf = _local[own]
     return conf.rstrip("/")
 
 
