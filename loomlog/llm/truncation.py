@@ -71,6 +71,9 @@ def measured(rows: DataFrame) -> DataFrame:
     line = F.regexp_replace(F.substring_index(F.col("text"), "\n", -1), r"\s+$", "")
     unit = F.regexp_extract(line, r"^(?:.*[.?!。？！][\"'”’)\]*]*\s+|.*[。？！])?(.*)$", 1)
     fence = F.pmod(_count("text", "```"), F.lit(2)) == 1
+    # what is left of a character cut in two is no part of the stored length
+    rows = rows.withColumn("broken_char", F.col("text").rlike("\ufffd$"))
+    rows = rows.withColumn("text", F.when(F.col("broken_char"), F.regexp_replace("text", "\ufffd+$", "")).otherwise(F.col("text")))
     return rows.select(
         "table_name",
         "record_id",
@@ -79,7 +82,7 @@ def measured(rows: DataFrame) -> DataFrame:
         F.regexp_replace(unit, r"^(?:[-*+•>]|\d+[.)]|#+)\s+", "").alias("unit"),
         line.rlike(r"^\s*(?:[-*+•]|\d+[.)])\s").alias("listed"),
         fence.alias("open_fence"),
-        F.col("text").rlike("�$").alias("broken_char"),
+        "broken_char",
         F.col("text").rlike(r"[^\s\n] $").alias("hanging"),
     )
 
