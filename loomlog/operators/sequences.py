@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomlog.operators.records import events
 from loomlog.operators.running import running
+from loomlog.storage import materialize
 
 #: Look-back of the repeat filters: kept commands and kept outputs.
 RECENT_COMMANDS, RECENT_OUTPUTS = 12, 3
@@ -78,13 +79,15 @@ def paired(records: DataFrame) -> DataFrame:
     commands less outputs is not below its least earlier value (or 0); the k-th admitted output answers the k-th command."""
     command, output = F.col("command_key").isNotNull() & (F.col("kind") == "action"), F.col("output_key").isNotNull() & (F.col("kind") == "action")
     rows = records.select("session_id", "line_no", "command_key", "output_key", command.alias("is_cmd"), output.alias("is_out"))
-    rows = running(rows, ["session_id"], "line_no", {"seg": ("sum", F.when(F.col("is_cmd") | F.col("is_out"), 0).otherwise(1).cast("bigint"))}).where("is_cmd or is_out")
-    keys = ["session_id", "seg"]
+    # each running step reads its rows twice, so the narrow rows between steps are written once
+    rows = running(materialize(rows, "pairing"), ["session_id"], "line_no", {"seg": ("sum", F.when(F.col("is_cmd") | F.col("is_out"), 0).otherwise(1).cast("bigint"))})
+    keys, rows = ["session_id", "seg"], materialize(rows.where("is_cmd or is_out"), "pairing")
     rows = running(rows, keys, "line_no", {"level": ("sum", F.when(F.col("is_cmd"), 1).otherwise(-1).cast("bigint"))})
-    rows = running(rows, keys, "line_no", {"low": ("min", F.col("level"))}, before_only=True)
-    rows = rows.where(F.col("is_cmd") | (F.col("level") >= F.least(F.coalesce("low", F.lit(0)), F.lit(0))))
+    rows = running(materialize(rows, "pairing"), keys, "line_no", {"low": ("min", F.col("level"))}, before_only=True)
+    rows = materialize(rows.where(F.col("is_cmd") | (F.col("level") >= F.least(F.coalesce("low", F.lit(0)), F.lit(0)))), "pairing")
     one = F.lit(1).cast("bigint")
     rows = running(rows, keys, "line_no", {"nc": ("sum", F.when(F.col("is_cmd"), one)), "no": ("sum", F.when(F.col("is_out"), one))})
+    rows = materialize(rows, "pairing")
     outs = rows.where("is_out").select(F.col("session_id").alias("s"), F.col("seg").alias("g"), "no", F.col("line_no").alias("output_line"), F.col("output_key").alias("ok"))
     cmds = rows.where("is_cmd").select("session_id", "seg", F.col("line_no").alias("command_line"), "command_key", "nc")
     hit = F.col("session_id").eqNullSafe(F.col("s")) & (F.col("seg") == F.col("g")) & (F.col("nc") == F.col("no"))
@@ -143,11 +146,12 @@ def live_lines(lines: DataFrame) -> DataFrame:
     asked = F.size(F.filter("payload.replacement_history", lambda h: F.coalesce(spoken(h), F.lit(False))))
     step = F.when(prompt, 1).when(rolled, -F.col("payload.num_turns")).when(compacted, asked).otherwise(0).cast("bigint")
     rows = e.select("session_id", "line_no", step.alias("step"), compacted.alias("compacted"), record.alias("record"), rolled.alias("rolled"))
-    rows = running(rows, ["session_id"], "line_no", {"last": ("max", F.when(F.col("compacted"), F.col("line_no")))}, backwards=True)
+    # each running step reads its rows twice, so the narrow rows between steps are written once
+    rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"last": ("max", F.when(F.col("compacted"), F.col("line_no")))}, backwards=True)
     rows = rows.where("last is null or line_no = last").drop("last")  # nothing before the last compaction counts
-    rows = running(rows, ["session_id"], "line_no", {"s": ("sum", F.col("step"))})
-    rows = running(rows, ["session_id"], "line_no", {"low": ("min", F.col("s"))})
-    rows = running(rows, ["session_id"], "line_no", {"low_before": ("min", F.col("s"))}, before_only=True)
+    rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"s": ("sum", F.col("step"))})
+    rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"low_before": ("min", F.col("s"))}, before_only=True)
+    rows = materialize(rows.withColumn("low", F.least("s", "low_before")), "replay")
     rows = rows.withColumn("level", F.col("s") - F.least(F.col("low"), F.lit(0)))
     emptied = F.col("rolled") & (F.col("s") < F.least(F.coalesce("low_before", F.lit(0)), F.lit(0)))
     after = F.when(emptied, -1).when(F.col("rolled"), F.col("level"))
