@@ -80,6 +80,15 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": r"""WITH r AS (SELECT session_id, lower(trim(payload.role)) AS role, list_transform(payload.content, lambda p: p.text) AS texts,
+TRY_CAST(CASE WHEN regexp_matches(trim(timestamp), '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$') THEN trim(timestamp) END AS TIMESTAMPTZ) AS instant
+FROM response_items WHERE type = 'response_item' AND payload.type = 'message'
+AND coalesce(list_bool_or(list_transform(payload.content, lambda p: coalesce(regexp_matches(p.text, '[^\s\p{Z}\p{Cc}\p{Cf}]'), false))), false)),
+m AS (SELECT DISTINCT session_id, instant, texts, CASE WHEN role IN ('user', 'human') THEN 'u' WHEN role IN ('assistant', 'model') THEN 'a' ELSE 'x' END AS who FROM r
+WHERE role IS NULL OR role NOT IN ('system', 'developer', 'tool')),
+o AS (SELECT *, row_number() OVER w AS k, lead(who) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY instant, who DESC, texts)),
+v AS (SELECT session_id, bool_or(who = 'x' OR instant IS NULL OR (k = 1 AND who = 'a') OR (who = 'u' AND nxt IS DISTINCT FROM 'a')) AS is_case FROM o GROUP BY session_id)
+SELECT s.session_id FROM (SELECT DISTINCT session_id FROM response_items) s LEFT JOIN v ON v.session_id = s.session_id WHERE coalesce(is_case, true)""",
     "p7_found": """SELECT member_id, CAST(i AS BIGINT) AS line_no FROM (
 SELECT member_id, max_bytes, n, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (
 SELECT member_id, max_bytes, string_split(body, chr(10)) AS parts, len(string_split(body, chr(10))) AS n FROM archive_members WHERE strlen(body) > max_bytes))
