@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Envelopes that hosts inject, and the heading of instruction blocks.
+# Envelopes that hosts inject, and the heading of instruction blocks; a host puts its name into some tags.
 ENVELOPES = ["environment_context", "permissions instructions", "collaboration_mode", "user_instructions", "environments_instructions"]
 SERVICE = [
-    r"""codex_internal_context)\s+source=["'](?:goal|user_goal)["']>""",
+    r"""[a-z]+_internal_context)\s+source=["'](?:goal|user_goal)["']>""",
     r"""in-app-browser-context)\s+source=["']ambient-ui-state["']>""",
-    r"external_codex_apps_open_page|external_codex_apps_selected_page_part_\d+_of_\d+|turn_aborted)>",
+    r"external_[a-z]+_apps_open_page|external_[a-z]+_apps_selected_page_part_\d+_of_\d+|turn_aborted)>",
 ]
 _HEADING = r"#\s*agents\.md instructions(?:[ \t]+for[^\r\n]*|[ \t]*)(?:\r?\n)\s*<instructions>(?:(?!</instructions>).)*</instructions>"
 
