@@ -24,6 +24,8 @@ SPIKE_COUNT, SPIKE_RATIO, WINDOW = 8, 8.0, 16
 BROADCAST_SOURCES, SALTS = 10_000, 16
 #: Openers of which at least this share of the sentences lacks a final mark are complete without one.
 UNMARKED_SHARE = 0.5
+#: An opener is known from so many other texts on, a word is rare up to and frequent from so many uses, all as shares of the texts.
+KNOWN_SHARE, RARE_SHARE, FREQUENT_SHARE = 2e-5, 1e-5, 1 / 300
 #: A last word is usual for an opener from this share of its texts on.
 USUAL_SHARE = 0.02
 #: A frequent word that ends texts in a smaller share of its uses ends no text.
@@ -80,6 +82,7 @@ def measured(rows: DataFrame) -> DataFrame:
         "source",
         F.array(*(c.cast("bigint") for c in measures().values())).alias("lengths"),
         F.regexp_replace(unit, r"^(?:[-*+•>]|\d+[.)]|#+)\s+", "").alias("unit"),
+        (F.expr(r"trim(BOTH ' \t\r\n' FROM text)") == unit).alias("alone"),
         line.rlike(r"^\s*(?:[-*+•]|\d+[.)])\s").alias("listed"),
         fence.alias("open_fence"),
         "broken_char",
@@ -118,6 +121,7 @@ def limits(measured_rows: DataFrame) -> DataFrame:
 def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     """table_name, record_id, source, reason (null: complete) of every text."""
     rows = materialize(measured(texts(lines, items)), "lengths")
+    total = rows.count()
     at = materialize(limits(rows).select(F.col("source").alias("s"), "rank", "limit_length"), "limits")
     if at.count() <= BROADCAST_SOURCES:
         at, salted = F.broadcast(at), F.lit(True)
@@ -135,11 +139,13 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
         .withColumn("last_word", word)
         .withColumn("path", F.col("unit").rlike(_PATH))
     )
-    facts = facts.select("table_name", "record_id", "source", "unit", "listed", "open_fence", "broken_char", "hanging", "at_limit", "marked", "opener", "last_word", "path")
+    facts = facts.select("table_name", "record_id", "source", "unit", "alone", "listed", "open_fence", "broken_char", "hanging", "at_limit", "marked", "opener", "last_word", "path")
 
+    # one unmarked word after other sentences may be the beginning of a word and tells nothing about openers
+    facts = facts.withColumn("scrap", (F.col("unit") == F.col("opener")) & ~F.col("marked") & (~F.col("alone") | F.col("broken_char")))
     # how sentences with this opener end, over all texts that are not at a limit
-    openers = facts.where("not at_limit and not open_fence").groupBy("opener").agg(
-        F.avg((~F.col("marked")).cast("double")).alias("unmarked"), F.count("*").alias("opened")
+    openers = facts.where("not at_limit and not open_fence and not scrap").groupBy("opener").agg(
+        F.count_if(~F.col("marked")).alias("unmarked"), F.count("*").alias("opened")
     )
     # words that stand before others or before a final mark are whole; the last word of an unmarked text may be a part
     whole = F.when(F.col("marked"), F.col("unit")).otherwise(F.regexp_replace("unit", r"\S+$", ""))
@@ -160,10 +166,14 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     # openers are few and some are frequent: their rows are spread over SALTS parts
     ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     doubtful = doubtful.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(ends, ["opener", "tail", "part"], "left")
-    natural = (F.col("unmarked") >= UNMARKED_SHARE) & (F.col("opened") >= 3)
-    part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= 3) & (F.col("ended") < USUAL_SHARE * F.col("opened"))
+    # no text vouches for itself: only what the others with this opener show counts
+    own = F.when(F.col("scrap"), 0).otherwise(1)
+    opened, unmarked = (F.coalesce(c, F.lit(0)) - own for c in ("opened", "unmarked"))
+    natural = (opened >= max(1, KNOWN_SHARE * total)) & (unmarked >= UNMARKED_SHARE * opened)
+    unusual = (F.col("ended") < USUAL_SHARE * F.col("opened")) | F.col("scrap") & ~natural
+    part_of_word = (F.col("tail") != "") & (F.coalesce("seen", F.lit(0)) <= RARE_SHARE * total) & unusual
     # words such as articles, which hardly ever end anything
-    unfinished = (F.col("tail") != "") & (F.col("tail") == F.col("last_word")) & (F.col("seen") >= 500) & (F.col("final") + F.col("ended_anywhere") < NEVER_FINAL_SHARE * F.col("seen"))
+    unfinished = (F.col("tail") != "") & (F.col("tail") == F.col("last_word")) & (F.col("seen") >= FREQUENT_SHARE * total) & (F.col("final") + F.col("ended_anywhere") < NEVER_FINAL_SHARE * F.col("seen"))
     stub = F.col("last_word").rlike(r"[_/(\[{,=-]$")
     verdict = (
         F.when(F.col("hanging"), "sentence")

@@ -90,6 +90,19 @@ def test_truncation(spark):
     assert T.found(spark.createDataFrame([], LINES), spark.createDataFrame([], PARTS)).collect() == []
 
 
+def test_beginnings_of_words_do_not_vouch_for_themselves(spark):
+    rnd = random.Random(2)
+    words = "every reader keeps its lines in order while some writer adds more text to them".split()
+    sentence = lambda: " ".join(["The", *rnd.choices(words, k=8)]) + "."
+    cut = [f"{sentence()} Th" for _ in range(4)] + [f"{sentence()} Noth" for _ in range(3)] + ["- go ahead\n- cont"] * 3
+    fine = [sentence() for _ in range(200)] + ["continue", "go ahead", "- go ahead\n- continue"] * 6
+    none = spark.createDataFrame([], PARTS)
+    for copies in (1, 10):  # the verdicts do not depend on the size of the input
+        rows = [(k, "cli", ("m", t), 0, 0) for k, t in enumerate((cut + fine) * copies)]
+        got = {r["record_id"]: r["reason"] for r in T.judged(spark.createDataFrame(rows, LINES), none).collect() if r["reason"]}
+        assert got == {k: "word" for k, *_ in rows if k % len(cut + fine) < len(cut)}
+
+
 # ------------------------------------------------------------------ splitting
 
 
