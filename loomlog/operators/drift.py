@@ -206,8 +206,11 @@ def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text = pa.map_(pa.string(), pa.string())
     for b in batches:
         typed, rescued = [], []
-        for raw in b.column("raw_json").to_pylist():
+        named = "names" in b.schema.names
+        for raw, names in zip(b.column("raw_json").to_pylist(), b.column("names").to_pylist() if named else [None] * b.num_rows):
             t, r = {}, {}
+            aliases = {v for k, v in names or () if k in TARGET}
+            wanted = TARGET.keys() | aliases
             if (record := _load(raw)) is None:
                 r["_corrupt"] = raw
             else:
@@ -216,23 +219,34 @@ def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k = kind_of(v)
                     if TARGET.get(p) == k:
                         t[p] = v if k == "string" else json.dumps(v, ensure_ascii=False)
-                    elif "[]" not in p and (p in TARGET or k not in ("object",) or not any(x.startswith(p + ".") for x in TARGET)) and not _below(p, inner):
+                    elif "[]" not in p and (p in wanted or k not in ("object",) or not any(x.startswith(p + ".") for x in wanted)) and (p in aliases or not _below(p, inner)):
                         r[p] = json.dumps(v, ensure_ascii=False)
                         inner.add(p)
             typed.append(list(t.items()))
             rescued.append(list(r.items()))
-        keep = ["record_id", "stream", "file_no", "file_name", "line_no"]
+        keep = ["record_id", "stream", "file_no", "file_name", "line_no", *["names"] * named]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(typed, text), pa.array(rescued, text)], names=[*keep, "typed", "rescued"])
 
 
 def ingest(records: DataFrame) -> DataFrame:
-    """Each record against the target schema: typed fields, and the rest as JSON under its path.  No shuffle."""
-    return records.select("record_id", "stream", "file_no", "file_name", "line_no", "raw_json").mapInArrow(_ingest, INGESTED)
+    """Each record against the target schema: typed fields, and the rest as JSON under its path.  No shuffle.
+
+    ``names``, if there, are the names of target fields in the record's file; they are kept, and fields with these names
+    are rescued by themselves, not within the object around them."""
+    keep = ["record_id", "stream", "file_no", "file_name", "line_no", *[c for c in records.columns if c == "names"]]
+    schema = INGESTED.replace(" typed", " names map<string,string>, typed") if "names" in keep else INGESTED
+    return records.select(*keep, "raw_json").mapInArrow(_ingest, schema)
+
+
+def _key(path: str) -> F.Column:
+    """Where a target field's value is rescued: under its name in this file, else under its own."""
+    name = F.coalesce(F.col("names")[path], F.lit(path))
+    return F.when(F.col("rescued")[name].isNotNull(), name).otherwise(F.lit(path))
 
 
 def _replayed(path: str) -> F.Column:
     """The value of a target field: the typed one, else the rescued one under its name in this file, cast."""
-    raw = F.coalesce(F.col("rescued")[F.coalesce(F.col("names")[path], F.lit(path))], F.col("rescued")[path])
+    raw = F.col("rescued")[_key(path)]
     if TARGET[path] == "array":  # a scalar that took the place of the list is its only element
         listed = F.when(raw.startswith("["), raw).when(raw.isNotNull(), F.concat(F.lit("["), raw, F.lit("]")))
         return F.coalesce(F.col("typed")[path], listed)
@@ -256,8 +270,9 @@ def consistent(records: DataFrame) -> DataFrame:
     filled = files.join(aliases, ["stream", "file_no"], "left").select(
         "stream", "file_no", F.last("names", ignorenulls=True).over(W.partitionBy("stream").orderBy("file_no")).alias("names")
     )
-    rows = ingest(records).join(filled, ["stream", "file_no"], "left")
-    out = [_replayed(p).alias(p.replace(".", "_")) for p in TARGET]
-    used = F.array(*(F.coalesce(F.col("names")[p], F.lit(p)) for p in TARGET))
+    rows = ingest(records.join(filled, ["stream", "file_no"], "left"))
+    rows = rows.select("*", *(_replayed(p).alias(p.replace(".", "_")) for p in TARGET))
+    # what was not typed and could not be cast either stays rescued
+    used = F.array_compact(F.array(*(F.when(F.col("typed")[p].isNull() & F.col(p.replace(".", "_")).isNotNull(), _key(p)) for p in TARGET)))
     left = F.map_filter("rescued", lambda k, v: ~F.array_contains(used, k))
-    return rows.select("record_id", "stream", "file_no", "file_name", "line_no", *out, F.when(F.size(left) > 0, F.to_json(left)).alias("rescued"))
+    return rows.select("record_id", "stream", "file_no", "file_name", "line_no", *(p.replace(".", "_") for p in TARGET), F.when(F.size(left) > 0, F.to_json(left)).alias("rescued"))

@@ -50,6 +50,27 @@ def test_consistent_table_replays_rescued_values(spark):
         assert rows[n]["rescued"] is None and json.loads(rows[20 + n]["rescued"]) == {"extra": str(n)}
 
 
+def test_what_cannot_be_cast_stays_rescued(spark):
+    usage = [{"total_tokens": v} for v in ("12", "many", [1, 2], ["7"], {"a": 1, "b": 2}, {"n": 5}, {"n": None})]
+    rows = {r["record_id"]: r for r in D.consistent(files(spark, [base(n, usage=u) for n, u in enumerate(usage)] + [base(9, type=["a", "b"])])).collect()}
+    assert [rows[n]["usage_total_tokens"] for n in range(8)] == [12, None, None, 7, None, 5, None, None] and rows[7]["type"] is None
+    left = [None if rows[n]["rescued"] is None else {k: json.loads(v) for k, v in json.loads(rows[n]["rescued"]).items()} for n in range(8)]
+    path = "usage.total_tokens"
+    assert left == [None, {path: "many"}, {path: [1, 2]}, None, {path: {"a": 1, "b": 2}}, None, {path: {"n": None}}, {"type": ["a", "b"]}]
+
+
+def test_fields_renamed_into_another_object_are_replayed(spark):
+    one = [base(n, meta={"host": "h"}) for n in range(20)]
+    two = [{**{k: v for k, v in base(n).items() if k != "type"}, "meta": {"host": "h", "kind": base(n)["type"]}} for n in range(20)]
+    two[0]["meta"]["kind"] = ["a", "b"]
+    df = files(spark, one, two)
+    assert [tuple(r) for r in D.changes(df).select("change", "field_path", "new_path").collect()] == [("renamed", "type", "meta.kind")]
+    rows = {r["record_id"]: r for r in D.consistent(df).collect()}
+    assert [rows[20 + n]["type"] for n in range(20)] == [None] + [base(n)["type"] for n in range(1, 20)]
+    assert json.loads(rows[20]["rescued"]) == {"meta.host": '"h"', "meta.kind": '["a", "b"]'}
+    assert json.loads(rows[21]["rescued"]) == {"meta.host": '"h"'} and json.loads(rows[1]["rescued"]) == {"meta": '{"host": "h"}'}
+
+
 def test_odd_input(spark):
     df = files(spark, [base(1), None, "", "[1]", "{broken", "x" * 100_000, {}], [base(1), base(1)])
     assert D.changes(df).collect() == []
