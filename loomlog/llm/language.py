@@ -5,7 +5,8 @@ follow-the-regularised-leader and elastic-net penalties on a bounded sample of l
 sentences that contradict their label, and calibrated by a temperature on held-out sentences.  It is then applied to every
 sentence of every document: sentences in agreement form segments, and a document has each language that makes up a sentence.
 
-Bounds of the training sample (everything else covers all data): DOCUMENTS_PER_LABEL and SENTENCES_PER_DOCUMENT.
+Bounds of the training sample (everything else, the n-grams' frequencies included, covers all data): DOCUMENTS_PER_LABEL,
+SENTENCES_PER_DOCUMENT and SENTENCE_CHARACTERS.
 
 Defined results for odd input: null, empty and sentence-less texts have no language; code, paths, names, numbers, speaker
 marks and single foreign words are no sentences; labels that name no known language count as missing.
@@ -14,6 +15,7 @@ marks and single foreign words are no sentences; labels that name no known langu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-DOCUMENTS_PER_LABEL, SENTENCES_PER_DOCUMENT = 400, 6
+DOCUMENTS_PER_LABEL, SENTENCES_PER_DOCUMENT, SENTENCE_CHARACTERS = 400, 6, 400
 BITS, ORDERS, HELD_OUT = 17, (1, 2, 3, 4), 10
 #: A sentence counts for a language from this calibrated posterior on; its prior is the document's leading language.
 SURE, PRIOR_LEADING = 0.9, 0.9
@@ -207,7 +209,7 @@ def _ftrl(x: _Sparse, value: np.ndarray, y: np.ndarray, classes: int, rows: np.n
     return solve(z, n, l1, l2), solve(bz, bn, 0, 0)
 
 
-def train(texts: list[str], labels: list[str], documents: list[int] | None = None, passes: int = 3) -> Model:
+def train(texts: list[str], labels: list[str], documents: list[int] | None = None, passes: int = 3, frequencies: tuple[np.ndarray, int] | None = None) -> Model:
     """Fits on all, then on documents whose sentences together agree with their label, then without their sentences in
     other languages; calibrates on every HELD_OUT-th document.
 
@@ -216,7 +218,8 @@ def train(texts: list[str], labels: list[str], documents: list[int] | None = Non
     y = np.array([names.index(s) for s in labels])
     _, document = np.unique(np.arange(len(texts)) if documents is None else documents, return_inverse=True)
     x = _Sparse(texts)
-    idf = np.log((1 + len(texts)) / (1 + np.bincount(x.feature, minlength=1 << BITS))) + 1
+    seen, total = frequencies or (np.bincount(x.feature, minlength=1 << BITS), len(texts))
+    idf = np.log((1 + total) / (1 + seen)) + 1
     value = x.count * idf[x.feature] / np.sqrt(x.size[x.row])
     held = document % HELD_OUT == 0
     fitted = lambda rows, n: _ftrl(x, value, y, len(names), rows, n)
@@ -258,16 +261,47 @@ def training_sample(documents: DataFrame, per_label: int = DOCUMENTS_PER_LABEL,
             for i, name, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 own = [s for _, s, n in sentences(text) if n >= 3]
                 step = max(1, len(own) // per_document)
-                rows += [(i, name, s[:400]) for s in own[::step][:per_document]]
+                rows += [(i, name, s[:SENTENCE_CHARACTERS]) for s in own[::step][:per_document]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "label", "text"])
 
     return picked.select("doc_id", "label", "text").mapInArrow(cut, "doc_id bigint, label string, text string")
 
 
+def frequencies(documents: DataFrame, chunk: int = 200_000) -> tuple[np.ndarray, int]:
+    """In how many sentences of all documents each hashed n-gram occurs, and how many sentences there are.
+
+    Counted inside each task, so at most 2 ** BITS counts of it are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            met: Counter = Counter()
+            for text in b.column("text").to_pylist():
+                met.update({s for _, s, words in sentences(text) if words >= 3})
+            texts, times = list(met), np.array(list(met.values()), np.int64)
+            total, at = total + int(times.sum()), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < chunk:
+                    size += len(texts[end]) + 2
+                    end += 1
+                row, feature = grams(texts[at:end])
+                key = np.unique(row << BITS | feature)
+                n += np.bincount(key & ((1 << BITS) - 1), weights=times[at:end][key >> BITS], minlength=1 << BITS).astype(np.int64)
+                at = end
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *own], pa.int32()), pa.array([total, *n[own]], pa.int64())], names=["feature", "n"])
+
+    counts = documents.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    out, own = np.zeros(1 << BITS, np.int64), counts["feature"] >= 0
+    out[counts["feature"][own]] = counts["n"][own]
+    return out, int(counts["n"][~own].sum())
+
+
 def fit(documents: DataFrame) -> Model | None:
     """Model of the labels in documents; None if there are none."""
     rows = sorted(map(tuple, training_sample(documents).distinct().collect()))
-    return train([r[2] for r in rows], [r[1] for r in rows], [r[0] for r in rows]) if rows else None
+    return train([r[2] for r in rows], [r[1] for r in rows], [r[0] for r in rows], frequencies=frequencies(documents)) if rows else None
 
 
 # ------------------------------------------------------------------------------------------------ application

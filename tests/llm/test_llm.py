@@ -232,6 +232,21 @@ def test_languages(spark):
     assert G.found(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_gram_frequencies_cover_all_documents(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [written(rnd, "en", 3) for _ in range(30)] + ["Zyx wvu tsr qpo.", None, ""]
+    df = spark.createDataFrame([(k, t, "en" if k < 5 else None, "s", 0, 0) for k, t in enumerate(texts)], DOCS)
+    every = [s for t in texts for s in {s for _, s, n in G.sentences(t) if n >= 3}]
+    want = [0] * (1 << G.BITS)
+    for s in every:
+        for f in set(G.grams([s])[1].tolist()):
+            want[f] += 1
+    given = {}
+    monkeypatch.setattr(G, "train", lambda *a, **k: given.update(k))
+    G.fit(df)
+    assert given["frequencies"][1] == len(every) and given["frequencies"][0].tolist() == want
+
+
 def test_held_out_accuracy_and_calibration():
     rnd = random.Random(8)
     sample = [(lang, written(rnd, lang, 1)) for lang in TEMPLATES for _ in range(200)]
