@@ -59,7 +59,7 @@ def value_shape(v: object) -> str:
         return ""
     if len(v) > 96 or v.count(" ") > 2:
         return f"text{len(v).bit_length() // 2}"
-    return v.lower() if _WORD.fullmatch(v) else _RUN.sub("w", v)[:24]
+    return v.lower() if _WORD.fullmatch(v) else _RUN.sub("w", v)
 
 
 def fields(node: object, path: str = "") -> Iterator[tuple[str, object]]:

@@ -39,6 +39,14 @@ def test_removed_and_added_without_like_values_are_no_rename(spark):
     assert got == {("removed", "version"), ("added", "locale")}
 
 
+def test_value_shapes_are_compared_whole(spark):
+    path = "/".join("abcdefghijklm")
+    one = [base(n, origin=f"{path}/{n}.log") for n in range(20)]
+    two = [base(n, target=f"{path}/{n}:80?q=1") for n in range(20)]
+    got = {tuple(r) for r in D.changes(files(spark, one, two)).select("change", "field_path").collect()}
+    assert got == {("removed", "origin"), ("added", "target")}
+
+
 def test_consistent_table_replays_rescued_values(spark):
     one = [base(n) for n in range(20)]
     two = [{**{("ts" if k == "timestamp" else k): v for k, v in base(n).items()}, "type": {"name": base(n)["type"]}, "extra": n} for n in range(20)]
