@@ -142,7 +142,7 @@ def role_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def account_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, sessions and rows of repeated content of each source."""
+    """Rows, sessions and message rows of each source."""
     rows = table(spark, folder, "response_items")
     return rows.groupBy("source").agg(F.count("*").alias("scanned"), F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("payload.type") == "message").alias("messages"))
 
