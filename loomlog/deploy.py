@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -20,5 +21,6 @@ def ship(spark: SparkSession) -> None:
     with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
+    atexit.register(lambda: os.path.exists(name) and os.unlink(name))  # served to the executors by the driver until then
     context.addPyFile(name)
     context._loomlog_shipped = True

@@ -3,9 +3,10 @@
 Each value is reduced to a character-class shape mask (digit 9, upper A, lower a, everything else itself).
 Every distinct mask is compiled once to a parser: the positions of its fields.  All values of a mask are then
 converted together on a code-point matrix, and wall times go through zone transition tables built from the
-installed, versioned tz database.
+installed, versioned tz database.  Values are laid out in matrices by length class, so one very long value costs its
+own row only, and no length is too long.
 
-Defined results for odd input: null, empty, over-long and unknown notations, impossible dates or times, skipped
+Defined results for odd input: null, empty and unknown notations, impossible dates or times, skipped
 wall times and unknown zones give no instant; digits after the microsecond are cut off.
 """
 
@@ -23,8 +24,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomlog.storage import materialize
 
-#: Wider values match no notation below.
-WIDTH = 72
 DAY, US = 86_400, 1_000_000
 NONE = np.iinfo(np.int64).min
 
@@ -61,7 +60,7 @@ NOTATIONS = [
 NUMBER = re.compile(r"(?P<n>9{1,18})(?:\.(?P<f>9+))?")
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=4096)
 def notation(mask: str) -> dict[str, tuple[int, int]] | None:
     """The parser of a mask: field name to (start, end); None for masks of no notation."""
     for p in (NUMBER, *NOTATIONS):
@@ -80,25 +79,34 @@ def zone_version() -> str:
         return "system"
 
 
+#: Rules repeat after the 400 years of the calendar: from CYCLE on a table holds one such period.
+CYCLE, PERIOD = 2100, 146_097 * DAY * US
+
+
 @lru_cache(maxsize=None)
-def transitions(zone: str, version: str, first: int = 1900, last: int = 2150) -> tuple[np.ndarray, np.ndarray] | None:
-    """(instants of change, offsets) in microseconds; offset i holds before instant i.  None: no such zone."""
+def transitions(zone: str, version: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(instants of change, offsets) in microseconds; offset i holds before instant i.  None: no such zone.
+
+    Covers the years 1800 to CYCLE + 400; later ones are carried back by whole periods."""
     try:
         z = ZoneInfo(zone)
     except Exception:
         return None
     at = lambda s: round(datetime.fromtimestamp(s, timezone.utc).astimezone(z).utcoffset().total_seconds())
-    s, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (first, last))
-    step, instants, offsets = 10 * DAY, [], [at(s)]
-    while s < end:
-        if (now := at(s + step)) != offsets[-1]:
-            a, b = s, s + step
-            while b - a > 1:
-                c = (a + b) // 2
-                a, b = (c, b) if at(c) == offsets[-1] else (a, c)
-            instants.append(b)
-            offsets.append(now)
-        s += step
+    start = lambda y: int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp())
+    s, instants = start(1800), []
+    offsets = [at(s)]
+    # changes lie close together only while they are decreed one by one
+    for end, step in ((start(1900), 30 * DAY), (start(CYCLE), 10 * DAY), (start(CYCLE + 400), 30 * DAY)):
+        while s < end:
+            if (now := at(s + step)) != offsets[-1]:
+                a, b = s, s + step
+                while b - a > 1:
+                    c = (a + b) // 2
+                    a, b = (c, b) if at(c) == offsets[-1] else (a, c)
+                instants.append(b)
+                offsets.append(now)
+            s += step
     return np.array(instants, dtype=np.int64) * US, np.array(offsets, dtype=np.int64) * US
 
 
@@ -108,6 +116,9 @@ def wall_to_utc(wall: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray, np
     if (table := transitions(zone, zone_version())) is None:
         return none, none, none
     instants, offsets = table
+    lead = int(datetime(CYCLE + 399, 1, 1, tzinfo=timezone.utc).timestamp()) * US
+    back = np.maximum(-(-(wall - lead) // PERIOD), 0) * PERIOD
+    wall = wall - back
     low = np.concatenate([[-(2**62)], instants])
     high = np.concatenate([instants, [2**62]])
     first = np.searchsorted(instants, wall - DAY * US)
@@ -119,7 +130,7 @@ def wall_to_utc(wall: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray, np
         change = np.where(fits & (early != NONE), low[i], change)
         late = np.where(fits & (early != NONE), u, late)
         early = np.where(fits & (early == NONE), u, early)
-    return early, late, change
+    return tuple(np.where(x == NONE, NONE, x + back) for x in (early, late, change))
 
 
 def days_since_1970(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -218,32 +229,40 @@ def parse(values: list[str | None], zones: list[str | None]) -> tuple[np.ndarray
     that occur twice."""
     n = len(values)
     stripped = [v.strip() if v is not None else "" for v in values]
-    fits = np.array([0 < len(s) <= WIDTH and s.isascii() for s in stripped], dtype=bool)
     early, late, change = (np.full(n, NONE) for _ in range(3))
     plain = np.zeros(n, dtype=bool)
-    rows = np.flatnonzero(fits)
-    if not len(rows):
-        return early, late, change, plain
-    text = np.array([stripped[i] for i in rows], dtype=f"U{WIDTH}")
-    codes = text.view(np.uint32).reshape(len(rows), WIDTH)
-    classes = np.arange(128, dtype=np.uint8)
-    for first, last, to in (("0", "9", "9"), ("A", "Z", "A"), ("a", "z", "a")):
-        classes[ord(first) : ord(last) + 1] = ord(to)
-    masks, back = np.unique(classes[codes].view(f"S{WIDTH}").ravel(), return_inverse=True)
+    # the length class of a value is the power of two that holds it, so no matrix is more than twice as wide as its rows
+    bits = np.array([len(s).bit_length() if s and s.isascii() and "\0" not in s else 0 for s in stripped], dtype=np.int64)
+    for k in np.unique(bits[bits > 0]):
+        rows, width = np.flatnonzero(bits == k), 1 << int(k)
+        most = max(1, (1 << 24) // width)
+        for at in range(0, len(rows), most):
+            _parse_rows(rows[at : at + most], width, values, stripped, zones, (early, late, change, plain))
+    return early, late, change, plain
+
+
+_CLASSES = np.arange(128, dtype=np.uint8)
+for _first, _last, _to in (("0", "9", "9"), ("A", "Z", "A"), ("a", "z", "a")):
+    _CLASSES[ord(_first) : ord(_last) + 1] = ord(_to)
+
+
+def _parse_rows(rows: np.ndarray, width: int, values: list, stripped: list[str], zones: list, out: tuple) -> None:
+    """Values of one length class: masks, then each mask's values together."""
+    early, late, change, plain = out
+    codes = np.array([stripped[i] for i in rows], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width)
+    masks, back = np.unique(_CLASSES[codes].view(f"S{width}").ravel(), return_inverse=True)
     order = np.argsort(back, kind="stable")
     bounds = np.searchsorted(back[order], np.arange(len(masks) + 1))
-    zone = np.array(zones, dtype=object)
+    zone = np.array([zones[i] for i in rows], dtype=object)
     bare = np.array([len(values[i]) == len(stripped[i]) for i in rows], dtype=bool)
     for k, mask in enumerate(masks):
         if (at := notation(mask.decode())) is None:
             continue
         own = order[bounds[k] : bounds[k + 1]]
-        e, l, c = _convert(codes[own], at, zone[rows[own]])
-        early[rows[own]], late[rows[own]], change[rows[own]] = e, l, c
+        early[rows[own]], late[rows[own]], change[rows[own]] = _convert(codes[own], at, zone[own])
         if re.fullmatch(rb"9999-99-99A99:99:99(\.9+)?A", mask):
             last = len(mask) - 1
             plain[rows[own]] = bare[own] & (codes[own, 10] == ord("T")) & (codes[own, last] == ord("Z"))
-    return early, late, change, plain
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Log lines with their byte ranges, from plain or zstd-compressed files.
 
 A data source that yields (path, line_no, byte_start, byte_end, raw): binary lines ended by a line feed, offsets in the
-decompressed bytes.  Files are the unit of parallelism; one line at a time is held.  Option ``maxLines`` stops after the
-first lines of each file.  Paths must be readable on the executors (a shared mount).
+decompressed bytes.  Plain files are read in splits of ``splitBytes``, compressed ones whole; one line at a time is held.
+Option ``maxLines`` stops after the first lines of each file.  Paths must be readable on the executors (a shared mount).
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import io
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+SPLIT_BYTES = 128 << 20
+SPLIT_SCHEMA = "path string, split int, line_no bigint, byte_start bigint, byte_end bigint, raw binary"
 SCHEMA = "path string, line_no bigint, byte_start bigint, byte_end bigint, raw binary"
 
 
@@ -27,44 +29,84 @@ def files(path: str) -> list[str]:
     return sorted(found)
 
 
+class _Frames(io.RawIOBase):
+    """Decompressed bytes of all frames of a stream, one after another; an incomplete frame raises, wherever it ends."""
+
+    def __init__(self, raw, path: str):
+        import zstandard
+
+        self.raw, self.path, self.frame = raw, path, zstandard.ZstdDecompressor()
+        self.open, self.left, self.ready = None, b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.ready:
+            piece, self.left = self.left or self.raw.read(1 << 20), b""
+            if not piece:
+                if self.open is not None:
+                    raise EOFError(f"incomplete zstd frame at the end of {self.path}")
+                return 0
+            self.open = self.open or self.frame.decompressobj()
+            self.ready = self.open.decompress(piece)
+            if self.open.eof:
+                self.left, self.open = self.open.unused_data, None
+        n = min(len(buffer), len(self.ready))
+        buffer[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
+
+    def close(self) -> None:
+        self.raw.close()
+        super().close()
+
+
 def open_log(path: str):
     """Binary stream of a file; all frames of a compressed one.  An incomplete last frame raises when it is reached."""
     raw = open(path, "rb")
-    if not path.endswith(".zst"):
-        return raw
-    import zstandard
-
-    return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True, closefd=True))
+    return io.BufferedReader(_Frames(raw, path), 1 << 20) if path.endswith(".zst") else raw
 
 
-def lines_of(stream, most: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
-    at = 0
+def lines_of(stream, at: int = 0, end: int | None = None, most: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """Lines of a stream that stands at byte ``at``, up to the one that begins before ``end``."""
     for number, line in enumerate(stream, 1):
-        if most is not None and number > most:
+        if most is not None and number > most or end is not None and at >= end:
             return
         yield number, at, at + len(line), line[:-1] if line.endswith(b"\n") else line
         at += len(line)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
+class _Split(InputPartition):
+    def __init__(self, path: str, number: int, start: int, end: int | None):
         super().__init__(path)
-        self.path = path
+        self.path, self.number, self.start, self.end = path, number, start, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.most = options["path"], options.get("maxLines") or options.get("maxlines")
-
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in files(self.path)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if partition is None or getattr(partition, "path", None) is None:
+        self.size = int(options.get("splitBytes") or options.get("splitbytes") or SPLIT_BYTES)
+
+    def partitions(self) -> list[_Split]:
+        out = []
+        for p in files(self.path):
+            size = os.path.getsize(p)
+            if p.endswith(".zst") or self.most or size <= self.size:
+                out.append(_Split(p, 0, 0, None))
+            else:
+                out += [_Split(p, k, at, min(size, at + self.size)) for k, at in enumerate(range(0, size, self.size))]
+        return out
+
+    def read(self, split: _Split) -> Iterator[tuple]:
+        if getattr(split, "path", None) is None:
             return
-        with open_log(partition.path) as stream:
-            for number, start, end, raw in lines_of(stream, int(self.most) if self.most else None):
-                yield partition.path, number, start, end, raw
+        with open_log(split.path) as stream:
+            at = split.start
+            if at:  # a line belongs to the split that it begins in
+                stream.seek(at - 1)
+                at += len(stream.readline()) - 1
+            for number, start, end, raw in lines_of(stream, at, split.end, int(self.most) if self.most else None):
+                yield split.path, split.number, number, start, end, raw
 
 
 class LogLines(DataSource):
@@ -73,16 +115,26 @@ class LogLines(DataSource):
         return "loglines"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SPLIT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
-def read_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Lines of all log files at a path.  No file gives an empty table."""
-    if not files(path):
+def read_lines(spark: SparkSession, path: str, most: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Lines of all log files at a path.  No file gives an empty table.
+
+    Large plain files are read in splits.  Line numbers count within a split; the splits before one add their lines, for
+    which only files with several splits are read twice."""
+    found = files(path)
+    if not found:
         return spark.createDataFrame([], SCHEMA)
     spark.dataSource.register(LogLines)
-    reader = spark.read.format("loglines").option("path", path)
-    return (reader.option("maxLines", str(most)) if most else reader).load()
+    reader = spark.read.format("loglines").option("path", path).option("splitBytes", str(split_bytes))
+    rows = (reader.option("maxLines", str(most)) if most else reader).load()
+    if most or not any(os.path.getsize(p) > split_bytes for p in found if not p.endswith(".zst")):
+        return rows.drop("split")
+    counts = rows.groupBy("path", "split").agg(F.count("*").alias("lines"))
+    before = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("path", "split", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, ["path", "split"]).select("path", (F.col("line_no") + F.col("before")).alias("line_no"), "byte_start", "byte_end", "raw")

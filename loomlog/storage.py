@@ -1,12 +1,14 @@
 """Shared scratch tables: where lineage is cut, the rows go to the folder the cluster names.
 
-``spark.checkpoint.dir`` is read from the session; a local folder is used only where it is unset
-(tests and single-machine runs).  Tables are removed when the driver process ends.
+``spark.checkpoint.dir`` is read from the session; where it is unset, a local folder is used on a local master only,
+and any other master raises, as its executors would write to disks of their own.  Tables are removed when the driver
+process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, without a trailing slash."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:  # no cluster named one: a test or a single machine
+    if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = spark.sparkContext.applicationId
         if own not in _local:
             _local[own] = "file://" + tempfile.mkdtemp(prefix="loomlog-")

@@ -23,9 +23,37 @@ def test_lines_with_byte_ranges(spark, tmp_path):
         assert [r["line_no"] for r in own] == [1, 2, 3, 4] and b"\n".join(bytes(r["raw"]) for r in own) == body
         assert all(body[r["byte_start"] : r["byte_end"]].rstrip(b"\n") == bytes(r["raw"]).rstrip(b"\n") for r in own)
     assert lines.read_lines(spark, str(tmp_path), most=2).count() == 4
+    for size in (1, 3, 7, 16):
+        again = sorted(map(tuple, lines.read_lines(spark, str(tmp_path / "a.jsonl"), split_bytes=size).collect()))
+        assert again == sorted(map(tuple, (r for r in rows if r["path"].endswith("a.jsonl"))))
     assert lines.read_lines(spark, str(tmp_path / "none*")).collect() == []
 
 
+def test_incomplete_frames_raise(spark, tmp_path):
+    import zstandard
+
+    body = b"".join(b'{"n": %d}\n' % n for n in range(5000))
+    whole = zstandard.ZstdCompressor().compress(body)
+    for name, data in (("half", whole[: len(whole) // 2]), ("second", whole + whole[:-1])):
+        path = tmp_path / f"{name}.jsonl.zst"
+        path.write_bytes(data)
+        with pytest.raises(Exception, match="incomplete zstd frame"):
+            lines.read_lines(spark, str(path)).collect()
+    (tmp_path / "whole.jsonl.zst").write_bytes(whole + whole)
+    assert lines.read_lines(spark, str(tmp_path / "whole.jsonl.zst")).count() == 10_000
+
+
+def test_scratch_folders_are_shared_or_local():
+    from types import SimpleNamespace
+
+    from loomlog import storage
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, applicationId="x", master="yarn"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(session)
+
+
 def test_database_and_titles(spark, tmp_path):
     ids = [f"{k:08x}-0000-0000-0000-000000000000" for k in range(3)]
     con = sqlite3.connect(tmp_path / "c.sqlite")

@@ -42,6 +42,14 @@ def one(value, zone=None):
         ("May 24, 2025 at 05:14:07 PM", "America/Chicago", us(2025, 5, 24, 22, 14, 7)),
         ("2025-12-13T04:38:01-03:00[America/Sao_Paulo]", None, us(2025, 12, 13, 7, 38, 1)),
         ("2025-12-13T04:38:01[Asia/Kathmandu]", None, us(2025, 12, 12, 22, 53, 1)),
+        ("2024-02-01T16:04:05." + "1" * 60 + "Z", None, us(2024, 2, 1, 16, 4, 5, micro=111111)),  # any number of digits
+        ("2024-02-01T16:04:05." + "9" * 300_000 + "Z", None, us(2024, 2, 1, 16, 4, 5, micro=999999)),
+        ("2160-07-01 12:00:00", "America/New_York", us(2160, 7, 1, 16)),  # rules go on for ever
+        ("2160-01-01 12:00:00", "America/New_York", us(2160, 1, 1, 17)),
+        ("9999-07-01 12:00:00", "Europe/Berlin", us(9999, 7, 1, 10)),
+        ("2499-12-31 23:30:00", "America/New_York", us(2500, 1, 1, 4, 30)),
+        ("1850-07-01 12:00:00", "America/New_York", us(1850, 7, 1, 16, 56, 2)),  # local mean time
+        ("2024-02-01T16:04:05Z\0", None, None),
         ("2024-10-10 09:04:30.56", None, None),  # wall time without a zone
         ("2024-10-10 09:04:30.56", "Mars/Base", None),
         ("2024-03-10 02:30:00", "America/New_York", None),  # skipped
