@@ -2,9 +2,10 @@
 
 A record is seven fields, each free of quotes and line breaks or enclosed in quotes with inner quotes doubled.
 The parse is a dynamic program over (token, automaton state, finished fields) whose edits insert or delete quotes
-and delimiters at cost 1.  Its layer of cost 0 is the plain automaton run, done first for every row; further layers
-are opened only for rows that it does not bring to the goal.  Rows of cost 0 whose values have their types load; for
-the others the edits and the reason are reported.
+and delimiters at cost 1.  It runs twice: with any number of fields, where a cost above 0 means that the quoting needs
+edits (``quoting``), and with seven, where a cost above 0 means that fields have to be made or joined
+(``column_count``).  A plain run of the automaton goes before it and settles only the rows of cost 0, which load if
+their values have their types and are rejected as ``value`` otherwise.  Edits are traced back only where they are asked for.
 
 Defined results for odd input: a null line counts as an empty one (one empty field: column_count), a null or empty
 delimiter as a comma.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,87 +79,110 @@ def free_parse(line: str, delim: str) -> list[str] | None:
         at = m.end()
 
 
-def cheapest_edits(line: str, delim: str, columns: int = len(FIELDS)) -> tuple[int, list[str]]:
-    """(cost, edits) of the cheapest way to make the line a record of so many columns.
+_NEVER = 1 << 40
+_MOVES = ("", "insert-quote", "delete-quote", "insert-delimiter", "delete-delimiter")
+_INSERT_QUOTE, _DELETE_QUOTE, _INSERT_DELIMITER, _DELETE_DELIMITER = range(1, 5)
 
-    Edits are named kind@offset.  Of equally cheap ways the one found first counts, quotes before delimiters."""
+
+def repair(line: str, delim: str, columns: int | None = len(FIELDS), trace: bool = True) -> tuple[int, list[str] | None]:
+    """(cost, edits) of the cheapest way to make the line a record of so many columns, or of any number (None).
+
+    Cells are state + 4 * finished fields; with any number of columns the fields are not counted.  Insertions lead from a
+    cell to later cells only, so that one sweep settles them; uncounted, a delimiter leads back to the first cell, which
+    a second sweep settles.  Edits are named kind@offset; without trace they are None and no steps are kept."""
     tokens = [(m.lastindex, m.start()) for m in _patterns(delim)[1].finditer(line)]
-    # best[(state, finished fields)] = (cost, edit chain); a chain is (earlier chain, edit)
-    best = {(START, 0): (0, None)}
-    last = columns - 1
-
-    def inserted(layer: dict, at: int) -> dict:
-        todo = sorted(layer, key=lambda k: layer[k][0])
-        while todo:
-            state, f = key = todo.pop(0)
-            cost, chain = layer[key]
-            new = []
-            if state == START:
-                new.append(((QUOTED, f), "insert-quote"))
-            if state == QUOTED:
-                new.append(((CLOSED, f), "insert-quote"))
-            if state != QUOTED and f < last:
-                new.append(((START, f + 1), "insert-delimiter"))
-            for k, edit in new:
-                if k not in layer or cost + 1 < layer[k][0]:
-                    layer[k] = (cost + 1, (chain, f"{edit}@{at}"))
-                    todo.append(k)
-        return layer
-
-    for kind, at in tokens:
-        after: dict = {}
-
-        def reach(key: tuple, cost: int, chain: tuple | None) -> None:
-            if key not in after or cost < after[key][0]:  # noqa: B023
-                after[key] = (cost, chain)  # noqa: B023
-
-        for (state, f), (cost, chain) in inserted(best, at).items():
+    last = 0 if columns is None else columns - 1
+    cells, forward = 4 * (last + 1), 4 if columns else 0
+    cost = [_NEVER] * cells
+    cost[START] = 0
+    steps: list[tuple[list[int], list[int]]] = []  # for each layer: the cell each cell came from, and by which move
+
+    def insertions(cost: list[int]) -> None:
+        came, move = list(range(cells)), [0] * cells
+        for _ in range(1 if columns else 2):
+            for c in range(cells):
+                state, n = c & 3, cost[c] + 1
+                if state == START and n < cost[c + QUOTED]:
+                    cost[c + QUOTED], came[c + QUOTED], move[c + QUOTED] = n, c, _INSERT_QUOTE
+                if state == QUOTED:
+                    if n < cost[c + 1]:
+                        cost[c + 1], came[c + 1], move[c + 1] = n, c, _INSERT_QUOTE
+                elif c >> 2 < last or columns is None:
+                    to = (c & ~3) + forward
+                    if n < cost[to]:
+                        cost[to], came[to], move[to] = n, c, _INSERT_DELIMITER
+        if trace:
+            steps.append((came, move))
+
+    for kind, _ in tokens:
+        insertions(cost)
+        after, came, move = [_NEVER] * cells, [0] * cells, [0] * cells
+        for c in range(cells):
+            n = cost[c]
+            if n >= _NEVER:
+                continue
+            state, field = c & 3, c & ~3
             if kind == 1:
-                if state == START:
-                    reach((QUOTED, f), cost, chain)
+                ways = [(c, n + 1, _DELETE_QUOTE)]
+                if state in (START, CLOSED):
+                    ways.append((field + QUOTED, n, 0))
                 elif state == QUOTED:
-                    reach((CLOSED, f), cost, chain)
-                    reach((QUOTED, f), cost + 1, (chain, f"insert-quote@{at}"))
-                elif state == CLOSED:
-                    reach((QUOTED, f), cost, chain)
-                reach((state, f), cost + 1, (chain, f"delete-quote@{at}"))
-            elif kind == 2:
-                if state == QUOTED:
-                    reach((QUOTED, f), cost, chain)
-                else:
-                    if f < last:
-                        reach((START, f + 1), cost, chain)
-                    reach((state, f), cost + 1, (chain, f"delete-delimiter@{at}"))
+                    ways += [(field + CLOSED, n, 0), (c, n + 1, _INSERT_QUOTE)]
             elif state == QUOTED:
-                reach((QUOTED, f), cost, chain)
-            elif kind == 4 and state != CLOSED:
-                reach((BARE, f), cost, chain)
-        best = after
-    ends = [v for k, v in inserted(best, len(line)).items() if k[1] == last and k[0] != QUOTED]
-    cost, chain = min(ends, key=lambda v: v[0])
-    edits: list[str] = []
-    while chain:
-        chain, edit = chain
-        edits.append(edit)
-    return cost, edits[::-1]
-
-
-def parse_line(line: str | None, delim: str | None) -> tuple[list[str] | None, str | None, int, str | None]:
+                ways = [(c, n, 0)]
+            elif kind == 2:
+                ways = [(c, n + 1, _DELETE_DELIMITER)]
+                if c >> 2 < last or columns is None:
+                    ways.append((field + forward, n, 0))
+            else:
+                ways = [(field + BARE, n, 0)] if kind == 4 and state != CLOSED else []
+            for to, total, how in ways:
+                if total < after[to]:
+                    after[to], came[to], move[to] = total, c, how
+        cost = after
+        if trace:
+            steps.append((came, move))
+    insertions(cost)
+    at = min((4 * last + s for s in (START, BARE, CLOSED)), key=lambda c: cost[c])
+    if not trace:
+        return cost[at], None
+    best, edits = cost[at], []
+    for layer in range(len(steps) - 1, -1, -1):
+        came, move = steps[layer]
+        offset = tokens[layer // 2][1] if layer // 2 < len(tokens) else len(line)
+        while move[at]:
+            edits.append(f"{_MOVES[move[at]]}@{offset}")
+            at = came[at]
+            if layer % 2:  # a token is passed in one step; insertions before it may follow each other
+                break
+        else:
+            at = came[at]
+    return best, edits[::-1]
+
+
+def parse_line(line: str | None, delim: str | None, trace: bool = True) -> tuple[list[str] | None, str | None, int, str | None]:
     """(fields of a row that loads, reason of one that does not, cost, edits)."""
     line, delim = line or "", delim or ","
     fields = free_parse(line, delim)
-    if fields is not None and len(fields) == len(FIELDS):
+    if fields is not None and len(fields) == len(FIELDS):  # nothing to edit
         return (fields, None, 0, None) if values_fit(fields) else (None, "value", 0, None)
-    cost, edits = cheapest_edits(line, delim)
-    return None, "quoting" if fields is None else "column_count", cost, ";".join(edits)
+    cost, edits = repair(line, delim, None, trace)
+    if cost:
+        reason = "quoting"
+        if trace:
+            cost, edits = repair(line, delim)
+    else:
+        cost, edits = repair(line, delim, len(FIELDS), trace)
+        reason = "column_count"
+    return None, reason, cost, ";".join(edits) if trace else None
 
 
 PARSED = "raw_id bigint, file_name string, " + ", ".join(f"{f} string" for f in FIELDS) + ", reason string, cost int, edits string"
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], trace: bool = True) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [parse_line(x, d) for x, d in zip(b.column("raw_line").to_pylist(), b.column("delim").to_pylist())]
+        rows = [parse_line(x, d, trace) for x, d in zip(b.column("raw_line").to_pylist(), b.column("delim").to_pylist())]
         columns = [pa.array([r[0][k] if r[0] else None for r in rows], pa.string()) for k in range(len(FIELDS))]
         yield pa.RecordBatch.from_arrays(
             [b.column("raw_id"), b.column("file_name"), *columns, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())],
@@ -166,18 +190,25 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """One row for each raw row: its seven fields, or the reason, the cost and the edits.  No shuffle."""
-    return raw.select("raw_id", "file_name", "delim", "raw_line").mapInArrow(_batches, PARSED)
+def parse(raw: DataFrame, trace: bool = True) -> DataFrame:
+    """One row for each raw row: its seven fields, or the reason, the cost and (with trace) the edits.  No shuffle.
+
+    Without trace the cost is that of the run that gave the reason."""
+    return raw.select("raw_id", "file_name", "delim", "raw_line").mapInArrow(partial(_batches, trace=trace), PARSED)
 
 
 def loaded(raw: DataFrame) -> DataFrame:
     """The rows that load, typed."""
-    return parse(raw).where("reason is null").selectExpr(
+    return parse(raw, trace=False).where("reason is null").selectExpr(
         "raw_id", "file_name", "session_id", "to_timestamp(timestamp) as timestamp", "type", "role", "content_type", "cast(n_chars as bigint) as n_chars", "text"
     )
 
 
+def reasons(raw: DataFrame) -> DataFrame:
+    """The rows that do not load, with the reason."""
+    return parse(raw, trace=False).where("reason is not null").select("raw_id", "reason")
+
+
 def rejected(raw: DataFrame) -> DataFrame:
     """The rows that do not, with the reason and the cheapest repair."""
     return parse(raw).where("reason is not null").select("raw_id", "file_name", "reason", "cost", "edits")

@@ -21,7 +21,7 @@ def p1_normalised(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that do not load, with the reason."""
-    return error_parse.rejected(table(spark, folder, "raw_items")).select("raw_id", "reason")
+    return error_parse.reasons(table(spark, folder, "raw_items"))
 
 
 def p3_rejected(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,11 +37,11 @@ def test_reasons():
 
 
 def test_edits_state_the_repair():
-    assert E.cheapest_edits(line('"open'), ",")[0] == 1
-    assert E.cheapest_edits(line("one, two"), ",")[0] == 1
-    assert E.cheapest_edits("", ",")[0] == 6
-    assert E.cheapest_edits(line(), ",") == (0, [])
-    assert E.cheapest_edits("\n\n", ",")[0] >= 7
+    assert E.repair(line('"open'), ",")[0] == 1
+    assert E.repair(line("one, two"), ",")[0] == 1
+    assert E.repair("", ",")[0] == 6
+    assert E.repair(line(), ",") == (0, [])
+    assert E.repair("\n\n", ",")[0] >= 7
 
 
 @settings(max_examples=60, deadline=None)
@@ -50,7 +50,7 @@ def test_written_records_cost_nothing(fields):
     out = io.StringIO()
     csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="").writerow(fields)
     assert E.free_parse(out.getvalue(), ",") == fields
-    assert E.cheapest_edits(out.getvalue(), ",")[0] == 0
+    assert E.repair(out.getvalue(), ",")[0] == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -72,10 +72,41 @@ def test_cost_against_brute_force(text):
     best, level = 0, {text}
     while not any(map(sound, level)) and best < 3:
         level, best = {e for t in level for e in edits(t)}, best + 1
-    cost = E.cheapest_edits(text, ",", 3)[0]
+    cost = E.repair(text, ",", 3)[0]
     assert cost == best if best < 3 else cost >= 3
 
 
+def applied(text, edits):
+    """The text after edits kind@offset."""
+    out = list(text) + [""]
+    for e in reversed(edits):
+        kind, at = e.split("@")
+        at, c = int(at), '"' if kind.endswith("quote") else ","
+        out[at] = c + out[at] if kind.startswith("insert") else out[at][:-1]
+    return "".join(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='a",', max_size=12))
+def test_edits_make_a_record(text):
+    for columns in (None, 1, 3, 7):
+        cost, edits = E.repair(text, ",", columns)
+        assert len(edits) == cost == E.repair(text, ",", columns, trace=False)[0]
+        fields = E.free_parse(applied(text, edits), ",")
+        assert fields is not None and columns in (None, len(fields))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='a",\n', max_size=12))
+def test_reasons_follow_the_costs(text):
+    assert (E.repair(text, ",", None)[0] > 0) == (E.free_parse(text, ",") is None)
+    assert E.parse_line(text, ",")[:2] == E.parse_line(text, ",", trace=False)[:2]
+
+
+def test_very_long_broken_records(spark):
+    assert reason("a," * 30_000 + '"') == "quoting" and reason("a," * 30_000) == "column_count"
+
+
 def test_tables(spark):
     schema = "raw_id bigint, file_name string, delim string, raw_line string, reason int, text int"
     rows = [(1, "f", ",", line(), 0, 0), (2, None, None, line("a|b"), 0, 0), (3, "f", "|", line().replace(",", "|"), 0, 0), (4, "f", ",", None, 0, 0), (4, "f", ",", None, 0, 0), (5, "f", ",", line("x" * 100_000), 0, 0)]
