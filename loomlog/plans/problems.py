@@ -55,12 +55,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(table(spark, folder, "drift_records")).select("file_name", "change", "field_path", "new_path")
 
 
+def p6_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many records of each file a target field was typed."""
+    done = drift.outcomes(drift.ingest(table(spark, folder, "drift_records"), rows=False))
+    return done.where("outcome = 'typed'").groupBy("file_name", "field_path").agg(F.sum("n").alias("n"))
+
+
 def p6_table(spark: SparkSession, folder: str) -> DataFrame:
     """All records in one consistent table, with what did not fit as JSON."""
     return drift.consistent(table(spark, folder, "drift_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p3_found, p3_rejected, p3_loaded, p5_found, p5_entries, p5_parts, p6_found, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p3_found, p3_rejected, p3_loaded, p5_found, p5_entries, p5_parts, p6_found, p6_outcomes, p6_table)}
 
 _ENTRIES = """(SELECT line_id, unnest(payload.replacement_history) AS h, generate_subscripts(payload.replacement_history, 1) AS i FROM rollout_lines)"""
 _DEEP = f"""SELECT 'rollout_lines' AS table_name, line_id AS record_id, CAST(i - 1 AS INTEGER) AS entry_pos, CAST(j - 1 AS INTEGER) AS part_pos, q
@@ -68,7 +74,13 @@ FROM (SELECT line_id, i, unnest(h.content) AS q, generate_subscripts(h.content,
 _FLAT = """SELECT 'response_items' AS table_name, item_id AS record_id, 0 AS entry_pos, CAST(j - 1 AS INTEGER) AS part_pos, q
 FROM (SELECT item_id, unnest(payload.content) AS q, generate_subscripts(payload.content, 1) AS j FROM response_items) WHERE q IS NOT NULL"""
 
+_JSON_TYPES = {"string": "= 'VARCHAR'", "array": "= 'ARRAY'", "number": "IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE')"}
+_TYPED = " UNION ALL ".join(
+    f"SELECT file_name, '{p}' AS field_path FROM j WHERE json_type(r, '$.{p}') {_JSON_TYPES[k]}" for p, k in drift.TARGET.items()
+)
+
 SQL = {
+    "p6_outcomes": f"WITH j AS (SELECT file_name, CAST(raw_json AS JSON) AS r FROM drift_records WHERE json_valid(raw_json)) SELECT file_name, field_path, count(*) AS n FROM ({_TYPED}) GROUP BY ALL",
     "p5_found": f"SELECT table_name, record_id, entry_pos, part_pos FROM ({_DEEP} UNION ALL {_FLAT})",
     "p5_entries": f"SELECT line_id, CAST(i - 1 AS INTEGER) AS entry_pos, h.type AS type, h.role AS role FROM {_ENTRIES} WHERE h IS NOT NULL",
     "p5_parts": f"SELECT table_name, record_id, entry_pos, part_pos, q.type AS type, q.text AS text FROM ({_DEEP} UNION ALL {_FLAT})",

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from loomlog.operators import drift as D
 
 SCHEMA = "record_id bigint, stream string, file_no int, file_name string, line_no int, raw_json string, typed int, path int"
@@ -58,13 +60,36 @@ def test_consistent_table_replays_rescued_values(spark):
         assert rows[n]["rescued"] is None and json.loads(rows[20 + n]["rescued"]) == {"extra": str(n)}
 
 
+def test_promoted_fields_are_replayed(spark):
+    one = [base(n) for n in range(20)]
+    two = [base(n, extra=[n, str(n), [n], {"v": n}][n % 4], on=n % 2 == 0) for n in range(20)]
+    df = files(spark, one, two)
+    assert {tuple(r) for r in D.changes(df).select("change", "field_path").collect()} == {("added", "extra"), ("added", "on")}
+    rows = {r["record_id"]: r for r in D.consistent(df, approved={"extra": "number", "on": "boolean"}).collect()}
+    assert [rows[20 + n]["extra"] for n in range(20)] == list(range(20)) and [rows[20 + n]["on"] for n in range(20)] == [n % 2 == 0 for n in range(20)]
+    assert all(rows[n]["extra"] is None and rows[20 + n]["rescued"] is None for n in range(20))
+    with pytest.raises(ValueError):
+        D.promote(D.TARGET, {"type": "number"})
+
+
+def test_fields_below_a_renamed_object_go_with_it(spark):
+    one = [base(n) for n in range(20)]
+    two = [{("body" if k == "payload" else k): v for k, v in base(n).items()} for n in range(20)]
+    three = [{k: ({("state" if c == "status" else c): x for c, x in v.items()} if k == "body" else v) for k, v in r.items()} for r in two]
+    df = files(spark, one, two, three)
+    assert {tuple(r) for r in D.changes(df).select("change", "field_path", "new_path").collect()} == {("renamed", "payload", "body"), ("renamed", "body.status", "body.state")}
+    rows = {r["record_id"]: r for r in D.consistent(df).collect()}
+    for k in range(60):
+        assert (rows[k]["payload_role"], rows[k]["payload_status"]) == (base(k % 20)["payload"]["role"], base(k % 20)["payload"]["status"]) and rows[k]["rescued"] is None
+
+
 def test_what_cannot_be_cast_stays_rescued(spark):
     usage = [{"total_tokens": v} for v in ("12", "many", [1, 2], ["7"], {"a": 1, "b": 2}, {"n": 5}, {"n": None})]
     rows = {r["record_id"]: r for r in D.consistent(files(spark, [base(n, usage=u) for n, u in enumerate(usage)] + [base(9, type=["a", "b"])])).collect()}
     assert [rows[n]["usage_total_tokens"] for n in range(8)] == [12, None, None, 7, None, 5, None, None] and rows[7]["type"] is None
     left = [None if rows[n]["rescued"] is None else {k: json.loads(v) for k, v in json.loads(rows[n]["rescued"]).items()} for n in range(8)]
     path = "usage.total_tokens"
-    assert left == [None, {path: "many"}, {path: [1, 2]}, None, {path: {"a": 1, "b": 2}}, None, {path: {"n": None}}, {"type": ["a", "b"]}]
+    assert left == [None, {path: "many"}, {path: [1, 2]}, None, {path + ".a": 1, path + ".b": 2}, None, {path: {"n": None}}, {"type": ["a", "b"]}]
 
 
 def test_fields_renamed_into_another_object_are_replayed(spark):
@@ -76,7 +101,7 @@ def test_fields_renamed_into_another_object_are_replayed(spark):
     rows = {r["record_id"]: r for r in D.consistent(df).collect()}
     assert [rows[20 + n]["type"] for n in range(20)] == [None] + [base(n)["type"] for n in range(1, 20)]
     assert json.loads(rows[20]["rescued"]) == {"meta.host": '"h"', "meta.kind": '["a", "b"]'}
-    assert json.loads(rows[21]["rescued"]) == {"meta.host": '"h"'} and json.loads(rows[1]["rescued"]) == {"meta": '{"host": "h"}'}
+    assert json.loads(rows[21]["rescued"]) == {"meta.host": '"h"'} and json.loads(rows[1]["rescued"]) == {"meta.host": '"h"'}
 
 
 def test_odd_input(spark):
