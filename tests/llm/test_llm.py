@@ -22,7 +22,7 @@ def item(session, role, time, *texts, kind="response_item", inner="message", at=
 def verdicts(spark, tmp_path, rows):
     path = str(tmp_path / "items.parquet")
     spark.createDataFrame(rows, ITEMS).write.mode("overwrite").parquet(path)
-    return {r["session_id"]: r["reason"] for r in C.verdicts(C.run_slices(spark, path)).collect()}, path
+    return {r["session_id"]: r["reason"] for r in C.verdicts(C.run(spark, path)).collect()}, path
 
 
 def test_conversations(spark, tmp_path):
@@ -52,6 +52,36 @@ def test_conversations(spark, tmp_path):
     assert talk == [(0, "user", "q"), (1, "assistant", "a"), (2, "user", "q"), (3, "assistant", "a")]
 
 
+def test_small_batches_with_late_rows(spark, tmp_path):
+    """Rows spread at random over files that are read one after another: the verdicts stay those of one batch."""
+    rnd, rows = random.Random(3), []
+    for s in range(30):
+        day = 1 + rnd.randrange(5)
+        for n in range(rnd.randrange(1, 9)):
+            role = ["user", "assistant"][n % 2 if rnd.random() < 0.95 else 0]
+            rows.append(item(f"s{s}", role, f"2025-01-{day:02}T{n:02}:{rnd.randrange(60):02}:00Z", f"t{n}"))
+    rows += rnd.choices(rows, k=20)  # redelivered
+    rnd.shuffle(rows)
+    path = str(tmp_path / "many.parquet")
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], ITEMS).coalesce(1).write.mode("append").parquet(path)
+    pick = lambda df: {r["session_id"]: r["reason"] for r in C.verdicts(df).collect()}
+    one = pick(C.run(spark, path))
+    assert len(one) == 30 and len(set(one.values())) > 1
+    assert pick(C.run(spark, path, files_per_batch=1)) == one
+    assert pick(C.run(spark, path, timeout="2 days")) == one
+
+
+def test_rows_beyond_the_delay_are_never_lost_silently(spark, tmp_path):
+    path = str(tmp_path / "late.parquet")
+    for k, day in enumerate((1, 20, 21, 22, 2)):
+        spark.createDataFrame([item("s", "user", f"2025-01-{day:02}T00:00:00Z", f"t{k}")], ITEMS).coalesce(1).write.mode("append").parquet(path)
+        __import__("time").sleep(0.1)  # files are taken in the order of their times
+    with pytest.raises(C.LateRows):
+        C.run(spark, path, files_per_batch=1, delay="1 day")
+    assert [r["reason"] for r in C.verdicts(C.run(spark, path, files_per_batch=1, delay="30 days")).collect()] == ["no_reply"]
+
+
 def test_conversations_of_an_empty_table(spark, tmp_path):
     assert verdicts(spark, tmp_path, [])[0] == {}
 
