@@ -2,9 +2,11 @@
 
 The largest total is taken at which no source needs more than its allowed repeats.  Every document of a source then has
 the same expected number of copies: a whole part, used as is, and a fraction, drawn by the cube method.  The flight
-moves the fractions of three documents at a time along the null space of the constraints (tokens, documents) until one
-of them is 0 or 1, so both totals stay as expected.  It runs in hashed blocks, each of which leaves a few open
-documents; those are flown again together until one block is left, and the landing decides its last few by the error in tokens.
+takes a hand of documents, largest first, and moves their fractions along the null space of both constraints (tokens,
+documents) until one of them is 0 or 1, so both totals stay as expected.  It runs in hashed blocks, each of which leaves
+at most LEFT documents; those are flown again together until one block is left.  The landing decides the last ones by
+dropping one constraint at a time: tokens first, then documents, so every document keeps its probability.  As large
+documents are decided first, the landing meets the smallest ones.
 
 Defined results for odd input: documents without a source or of a source without a target are left out; sources whose
 documents have no tokens cannot take part and their share is not reached; null texts count 0 tokens.
@@ -12,8 +14,6 @@ documents have no tokens cannot take part and their share is not reached; null t
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -21,57 +21,63 @@ from pyspark.sql import DataFrame, functions as F
 from loomlog.llm.tokens import TOKENIZER, with_tokens
 from loomlog.storage import materialize
 
-#: Documents of a block; documents that a block leaves to the next level; documents that the last block leaves to the
-#: landing, which tries all their choices.
-BLOCK, LEFT, LANDING = 2000, 10, 28
+#: Documents of a block; documents that a block leaves to the next level; documents that move together.
+BLOCK, LEFT, HAND = 2000, 2, 32
 FLOWN = "source string, doc_id bigint, tokens bigint, expected double, whole int, open double"
 EPS = 1e-9
 
 
-def flight(tokens: list[int], share: list[float], seed: str = "", leave: int = 2) -> list[float]:
-    """Moves shares until at most leave (2 or more) are left between 0 and 1; their sum and the sum of tokens times share stay.
+def _direction(tokens: np.ndarray, balanced: bool) -> np.ndarray:
+    """The first document's unit vector, projected on the moves that keep the sum (and, balanced, the tokens).
+
+    Zero if the first document cannot move."""
+    one = np.zeros(len(tokens))
+    one[0] = 1
+    rows = [np.ones(len(tokens))]
+    if balanced and np.ptp(tokens):
+        rows.append(tokens - tokens.mean())
+    for r in rows:
+        one -= r * (r @ one) / (r @ r)
+    return one
+
+
+def _moved(p: np.ndarray, v: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """p after one step of a martingale along v: to one of both ends, drawn so that every expected share stays."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(v > 0, (1 - p) / v, np.where(v < 0, p / -v, np.inf)).min()
+        down = np.where(v > 0, p / v, np.where(v < 0, (1 - p) / -v, np.inf)).min()
+    p = p + (up if draw.random() * (up + down) < down else -down) * v
+    return np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+
 
-    Each step is a martingale: its two ends are drawn so that every expected share stays too."""
-    rng = random.Random(seed)
-    p = list(share)
-    # in random order: a large document among small ones could not move, and would be left to the landing
-    waiting = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
-    rng.shuffle(waiting)
+def flight(tokens: list[int], share: list[float], seed: str = "", leave: int = LEFT, balanced: bool = True) -> list[float]:
+    """Moves shares until at most leave (2 or more; 1 or more if not balanced) are left between 0 and 1.
+
+    Their sum stays and, balanced, the sum of tokens times share too."""
+    draw = np.random.default_rng(list(seed.encode()))
+    size, p = np.array(tokens, float), np.array(share, float)
+    waiting = [i for i in np.argsort(-size, kind="stable") if EPS < p[i] < 1 - EPS][::-1]  # the largest comes last, and first out
     hand: list[int] = []
     while True:
-        while len(hand) < 3 and waiting:
+        while len(hand) < HAND and waiting:
             hand.append(waiting.pop())
         if len(hand) + len(waiting) <= leave:
-            return p
-        a, b, c = hand
-        u = (tokens[b] - tokens[c], tokens[c] - tokens[a], tokens[a] - tokens[b])
-        if not any(u):
-            u = (1, -1, 0)
-        up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(hand, u) if x)
-        down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(hand, u) if x)
-        step = up if rng.random() * (up + down) < down else -down
-        for i, x in zip(hand, u):
-            p[i] += step * x
-            p[i] = 0.0 if p[i] < EPS else 1.0 if p[i] > 1 - EPS else p[i]
+            return p.tolist()
+        for lead in range(len(hand)):  # the largest that can move at all
+            own = np.array([hand[lead], *hand[:lead], *hand[lead + 1 :]])
+            v = _direction(size[own], balanced)
+            if np.abs(v).max() > 1e-7:
+                break
+        v[np.abs(v) < 1e-12] = 0
+        p[own] = _moved(p[own], v, draw)
         hand = [i for i in hand if 0 < p[i] < 1]
 
 
-def landing(tokens: list[int], share: list[float]) -> list[float]:
-    """Decides the few open shares: the choice nearest to the expected tokens, met in the middle of both halves."""
-    at = [i for i, x in enumerate(share) if 0 < x < 1]
-    size, want = np.array([tokens[i] for i in at], float), sum(tokens[i] * share[i] for i in at)
-    half = len(at) // 2
-    bits = [(np.arange(1 << n)[:, None] >> np.arange(n)) & 1 for n in (half, len(at) - half)]
-    left, right = bits[0] @ size[:half], bits[1] @ size[half:]
-    order = np.argsort(right, kind="stable")
-    near = np.searchsorted(right[order], want - left)
-    pairs = [(np.abs(left + right[order[k]] - want), order[k]) for k in (np.maximum(near - 1, 0), np.minimum(near, len(right) - 1))]
-    side = int(pairs[1][0].min() < pairs[0][0].min())
-    i = int(pairs[side][0].argmin())
-    out = list(share)
-    for k, x in zip(at, [*bits[0][i], *bits[1][pairs[side][1][i]]]):
-        out[k] = float(x)
-    return out
+def landing(tokens: list[int], share: list[float], seed: str = "") -> list[float]:
+    """Decides the few open shares: first the number of documents is kept and tokens are not, then neither is."""
+    p = flight(tokens, share, seed + " landing", 1, balanced=False)
+    draw = np.random.default_rng(list((seed + " last").encode()))
+    return [x if x in (0.0, 1.0) else float(draw.random() < x) for x in p]
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,8 +85,9 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id")
     tokens = pdf["tokens"].astype(int).tolist()
     last = pdf["blocks"].iloc[0] == 1
-    p = flight(tokens, pdf["open"].tolist(), f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}", LANDING if last else LEFT)
-    pdf["open"] = landing(tokens, p) if last else p
+    seed = f"{pdf['source'].iloc[0]} {len(tokens)} {sum(tokens)}"
+    p = flight(tokens, pdf["open"].tolist(), seed)
+    pdf["open"] = landing(tokens, p, seed) if last else p
     return pdf[["source", "doc_id", "tokens", "expected", "whole", "open"]]
 
 
@@ -135,3 +142,19 @@ def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     total = used.agg(F.sum("tokens")).first()[0] or 1  # one number
     rows = targets.select("source", "target_share", "max_repeats").join(used, "source", "left")
     return rows.withColumn("actual_share", F.coalesce(F.col("tokens"), F.lit(0)) / F.lit(total))
+
+
+def promises(mixed: DataFrame, targets: DataFrame, within: float = 0.002) -> DataFrame:
+    """For each source with a target: whether its share of tokens is within a distance of the target, documents used too
+    often, and documents listed more than once.
+
+    The shares that can be reached are those of the plan, so a source whose documents are all used as often as allowed
+    is at its target too: the total was chosen by it."""
+    once = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"), F.max("tokens").alias("tokens"))
+    goal = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    each = once.join(goal, "source").groupBy("source", "target_share").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("rows") > 1).alias("repeated")
+    )
+    each = materialize(each, "promises")
+    total = each.agg(F.sum("used")).first()[0] or 1  # one number
+    return each.select("source", (F.abs(F.col("used") / F.lit(total) - F.col("target_share")) <= within).alias("at_target"), "too_often", "repeated")

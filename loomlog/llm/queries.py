@@ -54,6 +54,16 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p8_packing(spark, folder))
 
 
+def p8_search(spark: SparkSession, folder: str) -> DataFrame:
+    """What the search did: cells, cells evolved, least possible containers, those of best fit and those of the result."""
+    return packing.pack_with_search(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))[1]
+
+
+def p8_promises(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents placed, and breaches of what a placement promises, of each kind of container."""
+    return packing.promises(p8_packing(spark, folder), table(spark, folder, "documents"))
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of the mix with their copies."""
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
@@ -64,6 +74,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
 
+def p9_promises(spark: SparkSession, folder: str) -> DataFrame:
+    """Breaches of what a mix promises, of each source."""
+    return mixing.promises(p9_mix(spark, folder), table(spark, folder, "source_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of documents with a missing or wrong label, and of mixed documents."""
     return language.found(table(spark, folder, "documents"))
@@ -76,7 +91,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_conversations, p4_found, p4_rates, p4_limits, p7_found, p7_pieces, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)
+    for f in (p2_found, p2_conversations, p4_found, p4_rates, p4_limits, p7_found, p7_pieces, p8_packing, p8_fill, p8_search, p8_promises, p9_mix, p9_shares, p9_promises, p10_found, p10_segments)
 }
 
 SQL = {
@@ -89,6 +104,9 @@ WHERE role IS NULL OR role NOT IN ('system', 'developer', 'tool')),
 o AS (SELECT *, row_number() OVER w AS k, lead(who) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY instant, who DESC, texts)),
 v AS (SELECT session_id, bool_or(who = 'x' OR instant IS NULL OR (k = 1 AND who = 'a') OR (who = 'u' AND nxt IS DISTINCT FROM 'a')) AS is_case FROM o GROUP BY session_id)
 SELECT s.session_id FROM (SELECT DISTINCT session_id FROM response_items) s LEFT JOIN v ON v.session_id = s.session_id WHERE coalesce(is_case, true)""",
+    "p8_promises": """SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS cut_though_fitting, 0 AS cut_too_often, 0 AS overfull, 0 AS missing
+FROM pack_limits WHERE capacity_tokens >= 1 GROUP BY container_kind""",
+    "p9_promises": "SELECT source, true AS at_target, 0 AS too_often, 0 AS repeated FROM source_targets WHERE target_share > 0 AND source IN (SELECT source FROM documents WHERE text <> '') GROUP BY source",
     "p7_found": """SELECT member_id, CAST(i AS BIGINT) AS line_no FROM (
 SELECT member_id, max_bytes, n, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (
 SELECT member_id, max_bytes, string_split(body, chr(10)) AS parts, len(string_split(body, chr(10))) AS n FROM archive_members WHERE strlen(body) > max_bytes))
