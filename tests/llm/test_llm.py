@@ -275,7 +275,7 @@ def test_mix(spark):
         assert rows[s]["actual_share"] == pytest.approx(want, abs=0.01) and rows[s]["most_copies"] <= most
     mixed = M.mix(d, targets, block=50)
     assert mixed.where("copies < 1 or copies > 3").count() == 0
-    assert sorted(map(tuple, M.promises(mixed, targets, 0.01).collect())) == [(s, True, 0, 0) for s in "abc"]
+    assert sorted(map(tuple, M.promises(mixed, targets).collect())) == [(s, True, 0, 0) for s in "abc"]
     assert M.mix(spark.createDataFrame([], DOCS), targets).collect() == []
 
 
