@@ -1,15 +1,18 @@
 """Languages of documents and of segments of mixed documents.
 
 A sparse multinomial logistic regression on TF-IDF weighted, hashed character n-grams is trained with
-follow-the-regularised-leader and elastic-net penalties on a bounded sample of labelled documents, cleaned once of
-sentences that contradict their label, and calibrated by a temperature on held-out sentences.  It is then applied to every
-sentence of every document: sentences in agreement form segments, and a document has each language that makes up a sentence.
+follow-the-regularised-leader and elastic-net penalties on a bounded sample of labelled documents.  The sample is cleaned of
+repeated sentences that most of their documents label otherwise, of documents whose sentences together contradict their
+label, and of sentences in another language.  The temperature is fitted on held-out documents, which a second, independent
+model (naive Bayes on words) cleans, so that the calibrated model does not choose its own examination.  It is then applied to
+every sentence of every document: sentences in agreement form segments, and a document has each language that makes up a
+sentence.
 
-Bounds of the training sample (everything else, the n-grams' frequencies included, covers all data): DOCUMENTS_PER_LABEL,
-SENTENCES_PER_DOCUMENT and SENTENCE_CHARACTERS.
+Bounds of the training sample (everything else, the n-grams' frequencies included, covers all data): DOCUMENTS_PER_LABEL and
+SENTENCES_PER_DOCUMENT.  Labels may name any ISO 639-1 language; those found are the classes.
 
 Defined results for odd input: null, empty and sentence-less texts have no language; code, paths, names, numbers, speaker
-marks and single foreign words are no sentences; labels that name no known language count as missing.
+marks and single foreign words are no sentences; labels that name no language count as missing.
 """
 
 from __future__ import annotations
@@ -18,37 +21,40 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-DOCUMENTS_PER_LABEL, SENTENCES_PER_DOCUMENT, SENTENCE_CHARACTERS = 400, 6, 400
+DOCUMENTS_PER_LABEL, SENTENCES_PER_DOCUMENT = 400, 6
 BITS, ORDERS, HELD_OUT = 17, (1, 2, 3, 4), 10
-#: A sentence counts for a language from this calibrated posterior on; its prior is the document's leading language.
+#: A run of sentences counts for a language from this calibrated posterior on; its prior is the document's leading language.
 SURE, PRIOR_LEADING = 0.9, 0.9
 
-# ISO 639-1 codes with their three-letter codes and English names.
-LANGUAGES = {
-    "ar": ("ara", "arabic"), "bg": ("bul", "bulgarian"), "ca": ("cat", "catalan"), "cs": ("ces cze", "czech"),
-    "da": ("dan", "danish"), "de": ("deu ger", "german"), "el": ("ell gre", "greek"), "en": ("eng", "english"),
-    "es": ("spa", "spanish"), "et": ("est", "estonian"), "fa": ("fas per", "persian"), "fi": ("fin", "finnish"),
-    "fr": ("fra fre", "french"), "he": ("heb", "hebrew"), "hi": ("hin", "hindi"), "hr": ("hrv", "croatian"),
-    "hu": ("hun", "hungarian"), "id": ("ind", "indonesian"), "it": ("ita", "italian"), "ja": ("jpn", "japanese"),
-    "ko": ("kor", "korean"), "lt": ("lit", "lithuanian"), "lv": ("lav", "latvian"), "nb": ("nob", "norwegian"),
-    "nl": ("nld dut", "dutch"), "pl": ("pol", "polish"), "pt": ("por", "portuguese"), "ro": ("ron rum", "romanian"),
-    "ru": ("rus", "russian"), "sk": ("slk slo", "slovak"), "sl": ("slv", "slovenian"), "sr": ("srp", "serbian"),
-    "sv": ("swe", "swedish"), "th": ("tha", "thai"), "tr": ("tur", "turkish"), "uk": ("ukr", "ukrainian"),
-    "vi": ("vie", "vietnamese"), "zh": ("zho chi", "chinese"),
+# Bibliographic three-letter codes, where they differ from the terminological ones, and withdrawn codes.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de",
+    "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
 }
+WITHDRAWN = {"in": "id", "iw": "he", "ji": "yi"}
+
+
+@lru_cache(maxsize=1)
+def language_names() -> dict[str, str]:
+    """Two-letter code of every ISO 639-1 language by its two- and three-letter codes and English name, as Java knows them."""
+    locale = SparkSession.getActiveSession().sparkContext._jvm.java.util.Locale
+    out = {}
+    for code in locale.getISOLanguages():
+        own, to = locale.forLanguageTag(code), WITHDRAWN.get(code, code)
+        out |= {code: to, own.getISO3Language(): to, own.getDisplayLanguage(locale.ENGLISH).lower(): to}
+    return out | BIBLIOGRAPHIC
 
 
 def label(column: str = "lang") -> Column:
-    """A label in any notation as a two-letter code; null if it names no known language."""
-    names = {code: code for code in LANGUAGES} | {n: code for code, (iso3, name) in LANGUAGES.items() for n in [*iso3.split(), name]}
-    pairs = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    return pairs[F.regexp_extract(F.lower(F.trim(F.col(column))), r"^([a-z]+)(?:[-_][a-z0-9]+)*$", 1)]
+    """A label in any notation (region, case, three letters, English name) as a two-letter code; null if it names no language."""
+    pairs = F.create_map(*(F.lit(x) for pair in language_names().items() for x in pair))
+    return pairs[F.regexp_extract(F.lower(F.trim(F.col(column))), r"^(\p{L}+(?: \p{L}+)*)(?:[-_][a-z0-9]+)*(?: ?\(.*\))?$", 1)]
 
 
 # ------------------------------------------------------------------------------------------------ sentences
@@ -133,8 +139,9 @@ class Model:
     labels: list[str]
     weights: np.ndarray
     bias: np.ndarray
-    temperature: float
-    accuracy: float
+    temperature: float = 1.0
+    accuracy: float = float("nan")
+    calibration_error: float = float("nan")
 
     def log_probabilities(self, texts: list[str], chunk: int = 100_000) -> np.ndarray:
         out, at = np.zeros((len(texts), len(self.labels)), np.float64), 0
@@ -209,9 +216,42 @@ def _ftrl(x: _Sparse, value: np.ndarray, y: np.ndarray, classes: int, rows: np.n
     return solve(z, n, l1, l2), solve(bz, bn, 0, 0)
 
 
+def _agreeing(texts: list[str], y: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Rows whose label is the one that most documents with this very sentence have; rows of sentences without one go."""
+    _, text = np.unique(np.array(texts, dtype=object).astype(str), return_inverse=True)
+    pairs = np.unique(np.stack([text, y, document]), axis=1)
+    votes = np.zeros((text.max(initial=-1) + 1, y.max(initial=-1) + 1), np.int64)
+    np.add.at(votes, (pairs[0], pairs[1]), 1)
+    return 2 * votes[text, y] > votes.sum(axis=1)[text]
+
+
+def _word_scores(texts: list[str], y: np.ndarray, rows: np.ndarray, classes: int) -> np.ndarray:
+    """Log posterior of every text by naive Bayes on words (ideographs singly), counted on the given rows."""
+    words = [_WORDS.findall(_CJK.sub(lambda m: f" {m.group()} ", t.lower())) for t in texts]
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words]
+    counts = np.ones((len(number) + 1, classes)) / 10
+    for i in rows:
+        np.add.at(counts, (ids[i], y[i]), 1)
+    like = np.log(counts / counts.sum(axis=0))
+    out = np.array([like[x].sum(axis=0) for x in ids]).reshape(len(texts), classes)
+    out -= out.max(axis=1, keepdims=True)
+    return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+
+
+def calibration_error(p: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """Expected calibration error: how far the stated confidence is from the share that is right, over equal-width bins."""
+    which = np.minimum((p * bins).astype(int), bins - 1)
+    return float(sum(abs(p[which == k].mean() - right[which == k].mean()) * (which == k).mean() for k in range(bins) if (which == k).any()))
+
+
+#: A sentence contradicts its label from this log odds on.
+CONTRADICTS = 6.0
+
+
 def train(texts: list[str], labels: list[str], documents: list[int] | None = None, passes: int = 3, frequencies: tuple[np.ndarray, int] | None = None) -> Model:
-    """Fits on all, then on documents whose sentences together agree with their label, then without their sentences in
-    other languages; calibrates on every HELD_OUT-th document.
+    """Fits on rows that repeated sentences do not contradict, then on documents whose sentences together agree with their
+    label, without their sentences in other languages; calibrates on every HELD_OUT-th document.
 
     Whole documents are judged first: repeated sentences alone could confirm a wrong label by themselves."""
     names = sorted(set(labels))
@@ -221,38 +261,48 @@ def train(texts: list[str], labels: list[str], documents: list[int] | None = Non
     seen, total = frequencies or (np.bincount(x.feature, minlength=1 << BITS), len(texts))
     idf = np.log((1 + total) / (1 + seen)) + 1
     value = x.count * idf[x.feature] / np.sqrt(x.size[x.row])
-    held = document % HELD_OUT == 0
-    fitted = lambda rows, n: _ftrl(x, value, y, len(names), rows, n)
-    model = lambda w, b, t=1.0, a=0.0: Model(names, (w * idf[:, None]).astype(np.float32), b, t, a)
+    held, sound = document % HELD_OUT == 0, _agreeing(texts, y, document)
+    fitted = lambda rows, n: _ftrl(x, value, y, len(names), np.flatnonzero(rows), n)
+    model = lambda w, b, *more: Model(names, (w * idf[:, None]).astype(np.float32), b, *more)
     mine = np.arange(len(texts)), y
 
-    votes = np.zeros((document.max(initial=-1) + 1, len(names)))
-    np.add.at(votes, document, np.maximum(model(*fitted(np.flatnonzero(~held), passes)).log_probabilities(texts), -5))
-    agrees = votes.argmax(axis=1)[document] == y
-    second = model(*fitted(np.flatnonzero(~held & agrees), passes)).log_probabilities(texts)
-    votes[:] = 0
-    np.add.at(votes, document, np.maximum(second, -5))
-    agrees = (votes.argmax(axis=1)[document] == y) & (second[mine] > np.log(0.1))
-    w, b = fitted(np.flatnonzero(~held & agrees), passes)
-    check = np.flatnonzero(held & agrees)
+    def supported(scores: np.ndarray) -> np.ndarray:
+        """Rows of documents that the scores of all their sentences give the label they have."""
+        votes = np.zeros((document.max(initial=-1) + 1, len(names)))
+        np.add.at(votes, document, np.maximum(scores, -5))
+        return votes.argmax(axis=1)[document] == y
+
+    first = model(*fitted(~held & sound, max(1, passes - 1))).log_probabilities(texts)
+    second = model(*fitted(~held & sound & supported(first), max(1, passes - 1))).log_probabilities(texts)
+    w, b = fitted(~held & sound & supported(second) & (second[mine] > np.log(0.1)), passes)
+    judge = _word_scores(texts, y, np.flatnonzero(~held & sound), len(names))
+    check = np.flatnonzero(held & sound & supported(judge) & (judge.max(axis=1) - judge[mine] < CONTRADICTS))
     if not len(check):
         return model(w, b)
-    raw = model(w, b).log_probabilities([texts[i] for i in check])
+    raw, want = model(w, b).log_probabilities([texts[i] for i in check]), y[check]
 
-    def loss(t: float) -> float:
+    def scaled(t: float) -> np.ndarray:
         s = raw / t
-        return float(np.mean(np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(check)), y[check]]))
+        s = s - s.max(axis=1, keepdims=True)
+        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
-    grid = np.geomspace(0.2, 5, 60)
-    all_held = np.flatnonzero(held)
-    accuracy = float((model(w, b).log_probabilities([texts[i] for i in all_held]).argmax(axis=1) == y[all_held]).mean())
-    return model(w, b, float(min(grid, key=loss)), accuracy)
+    # n right answers out of n do not show that none is ever wrong: by Jeffreys' prior half an answer more is, with another label
+    doubt, rows = 0.5 / (len(check) + 1), np.arange(len(check))
+
+    def loss(t: float) -> float:
+        s = scaled(t)
+        others = (s.sum(axis=1) - s[rows, want]) / max(1, len(names) - 1)
+        return -float((1 - doubt) * s[rows, want].mean() + doubt * others.mean())
+
+    t = min(np.geomspace(0.05, 10, 120).tolist(), key=loss)
+    right = raw.argmax(axis=1) == want
+    return model(w, b, t, float(right.mean()), calibration_error(np.exp(scaled(t).max(axis=1)), right))
 
 
 def training_sample(documents: DataFrame, per_label: int = DOCUMENTS_PER_LABEL, per_document: int = SENTENCES_PER_DOCUMENT) -> DataFrame:
     """label, text: sentences of a hashed sample with at most about per_label documents of each label."""
     known = documents.select("doc_id", "text", label().alias("label")).where("label is not null and text is not null")
-    counts = known.groupBy("label").agg(F.count("*").alias("n"))  # a row for each of the known languages
+    counts = known.groupBy("label").agg(F.count("*").alias("n"))  # a row for each language
     picked = known.join(counts, "label").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * per_label / F.col("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +311,7 @@ def training_sample(documents: DataFrame, per_label: int = DOCUMENTS_PER_LABEL,
             for i, name, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 own = [s for _, s, n in sentences(text) if n >= 3]
                 step = max(1, len(own) // per_document)
-                rows += [(i, name, s[:SENTENCE_CHARACTERS]) for s in own[::step][:per_document]]
+                rows += [(i, name, s) for s in own[::step][:per_document]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "label", "text"])
 
     return picked.select("doc_id", "label", "text").mapInArrow(cut, "doc_id bigint, label string, text string")
@@ -320,19 +370,27 @@ def judge(found: list[tuple[int, str, int]], scores: np.ndarray, labels: list[st
     lead = int(votes.argmax())
     prior = np.full(len(labels), np.log((1 - PRIOR_LEADING) / max(1, len(labels) - 1)))
     prior[lead] = np.log(PRIOR_LEADING)
-    out: list[list] = []
+    runs: list[list[int]] = []
     for i in full:
-        p = np.exp(scores[i] + prior)
+        if runs and scores[i].argmax() == scores[runs[-1][-1]].argmax():
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    out: list[list] = []
+    for run in runs:
+        p = scores[run].sum(axis=0) + prior  # the sentences of a run speak for one language together
+        p = np.exp(p - p.max())
         p /= p.sum()
         k = int(p.argmax())
         if p[k] < SURE:
             k = lead
+        words = sum(found[i][2] for i in run)
         if out and out[-1][3] == k:
-            out[-1][1] += 1
-            out[-1][2] += found[i][2]
-            out[-1][4] += p[k] * found[i][2]
+            out[-1][1] += len(run)
+            out[-1][2] += words
+            out[-1][4] += p[k] * words
         else:
-            out.append([found[i][0], 1, found[i][2], k, p[k] * found[i][2]])
+            out.append([found[run[0]][0], len(run), words, k, p[k] * words])
     return [(o, n, w, labels[k], float(c / w)) for o, n, w, k, c in out]
 
 

@@ -336,13 +336,37 @@ def test_held_out_accuracy_and_calibration():
     sample = [(lang, written(rnd, lang, 1)) for lang in TEMPLATES for _ in range(200)]
     rnd.shuffle(sample)
     model = G.train([t for _, t in sample], [s for s, _ in sample])
-    assert model.accuracy > 0.98 and 0.05 <= model.temperature <= 5
+    assert model.accuracy > 0.98 and 0.05 <= model.temperature <= 5 and model.calibration_error < 0.05
     fresh = [(lang, written(rnd, lang, 1)) for lang in TEMPLATES for _ in range(50)]
     p = model.log_probabilities([t for _, t in fresh])
     assert sum(model.labels[i] == s for i, (s, _) in zip(p.argmax(axis=1), fresh)) >= 147
     assert model.log_probabilities([]).shape == (0, 3)
 
 
+def test_wrong_labels_do_not_win_over_their_sentences():
+    """A tenth of the labels is wrong: neither the model nor its confidence follows them."""
+    rnd = random.Random(18)
+    sample = [(lang, written(rnd, lang, 1), k // 4) for k, lang in enumerate(rnd.choice(list(TEMPLATES)) for _ in range(250) for _ in range(1)) for _ in range(4)]
+    sample = [(lang, written(rnd, lang, 1), d) for lang, _, d in sample]
+    wrong = {d for *_, d in sample if d % 10 == 3}
+    noisy = [("de" if lang == "en" else "en") if d in wrong else lang for lang, _, d in sample]
+    model = G.train([t for _, t, _ in sample], noisy, [d for *_, d in sample])
+    fresh = [(lang, written(rnd, lang, 1)) for lang in TEMPLATES for _ in range(60)]
+    p = model.log_probabilities([t for _, t in fresh])
+    right = [model.labels[i] == s for i, (s, _) in zip(p.argmax(axis=1), fresh)]
+    assert sum(right) >= 178
+    import numpy as np
+
+    assert G.calibration_error(np.exp(p.max(axis=1)), np.array(right)) < 0.05
+
+
+def test_labels_in_any_notation(spark):
+    given = {"en": "en", " EN-gb ": "en", "pt_BR": "pt", "deu": "de", "ger": "de", "Dutch": "nl", "no": "no", "nb": "nb", "Bangla": "bn", "urd": "ur", "ta": "ta", "ms": "ms", "iw": "he",
+             "Portuguese (Brazil)": "pt", "??": None, "": None, None: None, "unknown": None, "xx": None}
+    df = spark.createDataFrame([(k,) for k in given], "lang string")
+    assert [r[0] for r in df.select(G.label()).collect()] == list(given.values())
+
+
 def test_sentences_skip_code_and_names():
     text = "**User:** Please look at src/a_b.py now. Wirklich gut gemacht!\n```\nx = 1\n```\n- `only_code`\n昨日run_itは動いていました。今日は止まります。"
     got = [s for _, s, _ in G.sentences(text)]
