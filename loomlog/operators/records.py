@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomlog.functions import context as CX
 from loomlog.functions import text as X
 from loomlog.operators.running import running
 
@@ -50,9 +51,11 @@ def ignored_reason(payload: str = "payload.type", item: str = "payload.item.type
     )
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """session_id, line_no, source, timestamp, kind, role, text, source_type, command_key, output_key of every event that
-    gives a record; kind is message or action.  Blank texts give none."""
+def classified(lines: DataFrame) -> DataFrame:
+    """Every event of typed lines with its key, what it passes over for, and (r, null if it gives none) its record.
+
+    A user message on another surface than an explicit user event that is injected context as a whole, and any that is
+    service context, is a note of the system."""
     e = events(lines)
     p, item = F.coalesce(F.col("payload.type"), F.lit("")), F.coalesce(F.col("payload.item.type"), F.lit(""))
     done = p == "item_completed"
@@ -84,12 +87,32 @@ def records(lines: DataFrame) -> DataFrame:
         "source",
         "timestamp",
         shape.alias("r"),
-        event_key().alias("source_type"),
+        event_key().alias("event"),
+        ignored_reason().alias("reason"),
+        p.alias("_p"),
+        item.alias("_item"),
         F.when(item == "local_shell_call", X.command_key(command)).alias("command_key"),
         F.when(item == "local_shell_call_output", F.sha2(output, 256)).alias("output_key"),
     )
-    out = out.where(r"r.text is not null and r.text rlike '[^\\s]'")
-    return out.select("session_id", "line_no", "line_id", "source", "timestamp", "r.kind", "r.role", "r.text", "source_type", "command_key", "output_key")
+    said = F.when(F.col("r.text").rlike(r"[^\s]"), F.col("r"))
+    out = out.withColumn("r", said)
+    demoted = (F.col("r.role") == "user") & (
+        CX.is_service_context("r.text") | (~F.lower("_item").eqNullSafe("usermessage") & (F.col("_p") != "user_message") & CX.is_injected_context("r.text"))
+    )
+    out = out.withColumn("_note", F.coalesce(demoted, F.lit(False)))
+    kind, role, kept = F.when(F.col("_note"), "note").otherwise(F.col("r.kind")), F.when(F.col("_note"), "system").otherwise(F.col("r.role")), F.col("r").isNotNull()
+    return out.select(
+        "session_id", "line_no", "line_id", "source", "timestamp", "event", "reason",
+        F.when(kept, "recognized").when(F.col("reason") == "unrecognized_schema", "unknown").otherwise("ignored").alias("status"),
+        kind.alias("kind"), role.alias("role"), F.col("r.text").alias("text"), F.when(F.col("_note"), "injected_context").otherwise(F.col("event")).alias("source_type"),
+        F.when(kept, F.col("command_key")).alias("command_key"), F.when(kept, F.col("output_key")).alias("output_key"),
+    )
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """session_id, line_no, line_id, source, timestamp, kind, role, text, source_type, command_key, output_key of every event
+    that gives a record; kind is message, action or note.  Blank texts give none."""
+    return classified(lines).where("status = 'recognized'").drop("event", "reason", "status")
 
 
 def with_turns(rows: DataFrame) -> DataFrame:

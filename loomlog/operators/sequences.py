@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomlog.operators.folds import fold_sorted
+from loomlog.operators.postprocess import RECENT_COMMANDS, RECENT_OUTPUTS
 from loomlog.operators.records import events
 from loomlog.operators.running import running
 from loomlog.storage import materialize
 
-#: Look-back of the repeat filters: kept commands and kept outputs.
-RECENT_COMMANDS, RECENT_OUTPUTS = 12, 3
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
@@ -20,12 +20,6 @@ def numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     return running(rows, keys, order, {name: ("sum", F.lit(1).cast("bigint"))})
 
 
-def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """The last value that is not null, up to and with each line."""
-    seen = F.when(value.isNotNull(), F.struct("line_no", value.alias("v")))
-    return running(rows, ["session_id"], "line_no", {"_seen": ("max", seen)}).withColumn(name, F.col("_seen.v")).drop("_seen")
-
-
 def asof(rows: DataFrame, event: Column, probe: Column) -> DataFrame:
     """Backward, strict as-of join: for each probe row the line of the last event before it."""
     found = running(rows.select("session_id", "line_no", event.alias("e"), probe.alias("p")), ["session_id"], "line_no", {"context_line": ("max", F.when(F.col("e"), F.col("line_no")))}, before_only=True)
@@ -94,30 +88,28 @@ def paired(records: DataFrame) -> DataFrame:
     return cmds.join(outs, hit, "left").select("session_id", "command_line", "output_line", "command_key", F.col("ok").alias("output_key"))
 
 
-def _recent(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line_no")
-    commands, outputs, keep = deque(maxlen=RECENT_COMMANDS), deque(maxlen=RECENT_OUTPUTS), []
-    for c, o in zip(pdf["command"], pdf["output"]):
-        fresh = True
-        if c is not None and c == c:
-            fresh = c not in commands
-            if fresh:
-                commands.append(c)
-        if fresh and o is not None and o == o:
-            fresh = o not in outputs
-            if fresh:
-                outputs.append(o)
-        keep.append(fresh)
-    return pdf.loc[keep, ["session_id", "line_no"]]
+def _kept(state: tuple, row: tuple) -> list[tuple]:
+    (commands, outputs), (session, line, command, output) = state, row
+    if command is not None:
+        if command in commands:
+            return []
+        commands.append(command)
+    if output is not None:
+        if output in outputs:
+            return []
+        outputs.append(output)
+    return [(session, line)]
 
 
 def without_recent_repeats(records: DataFrame) -> DataFrame:
     """Commands not among the last kept commands and outputs not among the last kept outputs.
 
-    What is kept depends on what was kept, so a session is folded in one pass, over two short keys for each row."""
+    What is kept depends on what was kept, so a session is folded in order, over two hashes for each row and in constant memory."""
     rows = records.where("command_key is not null or output_key is not null")
-    rows = rows.select("session_id", "line_no", F.sha2("command_key", 256).alias("command"), F.col("output_key").alias("output"))
-    return rows.groupBy("session_id").applyInPandas(_recent, "session_id string, line_no bigint")
+    key = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    narrow = rows.select("session_id", "line_no", key("command_key").alias("command"), key("output_key").alias("output"))
+    begin = lambda _: (deque(maxlen=RECENT_COMMANDS), deque(maxlen=RECENT_OUTPUTS))
+    return fold_sorted(narrow, ["session_id"], ["line_no"], "session_id string, line_no bigint", [pa.string(), pa.int64()], begin, _kept, lambda _: [])
 
 
 def history_in_turns(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -41,27 +43,60 @@ def repair_escapes(text: str) -> tuple[str, int]:
     return _STRING.sub(lambda s: _ESCAPE.sub(fix, s.group()), text), count
 
 
-def tolerant_parse(text: str | None) -> tuple[str, int]:
-    """(status, repairs): exact, repaired (escapes or control characters), not_object, blank or error."""
+@dataclass
+class Parsed:
+    """status: exact, repaired_escapes, repaired_controls, not_object, blank or error; value: the object, if there is one."""
+
+    status: str
+    value: dict | None = None
+    repairs: int = 0
+    error: str | None = None
+
+
+def parse_object(text: str | None) -> Parsed:
+    """A JSON object, tolerantly: as it is, else with escapes repaired, else (nothing to repair) with control characters allowed."""
     if text is None or not text.strip():
-        return "blank", 0
+        return Parsed("blank")
     try:
-        return ("exact", 0) if isinstance(json.loads(text), dict) else ("not_object", 0)
-    except (ValueError, RecursionError):
-        pass
+        value = json.loads(text)
+        return Parsed("exact", value) if isinstance(value, dict) else Parsed("not_object", error="not an object")
+    except (ValueError, RecursionError) as e:
+        first = str(e)
     fixed, n = repair_escapes(text)
     try:
-        return ("repaired", max(1, n)) if isinstance(json.loads(fixed, strict=n > 0), dict) else ("not_object", 0)
+        value = json.loads(fixed, strict=n > 0)
     except (ValueError, RecursionError):
-        return "error", 0
+        return Parsed("error", error=first)
+    if not isinstance(value, dict):
+        return Parsed("not_object", error="not an object")
+    return Parsed("repaired_escapes" if n else "repaired_controls", value, max(1, n), first)
+
+
+def tolerant_parse(text: str | None) -> tuple[str, int]:
+    """(status, repairs) of a line."""
+    p = parse_object(text)
+    return p.status, p.repairs
+
+
+def is_complete(raw: bytes) -> bool:
+    """Whether the end of a growing log is a whole record: valid UTF-8 and blank, JSON or repairable."""
+    try:
+        return parse_object(raw.decode("utf-8")).status != "error"
+    except UnicodeDecodeError:
+        return False
 
 
 def parse_status(rows: DataFrame) -> DataFrame:
-    """record_id, status, repairs of each JSON line."""
+    """record_id, status, repairs, error, sha256 and preview (of lines that are not exact) of each JSON line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [tolerant_parse(t) for t in b.column("raw_json").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("record_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["record_id", "status", "repairs"])
-
-    return rows.mapInArrow(run, "record_id bigint, status string, repairs int")
+            given = b.column("raw_json").to_pylist()
+            out = [(p.status, p.repairs, p.error) for p in map(parse_object, given)]
+            odd = [t if x[0] not in ("exact", "blank") else None for t, x in zip(given, out)]
+            audit = [[None if t is None else f(t) for t in odd] for f in (lambda t: hashlib.sha256(t.encode()).hexdigest(), lambda t: t[:240])]
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("record_id"), *columns, *(pa.array(a, pa.string()) for a in audit)], names=["record_id", "status", "repairs", "error", "sha256", "preview"])
+
+    own = dict(rows.dtypes)["record_id"]
+    return rows.select("record_id", "raw_json").mapInArrow(run, f"record_id {own}, status string, repairs int, error string, sha256 string, preview string")

@@ -215,7 +215,7 @@ def long_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Parse status of each drifted record: exact, repaired or error."""
-    return TX.parse_status(table(spark, folder, "drift_records").select("record_id", "raw_json"))
+    return TX.parse_status(table(spark, folder, "drift_records").select("record_id", "raw_json")).select("record_id", "status", "repairs")
 
 
 def embedded_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,6 +330,7 @@ SELECT coalesce(c.session_id, f.session_id) AS session_id, substring(coalesce(ti
 b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM line AS fresh FROM l), i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS k FROM i) SELECT doc_id, count(*) FILTER (k > 2) AS dropped, sha256(string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 2)) AS sha256 FROM n GROUP BY doc_id HAVING count(*) FILTER (k > 2) > 0""",
     "long_lines": "SELECT doc_id, CAST(pos AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 400",
+    "json_lines": "SELECT record_id, CASE WHEN coalesce(trim(raw_json), '') = '' THEN 'blank' WHEN NOT json_valid(raw_json) THEN 'error' WHEN json_type(raw_json) = 'OBJECT' THEN 'exact' ELSE 'not_object' END AS status, CAST(0 AS INTEGER) AS repairs FROM drift_records",
     "embedded_json": f"WITH {_EV}, x AS (SELECT session_id, line_no, trim(payload.item.arguments) AS a FROM ev) SELECT session_id, line_no, json_extract_string(a, '$.cmd') AS command, json_extract_string(a, '$.workdir') AS workdir FROM x WHERE regexp_matches(a, '^[{{].*[}}]$')",
     "tree_preorder": """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, CAST(r_regionkey AS BIGINT) AS ordinal FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
 t AS (SELECT id, parent, id AS root, 0 AS depth, [ordinal] AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, t.root, t.depth + 1, list_append(t.path, n.ordinal) FROM t JOIN nodes n ON n.parent = t.id)

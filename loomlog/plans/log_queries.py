@@ -93,25 +93,23 @@ def response_list(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _classified(spark: SparkSession, folder: str) -> DataFrame:
+    return R.classified(table(spark, folder, "rollout_lines"))
+
+
 def event_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Events by key: those that give a record and those passed over."""
-    events = R.events(table(spark, folder, "rollout_lines"))
-    kept = _records(spark, folder).select("line_id").withColumn("recognized", F.lit(True))
-    status = F.when(F.col("recognized"), "recognized").otherwise("ignored")
-    return events.join(kept, "line_id", "left").groupBy(status.alias("status"), R.event_key().alias("event")).agg(F.count("*").alias("n"))
+    """Events by key: those that give a record, those passed over for a known reason, and unknown ones."""
+    return _classified(spark, folder).groupBy("status", "event").agg(F.count("*").alias("n"))
 
 
 def ignored_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Reasons of the events that give no record."""
-    events = R.events(table(spark, folder, "rollout_lines"))
-    return events.join(_records(spark, folder).select("line_id"), "line_id", "left_anti").groupBy(R.ignored_reason().alias("reason")).agg(F.count("*").alias("n"))
+    return _classified(spark, folder).where("status <> 'recognized'").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def unknown_sidecar(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of unrecognised schemas, whole, for a side file."""
-    events = R.events(table(spark, folder, "rollout_lines"))
-    rest = events.join(_records(spark, folder).select("line_id"), "line_id", "left_anti").where(R.ignored_reason() == "unrecognized_schema")
-    return rest.select("line_id", "session_id", "line_no", R.event_key().alias("event"))
+    return _classified(spark, folder).where("status = 'unknown'").select("line_id", "session_id", "line_no", "event")
 
 
 def mode_chat(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,12 +209,6 @@ def asof_context(spark: SparkSession, folder: str) -> DataFrame:
     return Q.asof(R.events(table(spark, folder, "rollout_lines")), F.col("type") == "turn_context", F.col("payload.type") == "user_message")
 
 
-def turn_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Turn id in force at each prompt: the last one given up to it."""
-    events = R.events(table(spark, folder, "rollout_lines"))
-    return Q.carried(events, F.col("payload.turn_id"), "turn_id").where("payload.type = 'user_message'").select("session_id", "line_no", "turn_id")
-
-
 def interval_history(spark: SparkSession, folder: str) -> DataFrame:
     """Compactions and rollbacks inside each turn."""
     events = R.events(table(spark, folder, "rollout_lines"))
@@ -274,7 +266,7 @@ def truncation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 _NAMES = """record_list turn_metrics session_summary message_list response_list event_audit ignored_reasons unknown_sidecar mode_chat
 mode_actions message_range turn_n last_assistant last_substantial last_response last_n_turns last_n_turns_indexed since_text since_time
-adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context turn_ids interval_history live_context byte_provenance turn_digest
+adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context interval_history live_context byte_provenance turn_digest
 turn_document manifest tool_outputs file_changes truncation_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -345,7 +337,8 @@ CAST(sum(len(regexp_extract_all(text, '(?m)^Edited file$'))) AS BIGINT) AS edite
     "message_list": f"WITH {_MSG} SELECT * FROM m",
     "response_list": f"""WITH {_TURN} SELECT session_id, turn_no, count(*) AS records, CAST(coalesce(sum(length(text)) FILTER ({_BOT}), 0) AS BIGINT) AS assistant_chars, CAST(sum({_LINES}) AS BIGINT) AS lines,
 CAST(sum({_TOK}) AS BIGINT) AS tokens, count(*) FILTER (kind = 'action') AS actions, arg_min(text, line_no) FILTER ({_BOT}) AS first_reply FROM t WHERE turn_no > 0 AND role <> 'user' GROUP BY ALL""",
-    "event_audit": f"WITH {_REC} SELECT CASE WHEN line_id IN (SELECT line_id FROM rec) THEN 'recognized' ELSE 'ignored' END AS status, {_KEY} AS event, count(*) AS n FROM ev GROUP BY ALL",
+    "event_audit": f"""WITH {_IGN} SELECT 'recognized' AS status, source_type AS event, count(*) AS n FROM rec GROUP BY ALL
+UNION ALL SELECT CASE WHEN {_REASON} = 'unrecognized_schema' THEN 'unknown' ELSE 'ignored' END, event, count(*) FROM ign GROUP BY ALL""",
     "ignored_reasons": f"WITH {_IGN} SELECT {_REASON} AS reason, count(*) AS n FROM ign GROUP BY ALL",
     "unknown_sidecar": f"WITH {_IGN} SELECT line_id, session_id, line_no, event FROM ign WHERE {_REASON} = 'unrecognized_schema'",
     "mode_chat": f"WITH {_REC} SELECT session_id, line_no, role, text FROM rec WHERE kind = 'message'",
@@ -372,7 +365,6 @@ CASE WHEN created > 0 THEN 'Created ' || created || ' file' || CASE WHEN created
 CASE WHEN deleted > 0 THEN 'Deleted ' || deleted || ' file' || CASE WHEN deleted = 1 THEN '' ELSE 's' END END, CASE WHEN commands > 0 THEN 'ran ' || commands || ' command' || CASE WHEN commands = 1 THEN '' ELSE 's' END END) END AS summary FROM c""",
     "fifo_pairing": f"WITH {_SEG} SELECT c.session_id, c.line_no AS command_line, o.line_no AS output_line, c.command_key, o.output_key FROM n c LEFT JOIN n o ON o.session_id = c.session_id AND o.seg = c.seg AND o.k = c.k AND o.is_out WHERE c.is_cmd",
     "asof_context": f"WITH {_CTX} SELECT session_id, line_no, context_line FROM (SELECT *, max(CASE WHEN type = 'turn_context' THEN line_no END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_line FROM h) WHERE payload.type = 'user_message'",
-    "turn_ids": f"WITH {_EV} SELECT session_id, line_no, turn_id FROM (SELECT *, last_value(payload.turn_id IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no) AS turn_id FROM ev) WHERE payload.type = 'user_message'",
     "interval_history": f"WITH {_CTX} SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, count(*) FILTER (type = 'compacted') AS compactions, count(*) FILTER (payload.type = 'thread_rolled_back') AS rollbacks FROM h WHERE type = 'compacted' OR payload.type = 'thread_rolled_back' GROUP BY ALL",
     "byte_provenance": f"WITH {_REC} SELECT session_id, line_no, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) AS BIGINT) AS byte_end FROM rec",
     "turn_digest": f"WITH {_TURN} SELECT session_id, turn_no, sha256(string_agg(sha256(text), '' ORDER BY line_no)) AS sha256 FROM t GROUP BY ALL",

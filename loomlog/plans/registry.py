@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomlog.plans import catalog_queries, log_queries
+from loomlog.plans import catalog_queries, event_queries, log_queries
 
-QUERIES = {**log_queries.QUERIES, **catalog_queries.QUERIES}
-SQL = {**log_queries.SQL, **catalog_queries.SQL}
+QUERIES = {**log_queries.QUERIES, **catalog_queries.QUERIES, **event_queries.QUERIES}
+SQL = {**log_queries.SQL, **catalog_queries.SQL, **event_queries.SQL}
