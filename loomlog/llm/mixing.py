@@ -23,6 +23,7 @@ from loomlog.storage import materialize
 
 #: Documents of a block; documents that a block leaves to the next level; documents that move together.
 BLOCK, LEFT, HAND = 2000, 2, 64
+MOST_TASKS = 10_000
 FLOWN = "source string, doc_id bigint, tokens bigint, expected double, whole int, open double"
 EPS, LEAST_ROOM = 1e-9, 0.02
 
@@ -127,7 +128,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     todo = units.where(f"open > {EPS}")
     while blocks:
         key = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks")).alias("block")
-        flown = materialize(todo.select(*columns, "blocks", key).groupBy("source", "block").applyInPandas(_fly, FLOWN), "flown")
+        # tasks by the number of blocks, as the size of the shuffle says nothing about their work
+        spread = todo.select(*columns, "blocks", key).repartition(min(MOST_TASKS, sum(blocks.values())), "source", "block")
+        flown = materialize(spread.groupBy("source", "block").applyInPandas(_fly, FLOWN), "flown")
         done.append(flown.where("open in (0, 1)"))
         # at most LEFT open documents of each block go on, where a source has several
         blocks = {s: -(-LEFT * n // block) for s, n in blocks.items() if n > 1}

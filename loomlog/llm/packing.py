@@ -30,6 +30,7 @@ from loomlog.storage import materialize
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1000, 3, 2, 60, 8
 #: A bin this full is kept when a cell is done; a level that places less than this share of its documents so is the last.
 WELL_FILLED, PROGRESS = 0.985, 0.25
+MOST_TASKS = 10_000
 
 Bins = list[list[int]]
 
@@ -214,15 +215,17 @@ def _pack(items: DataFrame, cells: DataFrame, level: int) -> DataFrame:
     grouped = grouped.select("container_kind", "capacity", "cell", F.col("rows.doc_id").alias("docs"), F.col("rows.piece").alias("pieces"), F.col("rows.size").alias("sizes"))
     begun = materialize(grouped.mapInPandas(_begin, BEGUN), "cells")
     hard = begun.where("best_fit_bins > least")
+    # a few rows are minutes of work: tasks by their number, as the size of the shuffle says nothing about it
+    tasks = min(MOST_TASKS, max(1, hard.count() * ISLANDS // 2))
     keys = ["container_kind", "cell", "island"]
     islands = F.explode(F.array(*(F.lit(k) for k in range(ISLANDS))))
-    state = hard.select("container_kind", "capacity", "cell", islands.alias("island"), "sizes", "least", F.array("best_fit").alias("population")).repartition(*keys)
+    state = hard.select("container_kind", "capacity", "cell", islands.alias("island"), "sizes", "least", F.array("best_fit").alias("population")).repartition(tasks, *keys)
     for epoch in range(EPOCHS):
         state = materialize(state.mapInPandas(_epoch(epoch + 10 * level), EVOLVED), "islands")
         if epoch < EPOCHS - 1:
             elites = state.select("container_kind", "cell", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.slice("population", 1, 1).alias("elite"))
             own = F.slice("population", 1, POPULATION - 1)
-            state = state.join(elites, keys).withColumn("population", F.concat(own, "elite")).drop("elite")
+            state = state.join(elites, keys).withColumn("population", F.concat(own, "elite")).drop("elite").repartition(tasks, *keys)
     best = state.groupBy("container_kind", "cell").agg(F.collect_list(F.get("population", F.lit(0))).alias("elites"))
     return begun.join(best, ["container_kind", "cell"], "left").mapInPandas(_choose, PLACED)
 
