@@ -82,6 +82,33 @@ def test_sort_spec_puts_nulls_last_and_keeps_ties(spark):
 
 
 def test_preorder(spark):
-    nodes = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "a", 1), ("d", "c", 1), ("x", "y", 1), ("y", "x", 1), ("o", "gone", 1)], "id string, parent string, ordinal bigint")
-    got = {r["id"]: (r["root"], r["position"]) for r in tree.preorder(nodes).collect()}
-    assert got == {"a": ("a", 1), "c": ("a", 2), "d": ("a", 3), "b": ("a", 4), "o": ("o", 1)}
+    nodes = [("t", "a", None, 1, None), ("t", "b", "a", 2, 2), ("t", "c", "a", 3, 1), ("t", "d", "c", 4, 1), ("t", "x", "y", 5, 1), ("t", "y", "x", 6, 1), ("t", "o", "gone", 7, 1), ("t", "z", "x", 8, 0), (None, "a", None, 1, None)]
+    got = {(r["tree"], r["id"]): (r["position"], r["depth"]) for r in tree.preorder(spark.createDataFrame(nodes, "tree string, id string, parent string, ordinal bigint, child_no bigint")).collect()}
+    assert got == {("t", "a"): (1, 0), ("t", "c"): (2, 1), ("t", "d"): (3, 2), ("t", "b"): (4, 1), ("t", "o"): (5, 0), ("t", "x"): (6, 0), ("t", "z"): (7, 1), ("t", "y"): (8, 1), (None, "a"): (1, 0)}
+
+
+def test_preorder_of_random_trees_and_a_deep_chain(spark):
+    import random
+
+    rnd, nodes, want = random.Random(4), [], {}
+    for t in range(6):
+        n = 40
+        parent = {k: rnd.choice([None, rnd.randrange(n), rnd.randrange(max(1, k))]) for k in range(n)}
+        child = {k: rnd.randrange(5) for k in range(n)}
+        nodes += [(f"t{t}", str(k), None if p is None else str(p), k, child[k]) for k, p in parent.items()]
+        seen = []
+
+        def visit(k):
+            if k not in seen:
+                seen.append(k)
+                for c in sorted((c for c in parent if parent[c] == k), key=lambda c: (child[c], c)):
+                    visit(c)
+
+        for k in [k for k in parent if parent[k] is None] + list(parent):
+            visit(k)
+        want |= {(f"t{t}", str(k)): i for i, k in enumerate(seen, 1)}
+    nodes += [("deep", str(k), str(k - 1) if k else None, k, 0) for k in range(2000)]
+    want |= {("deep", str(k)): k + 1 for k in range(2000)}
+    rows = tree.preorder(spark.createDataFrame(nodes, "tree string, id string, parent string, ordinal bigint, child_no bigint")).collect()
+    assert {(r["tree"], r["id"]): r["position"] for r in rows} == want
+    assert max(r["depth"] for r in rows) == 1999

@@ -1,3 +1,4 @@
+import io
 import json
 import sqlite3
 import zipfile
@@ -6,6 +7,7 @@ import pytest
 
 from loomlog.functions import context as CX
 from loomlog.operators import chunks
+from loomlog.sinks import archives, files
 from loomlog.sources import catalogs, exports, lines
 
 
@@ -54,36 +56,125 @@ def test_scratch_folders_are_shared_or_local():
         storage.shared_dir(session)
 
 
-def test_database_and_titles(spark, tmp_path):
+def test_databases_and_titles(spark, tmp_path):
     ids = [f"{k:08x}-0000-0000-0000-000000000000" for k in range(3)]
     con = sqlite3.connect(tmp_path / "c.sqlite")
     con.execute("CREATE TABLE threads (id TEXT, cwd TEXT, title TEXT, archived INTEGER)")
     con.executemany("INSERT INTO threads VALUES (?, ?, ?, ?)", [(ids[0], "/w", "t", 1), (ids[1], None, None, None), ("x", None, None, 0), (None, None, None, 0)])
+    con.execute("CREATE TABLE names (Conversation_Id TEXT, Name TEXT)")
+    con.executemany("INSERT INTO names VALUES (?, ?)", [(ids[0], "first"), (ids[2], "y" * 301), (ids[1], " n ")])
+    con.execute("CREATE TABLE other (a TEXT)")
     con.commit()
     con.close()
-    rows = {r["session_id"]: r for r in catalogs.read_database(spark, str(tmp_path / "c.sqlite")).collect()}
+    sqlite3.connect(tmp_path / "empty.sqlite").execute("CREATE TABLE x (a)").connection.commit()
+    files = catalogs.database_files(spark, str(tmp_path / "*.sqlite"))
+    rows = {r["session_id"]: r for r in catalogs.read_databases(files).collect()}
     assert set(rows) == set(ids[:2]) and rows[ids[0]]["archived"] == 1 and rows[ids[0]]["project_id"] is None
+    assert {tuple(r) for r in catalogs.database_titles(files).collect()} == {(ids[0], "first"), (ids[1], "n")}
     (tmp_path / "index.jsonl").write_text("\n".join(json.dumps(x) for x in [{"id": "a", "title": "one"}, {"session_id": "a", "thread_name": "two"}, {"id": "b"}, [1]]) + "\nbroken")
     got = catalogs.latest_titles(lines.read_lines(spark, str(tmp_path / "index.jsonl"))).collect()
     assert [tuple(r) for r in got] == [("a", "two")]
 
 
+def test_title_calls(spark):
+    call = lambda title, **k: json.dumps({"payload": {"item": {"calls": [{"name": "set_thread_title", "arguments": json.dumps({"title": title}), **k}]}}})
+    deep = json.loads(call("deep"))
+    for _ in range(9):
+        deep = [deep]
+    rows = [("s", 1, call("one")), ("s", 3, call(" two ")), ("s", 2, call("x")), ("s", 4, "set_thread_title {"), ("t", 1, json.dumps(deep)), ("u", 1, None), ("v", 1, json.dumps({"name": "set_thread_title", "args": {"title": "v"}}))]
+    got = {tuple(r) for r in catalogs.tool_titles(spark.createDataFrame(rows, "session_id string, line_no bigint, raw string")).collect()}
+    assert got == {("s", "two"), ("v", "v")}
+    listed = spark.createDataFrame([("# c",), (" a ",), ("",), ("b#",)], "value string")
+    assert [r[0] for r in catalogs.listed_sources(listed).collect()] == ["a", "b#"]
+
+
 def node(parent, *children, role=None, text=None):
-    return {"parent": parent, "children": list(children), "message": {"author": {"role": role}, "content": {"parts": [text]}} if role else None}
+    return {"parent": parent, "children": list(children), "message": {"author": {"role": role}, "content": {"parts": [text]}, "metadata": {"channel": "c"}} if role else None}
 
 
 def test_exports(spark, tmp_path):
-    mapping = {"root": node(None, "u"), "u": node("root", "a2", "a1", role="user", text="q"), "a1": node("u", role="assistant", text="x"), "a2": node("u", "u", role="assistant", text="y"), "lost": node("gone"), "c1": node("c2", "c2"), "c2": node("c1", "c1"), "bad": 3}
-    assert exports.preorder(mapping) == ["root", "u", "a2", "a1", "lost", "c1", "c2"]
+    mapping = {"root": node(None, "u"), "u": node("root", "a2", "a1", role="user", text="q"), "a1": node("u", role="assistant", text="x"), "a2": node("u", "u", role="assistant", text="y"), "lost": node("gone"), "c1": node("c2", "c2"), "c2": node("c1", "c1"), "bad": 3, "alone": node("u")}
     with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
-        z.writestr("x/conversations-001.json", json.dumps([{"id": "two", "title": "t", "mapping": {}}, 5]))
-        z.writestr("x/conversations-000.json", json.dumps([{"id": "one", "title": "t", "mapping": mapping}]))
+        z.writestr("x/conversations-001.json", json.dumps([{"id": "two", "title": "t", "mapping": {"n": node(None)}}, 5]))
+        z.writestr("x/conversations-000.json", json.dumps([{"id": "one", "title": "t", "create_time": 1.5, "mapping": mapping}]))
         z.writestr("other.json", "{}")
-    rows = sorted((r["position"], r["node_id"], r["role"], r["text"]) for r in exports.message_nodes(spark, str(tmp_path / "e.zip")).collect())
-    assert rows[1:4] == [(1, "u", "user", "q"), (2, "a2", "assistant", "y"), (3, "a1", "assistant", "x")]
-    for bad in (["conversations-000.json", "conversations-002.json"], ["a/conversations-000.json", "b/conversations-000.json"], ["conversations.json", "conversations-000.json"], ["x.json"]):
+    nodes = exports.message_nodes(spark, str(tmp_path / "e.zip")).cache()
+    rows = {(r["conversation_id"], r["node_id"]): r for r in nodes.collect()}
+    assert len(rows) == 9 and (rows["one", "a2"]["role"], rows["one", "a2"]["text"], rows["one", "a2"]["channel"], rows["one", "root"]["has_message"]) == ("assistant", "y", "c", False)
+    order = sorted((r["conversation_id"], r["position"], r["node_id"], r["depth"]) for r in exports.ordered_nodes(nodes).collect())
+    assert order == [("one", 1, "root", 0), ("one", 2, "u", 1), ("one", 3, "a2", 2), ("one", 4, "a1", 2), ("one", 5, "lost", 0), ("one", 6, "c1", 0), ("one", 7, "c2", 1), ("one", 8, "alone", 0), ("two", 1, "n", 0)]
+    assert [r[0] for r in nodes.where(exports.matching(nodes, ids=["ONE"], title="^T")).select("conversation_id").distinct().collect()] == ["one"]
+    for bad, problem in ((["conversations-000.json", "conversations-002.json"], ("missing", 1)), (["a/conversations-000.json", "b/conversations-000.json"], ("repeated", 0)), (["conversations.json", "conversations-000.json"], ("mixed", None)), (["x.json"], ("none", None))):
+        assert [tuple(r) for r in exports.shard_problems(spark.createDataFrame([(n,) for n in bad], "name string")).collect()] == [problem]
+    (tmp_path / "gap").mkdir()
+    (tmp_path / "gap" / "conversations-001.json").write_text("[]")
+    with pytest.raises(ValueError, match="missing 0"):
+        exports.message_nodes(spark, str(tmp_path / "gap"))
+
+
+def test_arrays_are_read_as_streams():
+    values = [{"a": "é" * 50}, 12345, [], "x,]", None, 3.25, {"b": [1, {"c": "]"}]}]
+    for text in (json.dumps(values, ensure_ascii=False), json.dumps(values, indent=2), "\ufeff" + json.dumps(values)):
+        for size in (1, 2, 7, 1000):
+            assert list(exports.elements(io.BytesIO(text.encode()), size)) == values
+    assert list(exports.elements(io.BytesIO(b" [ ] "))) == []
+    for bad in (b"{}", b"[1, 2", b"[{]", b""):
         with pytest.raises(ValueError):
-            exports.shards(bad)
+            list(exports.elements(io.BytesIO(bad)))
+
+
+def test_contents():
+    assert exports.content_texts({"parts": ["a", {"content_type": "image_asset_pointer", "asset_pointer": "p"}, {"x": 1}, ""]}) == ["a", "[Non-text asset: type=image_asset_pointer; reference=p]", "[Structured non-text content: keys=x]"]
+    assert exports.content_texts({"text": "t", "markdown": ["m"], "content": "c"}) == ["t", "m"] and exports.content_texts(None) == [] and exports.content_texts(5) == ["5"]
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    root = str(tmp_path / "out")
+    write = lambda data, policy, path="d/a.txt": files.publish(spark.createDataFrame([(path, data)], "path string, data binary"), root, policy).first()
+    assert write(b"one", "error")["outcome"] == "written" and write(b"one", "error")["outcome"] == "same"
+    with pytest.raises(Exception, match="another file"):
+        write(b"two", "error")
+    assert write(b"two", "skip")["outcome"] == "skipped" and (tmp_path / "out/d/a.txt").read_bytes() == b"one"
+    assert write(b"two", "rename")["written_path"] == "d/a-1.txt" and write(b"two", "rename")["outcome"] == "same"
+    assert write(b"three", "overwrite")["outcome"] == "replaced" and (tmp_path / "out/d/a.txt").read_bytes() == b"three"
+    assert sorted(p.name for p in (tmp_path / "out/d").iterdir()) == ["a-1.txt", "a.txt"]
+    for bad in ("/abs", "../up"):
+        with pytest.raises(Exception, match="no path"):
+            write(b"x", "error", bad)
+
+
+def test_archives_under_a_cap(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    bodies = ["", "short\n", "".join(f"line {rnd.random()}\n" for _ in range(900)), "é" * 3000, rnd.randbytes(3000).hex()]
+    df = spark.createDataFrame([("s", k, f"{k}.txt", b) for k, b in enumerate(bodies)] + [(None, 9, "n", None)], "session_id string, member_id bigint, original string, body string")
+    parts = archives.archives(df, 4096).collect()
+    assert all(len(p["data"]) <= 4096 for p in parts) and len([p for p in parts if p["session_id"] == "s"]) > 3
+    rows = [r for p in parts for r in archives.check(bytes(p["data"]))]
+    assert all(r[0] is None for r in rows)
+    for k, body in enumerate(bodies):
+        own = sorted((r[3], r[7]) for r in rows if r[2] == k)
+        assert b"".join(d for _, d in own) == body.encode() and own[0][0] == 0
+    good = bytes(parts[0]["data"])
+    assert archives.check(b"no zip")[0][0] == "unreadable" and archives.check(archives.zipped({"a/b": b""}, []))[0][0] == "unsafe_name"
+    assert {r[0] for r in archives.check(archives.zipped({"x": b"1"}, [{"member": "y", "id": 1, "offset": 0, "bytes": 1, "sha256": "", "original_bytes": 1, "original_sha256": ""}]))} == {"not_in_index", "missing_member"}
+    broken = good[:40] + bytes([good[40] ^ 255]) + good[41:]
+    assert archives.check(broken)[0][0] in ("bad_content", "unreadable", "wrong_hash")
+
+
+def test_packing_into_parts():
+    sizes = [6, 5, 5, 4, 4, 3, 3]
+    assert [len(archives.first_fit_decreasing(s, 10)) for s in (sizes, [10, 1], [])] == [3, 2, 0]
+    # first-fit decreasing needs three parts here, two are enough
+    assert len(archives.first_fit_decreasing([4, 4, 3, 3, 3, 3], 10)) == 3
+    groups, proved = archives.fewest_groups([4, 4, 3, 3, 3, 3], 10)
+    assert len(groups) == 2 and proved and sorted(i for g in groups for i in g) == list(range(6))
+    assert archives.fewest_groups([7] * 30, 10)[0] and archives.fewest_groups([7] * 5, 10) == ([[0], [1], [2], [3], [4]], True)
+    with pytest.raises(ValueError):
+        archives.first_fit_decreasing([11], 10)
+    assert archives.strategy(100, 0.5, 100) == "one" and archives.strategy(150, 0.5, 100) == "try" and archives.strategy(150, 0.7, 100) == "parts"
+    assert 0 < archives.probe(b"a" * 5_000_000) < 0.01 and archives.probe(b"") == 1.0
 
 
 def test_chunks(spark):
