@@ -225,14 +225,14 @@ def embedded_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tree_preorder(spark: SparkSession, folder: str) -> DataFrame:
-    """Regions, their nations and their suppliers in depth-first order."""
-    r, n, s = (table(spark, folder, t) for t in ("region", "nation", "supplier"))
-    nodes = (
-        r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("bigint").alias("ordinal"))
-        .unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_nationkey").cast("bigint").alias("ordinal")))
-        .unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_suppkey").cast("bigint").alias("ordinal")))
-    )
-    return tree.preorder(nodes)
+    """Legacy rows of each session as a tree in depth-first order: a row hangs below the last message before it.
+
+    Messages of a session form a chain as deep as the session is long."""
+    rows = table(spark, folder, "response_items").where("session_id is not null")
+    message = F.when(F.col("payload.type") == "message", F.col("item_id"))
+    rows = running(rows.select("session_id", "item_id", message.alias("m")), ["session_id"], "item_id", {"up": ("max", F.col("m"))}, before_only=True)
+    text = lambda c: F.col(c).cast("string")
+    return tree.preorder(rows.select(F.col("session_id").alias("tree"), text("item_id").alias("id"), text("up").alias("parent"), F.col("item_id").alias("ordinal"), (-F.col("item_id")).alias("child_no")))
 
 
 def segment_reassembly(spark: SparkSession, folder: str) -> DataFrame:
@@ -332,9 +332,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS
     "long_lines": "SELECT doc_id, CAST(pos AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 400",
     "json_lines": "SELECT record_id, CASE WHEN coalesce(trim(raw_json), '') = '' THEN 'blank' WHEN NOT json_valid(raw_json) THEN 'error' WHEN json_type(raw_json) = 'OBJECT' THEN 'exact' ELSE 'not_object' END AS status, CAST(0 AS INTEGER) AS repairs FROM drift_records",
     "embedded_json": f"WITH {_EV}, x AS (SELECT session_id, line_no, trim(payload.item.arguments) AS a FROM ev) SELECT session_id, line_no, json_extract_string(a, '$.cmd') AS command, json_extract_string(a, '$.workdir') AS workdir FROM x WHERE regexp_matches(a, '^[{{].*[}}]$')",
-    "tree_preorder": """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, CAST(r_regionkey AS BIGINT) AS ordinal FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
-t AS (SELECT id, parent, id AS root, 0 AS depth, [ordinal] AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, t.root, t.depth + 1, list_append(t.path, n.ordinal) FROM t JOIN nodes n ON n.parent = t.id)
-SELECT id, parent, root, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS position FROM t""",
+    "tree_preorder": """WITH RECURSIVE n AS (SELECT session_id, item_id, max(CASE WHEN payload.type = 'message' THEN item_id END) OVER (PARTITION BY session_id ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM response_items WHERE session_id IS NOT NULL),
+t AS (SELECT session_id, item_id, up, CAST(0 AS BIGINT) AS depth, CASE WHEN up IS NULL THEN [item_id] END AS path FROM n WHERE up IS NULL UNION ALL SELECT n.session_id, n.item_id, n.up, t.depth + 1, list_append(t.path, -n.item_id) FROM t JOIN n ON n.session_id = t.session_id AND n.up = t.item_id)
+SELECT session_id AS tree, CAST(item_id AS VARCHAR) AS id, CAST(up AS VARCHAR) AS parent, depth, row_number() OVER (PARTITION BY session_id ORDER BY path) AS position FROM t""",
     "segment_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, true AS whole FROM documents WHERE text <> ''",
     "event_counts": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomlog.plans import catalog_queries, event_queries, log_queries
+from loomlog.plans import catalog_queries, event_queries, log_queries, source_queries
 
-QUERIES = {**log_queries.QUERIES, **catalog_queries.QUERIES, **event_queries.QUERIES}
-SQL = {**log_queries.SQL, **catalog_queries.SQL, **event_queries.SQL}
+_MODULES = (log_queries, catalog_queries, event_queries, source_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

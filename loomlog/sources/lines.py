@@ -138,3 +138,27 @@ def read_lines(spark: SparkSession, path: str, most: int | None = None, split_by
     before = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("path", "split", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
     return rows.join(starts, ["path", "split"]).select("path", (F.col("line_no") + F.col("before")).alias("line_no"), "byte_start", "byte_end", "raw")
+
+
+#: Session ids and forms in the names of log files.
+_NAME = r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*\.jsonl(?:\.zst)?$"
+
+
+def discover(spark: SparkSession, home: str) -> DataFrame:
+    """path, session_id, archived, compressed, bytes, modified of all log files below a home folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").load(home)
+    rows = found.where(F.col("path").rlike(r"\.jsonl(\.zst)?$"))
+    return rows.select(
+        "path", F.nullif(F.regexp_extract("path", _NAME, 1), F.lit("")).alias("session_id"), F.contains("path", F.lit("/archived_sessions/")).alias("archived"),
+        F.col("path").endswith(".zst").alias("compressed"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
+    )
+
+
+def best_files(found: DataFrame, key: str = "session_id") -> DataFrame:
+    """Of several files of one session the plain one, else the newest; ties by path."""
+    return found.groupBy(key).agg(F.max_by(F.struct(*[c for c in found.columns if c != key]), F.struct(~F.col("compressed"), "modified", "path")).alias("f")).select(key, "f.*")
+
+
+def latest_file(found: DataFrame) -> DataFrame:
+    """The log file that was written last."""
+    return found.agg(F.max_by(F.struct(*found.columns), F.struct("modified", "path")).alias("f")).where("f is not null").select("f.*")
