@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Patterns and replacements of the redaction steps, in order.
@@ -130,3 +133,67 @@ def exit_code(text: str) -> Column:
 
 def command_key(command: str | Column) -> Column:
     return F.lower(collapsed(command))
+
+
+# Names that no file may have, whatever its ending, and characters that no file name may hold.
+DEVICE_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10))]
+RESERVED = r'[<>:"/\\|?*\x00-\x1f]'
+
+
+def file_name(text: str, limit: int = 220, ending: str = ".md") -> Column:
+    """A name as one portable file name of at most limit characters; an ending it has already is not doubled."""
+    stem = F.when(F.lower(text).endswith(ending), F.expr(f"substring({text}, 1, length({text}) - {len(ending)})")).otherwise(F.coalesce(F.col(text), F.lit("")))
+    stem = F.regexp_replace(F.regexp_replace(stem, RESERVED, "_"), r"\s+", "_")
+    stem = F.regexp_replace(F.regexp_replace(stem, r"^[ ._]+|[ ._]+$", ""), "_+", "_")
+    stem = F.when(stem == "", "thread").otherwise(stem)
+    stem = F.when(F.upper(F.substring_index(stem, ".", 1)).isin(DEVICE_NAMES), F.concat(F.lit("_"), stem)).otherwise(stem)
+    cut = F.regexp_replace(F.substring(stem, 1, limit - len(ending)), r"[ ._]+$", "")
+    return F.concat(F.when(cut == "", "thread").otherwise(cut), F.lit(ending))
+
+
+def from_template(template: str, values: dict[str, Column]) -> Column:
+    """A template such as ``{title}_{mode}`` with its places filled; a place without a value raises."""
+    parts = re.split(r"\{(\w+)\}", template)
+    if unknown := set(parts[1::2]) - values.keys():
+        raise ValueError(f"no value for {sorted(unknown)}")
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
+def yaml_quoted(text: str) -> Column:
+    escaped = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def markdown_row(*columns: str) -> Column:
+    """A table row; line feeds become blanks and bars are escaped."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+
+
+def language_guess(text: str) -> Column:
+    """The fence language that a text's beginning or words suggest."""
+    t = F.regexp_replace(text, r"^[\s\p{Z}]+", "")
+    has = lambda *words: reduce(lambda a, b: a | b, (t.contains(w) for w in words))
+    return (
+        F.when(t.startswith("{") | t.startswith("["), "json").when(t.startswith("diff --git") | t.startswith("@@ "), "diff")
+        .when(t.startswith("import ") | has("export function ", "const "), "ts").when(t.startswith("$ ") | has("$ErrorActionPreference", "Get-Content ", "npm run "), "ps1").otherwise("text")
+    )
+
+
+def truncation_annotated(text: str) -> Column:
+    """Truncation markers written out as what they mean."""
+    return F.regexp_replace(text, TRUNCATED, "[SOURCE TOOL OUTPUT TRUNCATED: $1 tokens omitted; not recoverable from this record]")
+
+
+def redaction_counts(text: str) -> Column:
+    """How often each redaction step applies to the text that enters it."""
+    out, counts = F.col(text), []
+    for pattern, to in REDACTIONS:
+        counts.append(F.regexp_count(out, F.lit(pattern)))
+        out = F.regexp_replace(out, pattern, to)
+    return F.array(*counts)
+
+
+def number_key(text: str) -> Column:
+    """A number out of a text with thousands separators; null if it is none."""
+    return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")

@@ -51,3 +51,15 @@ def reassembled(pieces: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(
         F.count("*").alias("parts"), F.max("byte_end").alias("bytes"), F.sha2(F.unhex(F.array_join(joined, "")), 256).alias("sha256"), F.every("fits").alias("whole")
     )
+
+
+def tail(data: bytes, limit: int) -> bytes:
+    """The end of a text within limit bytes, from a character's and, if one begins in its first quarter, a line's beginning."""
+    out = data[-limit:] if limit < len(data) else data
+    start = 0
+    while start < len(out) and out[start] & 0xC0 == 0x80:
+        start += 1
+    line = out.find(b"\n", start)
+    if len(out) < len(data) and 0 <= line < len(out) // 4:
+        start = line + 1
+    return out[start:]

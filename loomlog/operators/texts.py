@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from loomlog.functions.extract import cleaned
+
 
 def compacted_runs(documents: DataFrame, keep: int) -> DataFrame:
     """doc_id, dropped, sha256 of documents of which runs of equal lines are cut to keep lines."""
@@ -100,3 +103,46 @@ def parse_status(rows: DataFrame) -> DataFrame:
 
     own = dict(rows.dtypes)["record_id"]
     return rows.select("record_id", "raw_json").mapInArrow(run, f"record_id {own}, status string, repairs int, error string, sha256 string, preview string")
+
+
+# ------------------------------------------------------------------------------------------------ all texts
+
+
+def log_texts(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """table_name, record_id, field, text: every text of both logs, one row each; null ones are left out."""
+    one = lambda df, table, key, field, text: df.select(F.lit(table).alias("table_name"), F.col(key).alias("record_id"), F.lit(field).alias("field"), text.alias("text"))
+    rollout = lambda field, text: one(lines, "rollout_lines", "line_id", field, text)
+    history = lines.select("line_id", F.explode("payload.replacement_history").alias("h")).select("line_id", F.explode("h.content").alias("p"))
+    changes = lines.select("line_id", F.explode(F.map_values("payload.item.changes")).alias("c"))
+    out = rollout("message", F.col("payload.message"))
+    out = out.unionByName(rollout("arguments", F.col("payload.item.arguments"))).unionByName(rollout("output", F.col("payload.item.output")))
+    out = out.unionByName(rollout("item_content", F.explode("payload.item.content.text")))
+    out = out.unionByName(one(history, "rollout_lines", "line_id", "history", F.col("p.text"))).unionByName(one(changes, "rollout_lines", "line_id", "change", F.col("c.content")))
+    return out.unionByName(one(items, "response_items", "item_id", "content", F.explode("payload.content.text"))).where("text is not null")
+
+
+def cleaning_counts(texts: DataFrame) -> DataFrame:
+    """table_name, step, n: how often each cleaning step applied, summed inside each batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[str, Counter] = {}
+            for table, text in zip(b.column("table_name").to_pylist(), b.column("text").to_pylist()):
+                cleaned(text, seen.setdefault(table, Counter()))
+            rows = [(t, k, n) for t, c in seen.items() for k, n in c.items() if n]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["table_name", "step", "n"])
+
+    return texts.select("table_name", "text").mapInArrow(run, "table_name string, step string, n bigint").groupBy("table_name", "step").agg(F.sum("n").alias("n"))
+
+
+def mapped(rows: DataFrame, key: str, text: str, outputs: dict[str, str], apply) -> DataFrame:
+    """key and outputs (name to type) of a plain function of one text that gives a tuple; for what no expression can say."""
+    types = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [apply(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], types[t]) for k, t in enumerate(outputs.values()))], names=[key, *outputs])
+
+    return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, t in outputs.items()))

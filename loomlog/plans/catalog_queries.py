@@ -168,24 +168,6 @@ def text_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", X.tokens("text").alias("tokens"), X.lines("text").alias("lines"), F.length(X.fence("text")).alias("fence"), X.preview("text", 120).alias("preview"))
 
 
-def redacted_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages that redaction changes."""
-    rows = R.events(table(spark, folder, "rollout_lines")).select("session_id", "line_no", F.col("payload.message").alias("text"))
-    return rows.select("session_id", "line_no", "text", X.redacted("text").alias("redacted")).where("text <> redacted").drop("text")
-
-
-def cleaned_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw lines that hold terminal sequences or control characters, without them."""
-    rows = table(spark, folder, "raw_items").select("raw_id", F.col("raw_line").alias("text"))
-    return rows.select("raw_id", "text", X.without_controls("text").alias("clean")).where("text <> clean").drop("text")
-
-
-def mojibake(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their repaired length and hash."""
-    docs = table(spark, folder, "documents").where(F.col("text").rlike(X.MOJIBAKE))
-    return docs.select("doc_id", F.sha2(X.mojibake_repaired("text"), 256).alias("sha256"))
-
-
 def title_slugs(spark: SparkSession, folder: str) -> DataFrame:
     """Titles as file name parts."""
     return _catalog(spark, folder).where("session_id is not null").select("session_id", X.slug("title").alias("slug"))
@@ -261,7 +243,7 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 _NAMES = """source_union catalog_full_outer missing_rollouts unindexed_rollouts catalog_audit project_rollup title_precedence best_delivery
 sorted_listing listing_page search_and path_keys project_filter latest_session session_head path_sessions created_display updated_since
-role_histogram account_inventory duplicate_samples line_gaps text_metrics redacted_texts cleaned_texts mojibake title_slugs search_keys
+role_histogram account_inventory duplicate_samples line_gaps text_metrics    title_slugs search_keys
 member_sizes repeat_runs long_lines json_lines embedded_json tree_preorder event_counts segment_reassembly chunk_parts context_flags""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -320,9 +302,6 @@ SELECT coalesce(c.session_id, f.session_id) AS session_id, substring(coalesce(ti
     "duplicate_samples": "SELECT session_id, line_no, k, line_id FROM (SELECT session_id, line_no, line_id, count(*) OVER (PARTITION BY session_id, line_no) AS n, row_number() OVER (PARTITION BY session_id, line_no ORDER BY line_id) AS k FROM rollout_lines) WHERE n > 1 AND k <= 3",
     "line_gaps": "SELECT session_id, prev + 1 AS gap_start, line_no - 1 AS gap_end FROM (SELECT session_id, line_no, lag(line_no) OVER (PARTITION BY session_id ORDER BY line_no) AS prev FROM (SELECT DISTINCT session_id, line_no FROM rollout_lines)) WHERE line_no > prev + 1",
     "text_metrics": f"SELECT doc_id, CAST({_TOK} AS BIGINT) AS tokens, CAST({_LINES} AS BIGINT) AS lines, CAST({_FENCE} AS INTEGER) AS fence, {_preview(120)} AS preview FROM documents",
-    "redacted_texts": f"WITH {_EV}, x AS (SELECT session_id, line_no, payload.message AS text FROM ev) SELECT session_id, line_no, {_redact_sql()} AS redacted FROM x WHERE text <> {_redact_sql()}",
-    "cleaned_texts": rf"""WITH x AS (SELECT raw_id, raw_line AS text, regexp_replace(regexp_replace(regexp_replace(raw_line, '{X.OSC}', '', 'g'), '{X.ANSI}', '', 'g'), '{X.CONTROL}', '', 'g') AS clean FROM raw_items) SELECT raw_id, clean FROM x WHERE text <> clean""",
-    "mojibake": f"SELECT doc_id, sha256(translate(text, '{X.CP1252_CODES}', '{X.CP1252}')) AS sha256 FROM documents WHERE regexp_matches(text, '{X.MOJIBAKE}')",
     "title_slugs": rf"SELECT session_id, regexp_replace(substring(CASE WHEN coalesce({_SLUG0}, '') = '' THEN 'thread' ELSE {_SLUG0} END, 1, 80), {_ENDS}, '', 'g') AS slug FROM {_HAS}",
     "search_keys": f"SELECT doc_id, sha256({_SEARCH}) AS key FROM documents",
     "member_sizes": """SELECT member_id, CASE WHEN body_bytes < 1024 THEN body_bytes || 'B' WHEN body_bytes < 1048576 THEN printf('%.1f', body_bytes / 1024) || 'KB' ELSE printf('%.1f', body_bytes / 1048576) || 'MB' END AS size, sha256(body) AS sha256 FROM archive_members""",

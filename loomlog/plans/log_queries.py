@@ -225,19 +225,6 @@ def byte_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return Q.byte_ranges(_records(spark, folder))
 
 
-def turn_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 over the texts of each turn in order."""
-    rows = _turns(spark, folder).select("session_id", "turn_no", F.struct("line_no", F.sha2("text", 256).alias("sha")).alias("x"))
-    return rows.groupBy("session_id", "turn_no").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sha"]), ""), 256).alias("sha256"))
-
-
-def turn_document(spark: SparkSession, folder: str) -> DataFrame:
-    """Each turn rendered as a Markdown section."""
-    head = F.when(F.col("role") == "user", "## User").when(F.col("role") == "assistant", "## Assistant").otherwise("## Tool")
-    rows = _turns(spark, folder).select("session_id", "turn_no", F.struct("line_no", F.concat(head, F.lit("\n\n"), F.col("text")).alias("s")).alias("x"))
-    return rows.groupBy("session_id", "turn_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n\n").alias("markdown"))
-
-
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Audit of each session as JSON."""
     s = session_summary(spark, folder)
@@ -266,8 +253,7 @@ def truncation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 _NAMES = """record_list turn_metrics session_summary message_list response_list event_audit ignored_reasons unknown_sidecar mode_chat
 mode_actions message_range turn_n last_assistant last_substantial last_response last_n_turns last_n_turns_indexed since_text since_time
-adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context interval_history live_context byte_provenance turn_digest
-turn_document manifest tool_outputs file_changes truncation_report""".split()
+adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context interval_history live_context byte_provenance manifest tool_outputs file_changes truncation_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -367,8 +353,6 @@ CASE WHEN deleted > 0 THEN 'Deleted ' || deleted || ' file' || CASE WHEN deleted
     "asof_context": f"WITH {_CTX} SELECT session_id, line_no, context_line FROM (SELECT *, max(CASE WHEN type = 'turn_context' THEN line_no END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_line FROM h) WHERE payload.type = 'user_message'",
     "interval_history": f"WITH {_CTX} SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, count(*) FILTER (type = 'compacted') AS compactions, count(*) FILTER (payload.type = 'thread_rolled_back') AS rollbacks FROM h WHERE type = 'compacted' OR payload.type = 'thread_rolled_back' GROUP BY ALL",
     "byte_provenance": f"WITH {_REC} SELECT session_id, line_no, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) AS BIGINT) AS byte_end FROM rec",
-    "turn_digest": f"WITH {_TURN} SELECT session_id, turn_no, sha256(string_agg(sha256(text), '' ORDER BY line_no)) AS sha256 FROM t GROUP BY ALL",
-    "turn_document": f"WITH {_TURN} SELECT session_id, turn_no, string_agg(CASE role WHEN 'user' THEN '## User' WHEN 'assistant' THEN '## Assistant' ELSE '## Tool' END || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY line_no) AS markdown FROM t GROUP BY ALL",
     "manifest": f"""WITH {_REC} SELECT session_id, '{{"records":' || count(*) || ',"prompts":' || count(*) FILTER ({_USER}) || ',"replies":' || count(*) FILTER ({_BOT}) || ',"actions":' || count(*) FILTER (kind = 'action') || '}}' AS manifest FROM rec GROUP BY session_id""",
     "tool_outputs": f"""WITH {_EV} SELECT session_id, line_no, try_cast(nullif(regexp_extract(payload.item.output, '^(?:(?:Chunk ID|Wall time|Original token count)[^\\n]*\\n){{0,7}}Process exited with code (-?\\d+)', 1), '') AS INTEGER) AS exit_code, {_OUT} AS body FROM ev WHERE payload.item.type = 'local_shell_call_output'""",
     "file_changes": f"WITH {_EV} SELECT session_id, line_no, status, c.key AS path, c.value.type AS operation FROM (SELECT session_id, line_no, payload.item.status AS status, unnest(map_entries(payload.item.changes)) AS c FROM ev WHERE payload.item.type = 'FileChange')",

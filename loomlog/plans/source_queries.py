@@ -60,7 +60,7 @@ def _member(path: str):
 
 def scan_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every log file, plain or compressed, with its byte range."""
-    rows = lines.read_lines(spark, files.local_path(_log_files(spark, folder)), split_bytes=64 << 10)
+    rows = lines.read_lines(spark, files.local_path(_log_files(spark, folder)))
     return rows.select(_member("path").alias("member_id"), F.col("path").endswith(".zst").alias("compressed"), "line_no", "byte_start", "byte_end", F.sha2("raw", 256).alias("sha256"))
 
 

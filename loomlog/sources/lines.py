@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SPLIT_BYTES = 128 << 20
+#: Bytes that one task reads, and what opening a file counts for.
+SPLIT_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
 SPLIT_SCHEMA = "path string, split int, line_no bigint, byte_start bigint, byte_end bigint, raw binary"
 SCHEMA = "path string, line_no bigint, byte_start bigint, byte_end bigint, raw binary"
 
@@ -76,10 +77,12 @@ def lines_of(stream, at: int = 0, end: int | None = None, most: int | None = Non
         at += len(line)
 
 
-class _Split(InputPartition):
-    def __init__(self, path: str, number: int, start: int, end: int | None):
-        super().__init__(path)
-        self.path, self.number, self.start, self.end = path, number, start, end
+class _Group(InputPartition):
+    """Splits (path, number, start, end) that one task reads: small files share a task."""
+
+    def __init__(self, splits: list[tuple[str, int, int, int | None]]):
+        super().__init__(splits)
+        self.splits = splits
 
 
 class _Reader(DataSourceReader):
@@ -87,26 +90,28 @@ class _Reader(DataSourceReader):
         self.path, self.most = options["path"], options.get("maxLines") or options.get("maxlines")
         self.size = int(options.get("splitBytes") or options.get("splitbytes") or SPLIT_BYTES)
 
-    def partitions(self) -> list[_Split]:
-        out = []
+    def partitions(self) -> list[_Group]:
+        groups, held = [[]], 0
         for p in files(self.path):
             size = os.path.getsize(p)
-            if p.endswith(".zst") or self.most or size <= self.size:
-                out.append(_Split(p, 0, 0, None))
-            else:
-                out += [_Split(p, k, at, min(size, at + self.size)) for k, at in enumerate(range(0, size, self.size))]
-        return out
-
-    def read(self, split: _Split) -> Iterator[tuple]:
-        if getattr(split, "path", None) is None:
-            return
-        with open_log(split.path) as stream:
-            at = split.start
-            if at:  # a line belongs to the split that it begins in
-                stream.seek(at - 1)
-                at += len(stream.readline()) - 1
-            for number, start, end, raw in lines_of(stream, at, split.end, int(self.most) if self.most else None):
-                yield split.path, split.number, number, start, end, raw
+            whole = p.endswith(".zst") or self.most or size <= self.size
+            for split in [(p, 0, 0, None)] if whole else [(p, k, at, min(size, at + self.size)) for k, at in enumerate(range(0, size, self.size))]:
+                cost = (split[3] or size) - split[2] + OPEN_BYTES
+                if groups[-1] and held + cost > self.size:
+                    groups.append([])
+                    held = 0
+                groups[-1].append(split)
+                held += cost
+        return [_Group(g) for g in groups if g]
+
+    def read(self, group: _Group) -> Iterator[tuple]:
+        for path, number, at, end in getattr(group, "splits", ()):
+            with open_log(path) as stream:
+                if at:  # a line belongs to the split that it begins in
+                    stream.seek(at - 1)
+                    at += len(stream.readline()) - 1
+                for line in lines_of(stream, at, end, int(self.most) if self.most else None):
+                    yield path, number, *line
 
 
 class LogLines(DataSource):
