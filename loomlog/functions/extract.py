@@ -80,11 +80,11 @@ _BLOBS = [
 ]
 
 
-def shortened(line: str, longest: int = LONGEST_LINE) -> str:
+def shortened(line: str, longest: int = LONGEST_LINE, end: int = LINE_END) -> str:
     """A line above the longest, reduced to its two ends and a marker."""
     if len(line) <= longest:
         return line
-    return f"{line[:LINE_END].rstrip()}\n[single overlong line truncated: {len(line):,} characters, sha256-prefix={sha16(line)}]\n{line[-LINE_END:].lstrip()}"
+    return f"{line[:end].rstrip()}\n[single overlong line truncated: {len(line):,} characters, sha256-prefix={sha16(line)}]\n{line[-end:].lstrip()}"
 
 
 def cleaned(text: str | None, counts: Counter | None = None, longest: int = LONGEST_LINE, repeats: int = MOST_REPEATS) -> str:

@@ -81,6 +81,11 @@ def truncated_tokens(text: str) -> Column:
     return F.coalesce(F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + F.replace(x, F.lit(","), F.lit("")).cast("bigint")), F.lit(0))
 
 
+def cards(text: str, label: str) -> Column:
+    """Lines that are a file card's label."""
+    return F.regexp_count(text, F.lit(f"(?m)^{label}$")).cast("bigint")
+
+
 def slug(text: str, limit: int = 80) -> Column:
     out = F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_\s.-]+", "")
     out = F.regexp_replace(F.regexp_replace(out, r"\s+", "_"), "_+", "_")
@@ -102,13 +107,19 @@ def human_size(size: str) -> Column:
     )
 
 
-def path_key(path: str) -> Column:
+def path_key(path: str | Column) -> Column:
     """One separator, long-path prefixes and trailing separators removed, case folded."""
-    p = F.replace(F.trim(F.coalesce(F.col(path), F.lit(""))), F.lit("/"), F.lit("\\"))
+    given = F.col(path) if isinstance(path, str) else path
+    p = F.replace(F.trim(F.coalesce(given, F.lit(""))), F.lit("/"), F.lit("\\"))
     p = F.when(p.startswith("\\\\?\\UNC\\"), F.concat(F.lit("\\\\"), F.substr(p, F.lit(9)))).when(p.startswith("\\\\?\\"), F.substr(p, F.lit(5))).otherwise(p)
     return F.lower(F.regexp_replace(p, r"\\+$", ""))
 
 
+def normal_path(path: str) -> Column:
+    """The key of one path that a user gives."""
+    return path_key(F.lit(path))
+
+
 def project_key(cwd: str, project: str) -> Column:
     """path:, id: or name: key of a workspace; case is folded for drive and share paths only."""
     p = F.regexp_replace(F.replace(F.coalesce(F.col(cwd), F.lit("")), F.lit("\\"), F.lit("/")), "(?<=.)/+$", "")

@@ -74,3 +74,31 @@ def projects(catalog: DataFrame) -> DataFrame:
     return catalog.where("session_id is not null").groupBy(key.alias("project")).agg(
         F.count("*").alias("sessions"), F.count_if(F.col("archived") == 1).alias("archived"), F.max("updated_at").alias("updated_at")
     )
+
+
+STATUSES = ("all", "available", "live", "archived", "missing")
+
+
+def has_status(status: str) -> Column:
+    """Rows of reconciled() with a status; live is available and not archived."""
+    if status not in STATUSES:
+        raise ValueError(f"no status: {status}")
+    archived, available = F.col("archived") == 1, F.col("available")
+    return {"all": F.lit(True), "available": available, "live": available & ~archived, "archived": archived, "missing": ~available}[status]
+
+
+def in_project(target: str) -> Column:
+    """Sessions of a project: a path is compared whole, a name with the last part of the workspace and the project id."""
+    if "\\" in target or ":" in target:
+        return X.path_key("cwd") == X.normal_path(target)
+    return (F.substring_index(X.path_key("cwd"), "\\", -1) == target.lower()) | (F.lower(F.coalesce("project_id", F.lit(""))) == target.lower())
+
+
+def session_metadata(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """session_id, field, values: distinct values of each field in the order in which they were first seen.
+
+    fields names, for each, the JSON paths that may hold it; a value counts at its first line, so only first sights are collected."""
+    each = F.array(*(F.struct(F.lit(name).alias("field"), F.trim(F.get_json_object("raw", path)).alias("value"), F.lit(k).alias("k")) for name, paths in fields.items() for k, path in enumerate(paths)))
+    rows = lines.select("session_id", "line_no", F.inline(each)).where("value <> ''")
+    first = rows.groupBy("session_id", "field", "value").agg(F.min(F.struct("line_no", "k")).alias("at"))
+    return first.groupBy("session_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))

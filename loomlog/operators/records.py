@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from loomlog.functions import context as CX
 from loomlog.functions import text as X
 from loomlog.operators.running import running
+from loomlog.storage import materialize
 
 # Parts of type names that mark events as noise.
 NOISE = ["token_count", "turn_context", "session_meta", "reasoning", "delta", "rate_limits"]
@@ -118,4 +119,5 @@ def records(lines: DataFrame) -> DataFrame:
 def with_turns(rows: DataFrame) -> DataFrame:
     """Records with turn_no: the number of user messages so far in the session; 0 before the first."""
     prompt = F.when((F.col("kind") == "message") & (F.col("role") == "user"), 1).otherwise(0).cast("bigint")
-    return running(rows, ["session_id"], "line_no", {"turn_no": ("sum", prompt)})
+    # a running step reads its rows twice: they are classified once
+    return running(materialize(rows, "turns"), ["session_id"], "line_no", {"turn_no": ("sum", prompt)})

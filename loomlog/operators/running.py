@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomlog.storage import materialize
+
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
@@ -56,3 +58,20 @@ def running(
         own = _COMBINE[k][0](f"_in_{n}").over(inside)
         out = out.withColumn(n, _pick(k, F.col(f"_before_{n}"), own, kinds[f"_in_{n}"].startswith("struct")))
     return out.drop("_block", "_b", *(f"_k_{k}" for k in keys), *(f"_{p}_{n}" for n in values for p in ("in", "before")))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's rank (from 1) within its key, for orders of any type; order has to decide every tie.
+
+    Rows are cut into ranges of (key, order), ranked inside each range, and moved up by what the ranges before hold of their
+    key, so a key that holds a third of all rows is spread over its ranges."""
+    spread = df.repartitionByRange(*(F.col(k).asc_nulls_first() for k in keys), *order).withColumn("_range", F.spark_partition_id())
+    rows = materialize(spread, "ranges")
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    across = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    return rows.join(before, same).withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_range", "_r", "_before", *(f"_k_{k}" for k in keys))

@@ -12,7 +12,7 @@ from loomlog.operators import chunks
 from loomlog.operators import records as R
 from loomlog.operators import texts as TX
 from loomlog.operators import tree
-from loomlog.operators.running import running
+from loomlog.operators.running import ranked, running
 from loomlog.sources.tables import table
 
 
@@ -57,15 +57,21 @@ def catalog_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions by workspace."""
-    return C.projects(_catalog(spark, folder)).select("project", "sessions", "archived")
+    """Sessions by workspace: archived and missing ones, rows of their logs, last update."""
+    rows = C.reconciled(_seen(spark, folder), _catalog(spark, folder)).withColumn("project", X.project_key("cwd", "project_id"))
+    return rows.where("in_catalog").groupBy("project").agg(
+        F.count("*").alias("sessions"), F.count_if(F.col("archived") == 1).alias("archived"), F.count_if(~F.col("available")).alias("missing"), F.sum("rows").alias("rows"), F.max(T.epoch_seconds("updated_at")).alias("updated_s")
+    )
 
 
 def title_precedence(spark: SparkSession, folder: str) -> DataFrame:
-    """Title of each session: the catalog's, else its first prompt, else its id."""
-    prompts = R.records(table(spark, folder, "rollout_lines")).where("kind = 'message' and role = 'user'")
-    first = prompts.groupBy("session_id").agg(F.min_by(X.preview("text", 80), "line_no").alias("prompt"))
-    titles = _catalog(spark, folder).where("session_id is not null").select("session_id", F.nullif(X.collapsed("title"), F.lit("")).alias("title"))
+    """Title of each session: the catalog's, else its first prompt in either log, else its id."""
+    prompts = R.records(table(spark, folder, "rollout_lines")).where("kind = 'message' and role = 'user'").select("session_id", F.lit(0).alias("log"), F.col("line_no").alias("at"), "text")
+    legacy = table(spark, folder, "response_items").where("payload.type in ('message', 'user_message') and (payload.type = 'user_message' or lower(trim(payload.role)) in ('user', 'human'))")
+    said = F.array_join(F.filter(F.transform("payload.content", lambda p: p["text"]), lambda t: t.isNotNull()), "\n")
+    legacy = legacy.select("session_id", F.lit(1).alias("log"), F.col("item_id").alias("at"), said.alias("text")).where(F.col("text").rlike(r"\S"))
+    first = prompts.unionByName(legacy).groupBy("session_id").agg(F.min_by(X.preview("text", 80), F.struct("log", "at")).alias("prompt"))
+    titles = _catalog(spark, folder).where("session_id is not null").select("session_id", F.nullif(X.collapsed(F.regexp_replace("title", r"^\s*#+\s*", "")), F.lit("")).alias("title"))
     both = titles.join(first, "session_id", "full_outer")
     return both.select("session_id", F.substring(F.coalesce("title", "prompt", "session_id"), 1, 200).alias("title"))
 
@@ -78,9 +84,8 @@ def best_delivery(spark: SparkSession, folder: str) -> DataFrame:
 
 def sorted_listing(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's sessions by title descending, nulls last, ties by id; with their rank."""
-    rows = _catalog(spark, folder).where("session_id is not null").withColumn("project", X.project_key("cwd", "project_id"))
-    order = W.partitionBy("project").orderBy(*C.sort_columns("title:desc", "session_id"))
-    return rows.select("project", "session_id", "title", F.row_number().over(order).alias("rank"))
+    rows = _catalog(spark, folder).where("session_id is not null").select(X.project_key("cwd", "project_id").alias("project"), "session_id", "title")
+    return ranked(rows, ["project"], C.sort_columns("title:desc", "session_id"))
 
 
 def listing_page(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,9 +105,10 @@ def path_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def project_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions of the project named lantern: last part of the workspace path, or project id."""
-    last = F.substring_index(X.path_key("cwd"), "\\", -1)
-    return _catalog(spark, folder).where((last == "lantern") | (F.lower("project_id") == "lantern")).select("session_id", "cwd")
+    """Sessions of a project by name (the last part of the workspace, or the project id) and by whole path."""
+    rows = _catalog(spark, folder)
+    named = rows.where(C.in_project("lantern")).select(F.lit("name").alias("by"), "session_id", "cwd")
+    return named.unionByName(rows.where(C.in_project("C:/Work/Lantern/")).select(F.lit("path").alias("by"), "session_id", "cwd"))
 
 
 def latest_session(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,9 +148,14 @@ def role_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def account_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, sessions and message rows of each source."""
-    rows = table(spark, folder, "response_items")
-    return rows.groupBy("source").agg(F.count("*").alias("scanned"), F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("payload.type") == "message").alias("messages"))
+    """Rows, sessions, message rows and rows of repeated content of each source, and how many name a project."""
+    rows = table(spark, folder, "response_items").select("source", "session_id", (F.col("payload.type") == "message").alias("message"), F.xxhash64(F.to_json(F.struct("session_id", "type", "timestamp", "payload"))).alias("content"))
+    once = rows.groupBy("source", "session_id", "content").agg(F.count("*").alias("n"), F.count_if("message").alias("messages"))
+    named = _catalog(spark, folder).where("session_id is not null and project_id is not null").select(F.col("session_id").alias("p")).distinct()
+    once = once.join(named, F.col("session_id") == F.col("p"), "left")
+    return once.groupBy("source").agg(
+        F.sum("n").alias("scanned"), F.count_distinct("session_id").alias("sessions"), F.sum("messages").alias("messages"), F.sum(F.col("n") - 1).alias("repeated"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("with_project")
+    )
 
 
 def duplicate_samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,9 +212,13 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedded_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Commands and working folders inside embedded JSON arguments."""
-    rows = R.events(table(spark, folder, "rollout_lines")).select("session_id", "line_no", F.trim("payload.item.arguments").alias("a")).where("a rlike '^[{].*[}]$'")
-    return rows.select("session_id", "line_no", F.get_json_object("a", "$.cmd").alias("command"), F.get_json_object("a", "$.workdir").alias("workdir"))
+    """Strings that hold JSON objects or lists, on one line or several: what they hold, their command and working folder."""
+    rows = R.events(table(spark, folder, "rollout_lines")).select("session_id", "line_no", F.trim("payload.item.arguments").alias("a"))
+    shaped = F.array(F.col("a"), F.concat(F.lit("[\n"), "a", F.lit("\n]")), F.concat(F.lit(" "), F.replace("a", F.lit(","), F.lit(",\n"))), F.concat("a", F.lit("x")))
+    rows = rows.where("a is not null").select("session_id", "line_no", F.posexplode(shaped).alias("shape", "a")).withColumn("a", F.trim("a"))
+    rows = rows.where(F.col("a").rlike(r"(?s)^(?:\{.*\}|\[.*\])$") & F.expr("try_parse_json(a) is not null"))
+    at = lambda k: F.coalesce(F.get_json_object("a", f"$.{k}"), F.get_json_object("a", f"$[0].{k}"))
+    return rows.select("session_id", "line_no", "shape", F.when(F.col("a").startswith("["), "list").otherwise("object").alias("holds"), at("cmd").alias("command"), at("workdir").alias("workdir"))
 
 
 def tree_preorder(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +268,7 @@ from loomlog.plans.log_queries import _EV, _MARK, _REC, _TOK, _LINES, _SEARCH, _
 
 _SEEN = """u AS (SELECT session_id, 'rollout' AS log, count(*) AS rows, min(received_at) AS first_seen, max(received_at) AS last_seen FROM rollout_lines WHERE session_id IS NOT NULL GROUP BY session_id
 UNION ALL SELECT session_id, 'legacy', count(*), min(received_at), max(received_at) FROM response_items WHERE session_id IS NOT NULL GROUP BY session_id),
-seen AS (SELECT session_id, max_by(log, struct_pack(a := last_seen, b := log)) AS log, CAST(sum(rows) AS BIGINT) AS rows FROM u GROUP BY session_id)"""
+seen AS (SELECT session_id, max_by(log, struct_pack(a := last_seen, b := log)) AS log, CAST(sum(rows) AS BIGINT) AS rows, max(last_seen) AS last_seen FROM u GROUP BY session_id)"""
 _BOTH = f"""{_SEEN}, r AS (SELECT coalesce(s.session_id, c.session_id) AS session_id, s.session_id IS NOT NULL AS available, c.session_id IS NOT NULL AS in_catalog,
 coalesce(nullif(trim(c.title), ''), s.session_id, c.session_id) AS title, coalesce(archived, 0) AS archived, coalesce(rows, 0) AS rows
 FROM seen s FULL OUTER JOIN (SELECT * FROM session_catalog WHERE session_id IS NOT NULL) c ON s.session_id = c.session_id)"""
@@ -282,23 +297,27 @@ SQL = {
     "missing_rollouts": f"WITH {_SEEN} SELECT session_id, rollout_path FROM {_HAS} AND session_id NOT IN (SELECT session_id FROM seen)",
     "unindexed_rollouts": f"WITH {_SEEN} SELECT session_id, log FROM seen WHERE session_id NOT IN (SELECT session_id FROM {_HAS})",
     "catalog_audit": f"WITH {_BOTH} SELECT count(*) AS sessions, count(*) FILTER (available) AS available, count(*) FILTER (NOT available) AS missing, count(*) FILTER (NOT in_catalog) AS unindexed, count(*) FILTER (archived = 1) AS archived FROM r",
-    "project_rollup": f"SELECT {_PROJECT} AS project, count(*) AS sessions, count(*) FILTER (archived = 1) AS archived FROM {_HAS} GROUP BY ALL",
-    "title_precedence": f"""WITH {_REC}, f AS (SELECT session_id, arg_min({_preview(80)}, line_no) AS prompt FROM rec WHERE kind = 'message' AND role = 'user' GROUP BY session_id),
-c AS (SELECT session_id, nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') AS title FROM {_HAS})
+    "project_rollup": f"""WITH {_SEEN}, x AS (SELECT {_PROJECT} AS project, c.archived, s.session_id IS NULL AS missing, coalesce(s.rows, 0) AS rows, coalesce(c.updated_at, s.last_seen) AS updated_at FROM session_catalog c LEFT JOIN seen s ON s.session_id = c.session_id WHERE c.session_id IS NOT NULL)
+SELECT project, count(*) AS sessions, count(*) FILTER (archived = 1) AS archived, count(*) FILTER (missing) AS missing, CAST(sum(rows) AS BIGINT) AS rows, CAST(max(epoch(updated_at)) AS DOUBLE) AS updated_s FROM x GROUP BY project""",
+    "title_precedence": f"""WITH {_REC}, p AS (SELECT session_id, 0 AS log, line_no AS place, text FROM rec WHERE kind = 'message' AND role = 'user' UNION ALL
+SELECT session_id, 1, item_id, array_to_string(list_filter(list_transform(payload.content, lambda c: c.text), lambda t: t IS NOT NULL), chr(10)) FROM response_items WHERE payload.type = 'user_message' OR (payload.type = 'message' AND lower(trim(payload.role)) IN ('user', 'human'))),
+f AS (SELECT session_id, arg_min({_preview(80)}, struct_pack(a := log, b := place)) AS prompt FROM p WHERE regexp_matches(text, '\\S') GROUP BY session_id),
+c AS (SELECT session_id, nullif(trim(regexp_replace(regexp_replace(title, '^\\s*#+\\s*', ''), '\\s+', ' ', 'g')), '') AS title FROM {_HAS})
 SELECT coalesce(c.session_id, f.session_id) AS session_id, substring(coalesce(title, prompt, c.session_id, f.session_id), 1, 200) AS title FROM c FULL OUTER JOIN f ON c.session_id = f.session_id""",
     "best_delivery": "SELECT session_id, line_no, count(*) AS deliveries, max_by(line_id, struct_pack(a := received_at, b := line_id)) AS line_id FROM rollout_lines GROUP BY ALL HAVING count(*) > 1",
     "sorted_listing": f"SELECT project, session_id, title, row_number() OVER (PARTITION BY project ORDER BY title DESC NULLS LAST, session_id) AS rank FROM (SELECT {_PROJECT} AS project, session_id, title FROM {_HAS})",
     "listing_page": f"SELECT session_id, title FROM {_HAS} AND created_at IS NOT NULL ORDER BY created_at DESC, session_id LIMIT 50 OFFSET 50",
     "search_and": "SELECT session_id, title FROM session_catalog WHERE contains(lower(concat_ws(' ', title, cwd, project_id, source)), 'redaction') AND contains(lower(concat_ws(' ', title, cwd, project_id, source)), 'step')",
     "path_keys": f"SELECT session_id, {_PATH} AS path FROM {_HAS}",
-    "project_filter": rf"SELECT session_id, cwd FROM session_catalog WHERE string_split({_PATH}, '\')[-1] = 'lantern' OR lower(project_id) = 'lantern'",
+    "project_filter": rf"SELECT 'name' AS by, session_id, cwd FROM session_catalog WHERE string_split({_PATH}, '\')[-1] = 'lantern' OR lower(project_id) = 'lantern' UNION ALL SELECT 'path', session_id, cwd FROM session_catalog WHERE {_PATH} = 'c:\work\lantern'",
     "latest_session": f"SELECT source, max_by(session_id, struct_pack(a := updated_at, b := session_id)) AS session_id FROM {_HAS} AND updated_at IS NOT NULL GROUP BY source",
     "session_head": f"WITH {_EV} SELECT session_id, count(*) AS lines, arg_min(type, line_no) AS first_type, arg_min(payload.turn_id, line_no) FILTER (payload.turn_id IS NOT NULL) AS first_turn_id FROM ev WHERE line_no <= 8 GROUP BY session_id",
     "path_sessions": r"SELECT rollout_path, nullif(regexp_extract(rollout_path, '([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl(?:\.zst)?$', 1), '') AS named_session, starts_with(rollout_path, 'archived_sessions') AS in_archive, suffix(rollout_path, '.zst') AS compressed FROM session_catalog WHERE rollout_path IS NOT NULL",
     "created_display": f"SELECT session_id, strftime(created_at AT TIME ZONE 'UTC', '%B %-d, %Y at %I:%M:%S %p UTC') AS created FROM {_HAS}",
     "updated_since": "SELECT session_id, CAST(epoch(updated_at) AS DOUBLE) AS updated_s FROM session_catalog WHERE updated_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00'",
     "role_histogram": "SELECT session_id, coalesce(lower(trim(payload.role)), '-') AS role, count(*) AS n FROM response_items WHERE payload.type = 'message' GROUP BY ALL",
-    "account_inventory": "SELECT source, count(*) AS scanned, count(DISTINCT session_id) AS sessions, count(*) FILTER (payload.type = 'message') AS messages FROM response_items GROUP BY source",
+    "account_inventory": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, session_id, type, timestamp, payload) AS k FROM response_items) SELECT source, count(*) AS scanned, count(DISTINCT session_id) AS sessions,
+count(*) FILTER (payload.type = 'message') AS messages, count(*) FILTER (k > 1) AS repeated, count(*) FILTER (session_id IN (SELECT session_id FROM session_catalog WHERE session_id IS NOT NULL AND project_id IS NOT NULL)) AS with_project FROM r GROUP BY source""",
     "duplicate_samples": "SELECT session_id, line_no, k, line_id FROM (SELECT session_id, line_no, line_id, count(*) OVER (PARTITION BY session_id, line_no) AS n, row_number() OVER (PARTITION BY session_id, line_no ORDER BY line_id) AS k FROM rollout_lines) WHERE n > 1 AND k <= 3",
     "line_gaps": "SELECT session_id, prev + 1 AS gap_start, line_no - 1 AS gap_end FROM (SELECT session_id, line_no, lag(line_no) OVER (PARTITION BY session_id ORDER BY line_no) AS prev FROM (SELECT DISTINCT session_id, line_no FROM rollout_lines)) WHERE line_no > prev + 1",
     "text_metrics": f"SELECT doc_id, CAST({_TOK} AS BIGINT) AS tokens, CAST({_LINES} AS BIGINT) AS lines, CAST({_FENCE} AS INTEGER) AS fence, {_preview(120)} AS preview FROM documents",
@@ -310,7 +329,8 @@ b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FR
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS k FROM i) SELECT doc_id, count(*) FILTER (k > 2) AS dropped, sha256(string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 2)) AS sha256 FROM n GROUP BY doc_id HAVING count(*) FILTER (k > 2) > 0""",
     "long_lines": "SELECT doc_id, CAST(pos AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 400",
     "json_lines": "SELECT record_id, CASE WHEN coalesce(trim(raw_json), '') = '' THEN 'blank' WHEN NOT json_valid(raw_json) THEN 'error' WHEN json_type(raw_json) = 'OBJECT' THEN 'exact' ELSE 'not_object' END AS status, CAST(0 AS INTEGER) AS repairs FROM drift_records",
-    "embedded_json": f"WITH {_EV}, x AS (SELECT session_id, line_no, trim(payload.item.arguments) AS a FROM ev) SELECT session_id, line_no, json_extract_string(a, '$.cmd') AS command, json_extract_string(a, '$.workdir') AS workdir FROM x WHERE regexp_matches(a, '^[{{].*[}}]$')",
+    "embedded_json": f"""WITH {_EV}, x AS (SELECT session_id, line_no, trim(payload.item.arguments) AS a FROM ev WHERE payload.item.arguments IS NOT NULL AND json_valid(payload.item.arguments)), y AS (SELECT *, unnest([0, 1, 2]) AS shape FROM x)
+SELECT session_id, line_no, CAST(shape AS INTEGER) AS shape, CASE WHEN shape = 1 THEN 'list' ELSE 'object' END AS holds, json_extract_string(a, '$.cmd') AS command, json_extract_string(a, '$.workdir') AS workdir FROM y""",
     "tree_preorder": """WITH RECURSIVE n AS (SELECT session_id, item_id, max(CASE WHEN payload.type = 'message' THEN item_id END) OVER (PARTITION BY session_id ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM response_items WHERE session_id IS NOT NULL),
 t AS (SELECT session_id, item_id, up, CAST(0 AS BIGINT) AS depth, CASE WHEN up IS NULL THEN [item_id] END AS path FROM n WHERE up IS NULL UNION ALL SELECT n.session_id, n.item_id, n.up, t.depth + 1, list_append(t.path, -n.item_id) FROM t JOIN n ON n.session_id = t.session_id AND n.up = t.item_id)
 SELECT session_id AS tree, CAST(item_id AS VARCHAR) AS id, CAST(up AS VARCHAR) AS parent, depth, row_number() OVER (PARTITION BY session_id ORDER BY path) AS position FROM t""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomlog.functions import text as X
+from loomlog.functions import times as T
 from loomlog.operators import records as R
 from loomlog.operators import sequences as Q
 from loomlog.sources.tables import table
@@ -37,18 +38,25 @@ def record_list(spark: SparkSession, folder: str) -> DataFrame:
 def turn_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of prompt and response of each turn; turn 0 is what precedes the first prompt."""
     reply = F.col("role") != "user"
+    sizes = {"tokens": X.tokens("text"), "lines": X.lines("text"), "edited": X.cards("text", "Edited file"), "created": X.cards("text", "Created file")}
+    # texts are measured before the turns are counted, so only sizes and previews of prompts are written and shuffled
+    rows = _records(spark, folder).select("session_id", "line_no", "kind", "role", "timestamp", *(c.alias(n) for n, c in sizes.items()), F.when(is_prompt(), X.preview("text")).alias("preview"))
     return (
-        _turns(spark, folder)
+        R.with_turns(rows)
         .groupBy("session_id", "turn_no")
         .agg(
             F.min("line_no").alias("first_line"),
             F.max("line_no").alias("last_line"),
-            _sum(X.tokens("text"), is_prompt()).alias("prompt_tokens"),
-            _sum(X.lines("text"), is_prompt()).alias("prompt_lines"),
-            _sum(X.tokens("text"), reply).alias("response_tokens"),
-            _sum(X.lines("text"), reply).alias("response_lines"),
+            _sum(F.col("tokens"), is_prompt()).alias("prompt_tokens"),
+            _sum(F.col("lines"), is_prompt()).alias("prompt_lines"),
+            _sum(F.col("tokens"), reply).alias("response_tokens"),
+            _sum(F.col("lines"), reply).alias("response_lines"),
             F.count_if(reply).alias("response_records"),
             F.count_if(F.col("kind") == "action").alias("actions"),
+            _sum(F.col("edited"), reply).alias("edited"),
+            _sum(F.col("created"), reply).alias("created"),
+            F.max_by("timestamp", F.when(reply & (F.coalesce("timestamp", F.lit("")) != ""), F.col("line_no"))).alias("last_timestamp"),
+            F.min_by("preview", F.when(is_prompt(), F.col("line_no"))).alias("preview"),
         )
     )
 
@@ -89,6 +97,8 @@ def response_list(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(X.lines("text")).alias("lines"),
         F.sum(X.tokens("text")).alias("tokens"),
         F.count_if(F.col("kind") == "action").alias("actions"),
+        F.sum(X.cards("text", "Edited file")).alias("edited"),
+        F.sum(X.cards("text", "Created file")).alias("created"),
         F.min_by("text", F.when(is_reply(), F.col("line_no"))).alias("first_reply"),
     )
 
@@ -176,10 +186,9 @@ def since_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def since_time(spark: SparkSession, folder: str) -> DataFrame:
-    """Records from the first prompt on, in line order, whose offset-aware time is 2025-07-01 or later."""
+    """Records from the first prompt on, in line order, whose offset-aware time is 2025-07-01 or later; wall times never are."""
     rows = _turns(spark, folder)
-    written = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"), F.col("timestamp")).try_cast("timestamp")
-    hit = rows.where(is_prompt() & (written >= F.lit("2025-07-01T00:00:00Z").cast("timestamp")))
+    hit = rows.where(is_prompt() & (T.parsed("timestamp") >= T.since("2025-07-01")))
     start = hit.groupBy(F.col("session_id").alias("s")).agg(F.min("turn_no").alias("start_turn"))
     return rows.join(start, F.col("session_id").eqNullSafe(F.col("s"))).where("turn_no >= start_turn").select("session_id", "turn_no", "line_no", "role")
 
@@ -225,12 +234,6 @@ def byte_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return Q.byte_ranges(_records(spark, folder))
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit of each session as JSON."""
-    s = session_summary(spark, folder)
-    return s.select("session_id", F.to_json(F.struct("records", "prompts", "replies", "actions")).alias("manifest"))
-
-
 def tool_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Exit code and body of each tool output, transport header removed."""
     events = R.events(table(spark, folder, "rollout_lines")).where("payload.item.type = 'local_shell_call_output'")
@@ -253,7 +256,7 @@ def truncation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 _NAMES = """record_list turn_metrics session_summary message_list response_list event_audit ignored_reasons unknown_sidecar mode_chat
 mode_actions message_range turn_n last_assistant last_substantial last_response last_n_turns last_n_turns_indexed since_text since_time
-adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context interval_history live_context byte_provenance manifest tool_outputs file_changes truncation_report""".split()
+adjacent_dedup action_blocks fifo_pairing lookback_dedup asof_context interval_history live_context byte_provenance tool_outputs file_changes truncation_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -288,6 +291,10 @@ _MARKERS = f"len(regexp_extract_all(text, {_MARK}))"
 _MTOK = f"coalesce(list_sum(list_transform(regexp_extract_all(text, {_MARK}, 1), lambda x: CAST(replace(x, ',', '') AS BIGINT))), 0)"
 
 
+def _cards(verb: str) -> str:
+    return f"len(regexp_extract_all(text, '(?m)^{verb} file$'))"
+
+
 def _preview(limit: int) -> str:
     one = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
     return f"CASE WHEN length({one}) > {limit} THEN rtrim(substring({one}, 1, {limit - 1})) || '…' ELSE {one} END"
@@ -310,19 +317,27 @@ a AS (SELECT *, is_cmd OR level >= least(coalesce(low, 0), 0) AS admitted FROM w
 n AS (SELECT *, row_number() OVER (PARTITION BY session_id, seg, is_cmd ORDER BY line_no) AS k FROM a WHERE admitted)"""
 _CTX = f"{_EV}, h AS (SELECT session_id, line_no, type, payload, sum(CASE WHEN payload.type = 'user_message' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no) AS turn_no FROM ev)"
 
+_WALLED = r"replace(trim(timestamp), ',', '.')"
+_DT = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
+_AWARE = rf"CASE WHEN regexp_matches({_WALLED}, '^{_DT}(?:[Zz]|[+-]\d{{2}}(?::?\d{{2}})?)$') THEN try_cast(regexp_replace(regexp_replace(upper({_WALLED}), '([+-]\d{{2}})(\d{{2}})$', '\1:\2'), '(\.\d{{6}})\d+', '\1') AS TIMESTAMPTZ) END"
+_UNIX = rf"CASE WHEN regexp_matches(trim(timestamp), '^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$') AND try_cast(trim(timestamp) AS DOUBLE) BETWEEN -62135596800 AND 253402300799.99 THEN CAST(trunc(try_cast(trim(timestamp) AS DOUBLE) * 1000000) AS BIGINT) END"
+_WALL = rf"CASE WHEN regexp_matches({_WALLED}, '^{_DT}$') THEN try_cast(regexp_replace({_WALLED}, '(\.\d{{6}})\d+', '\1') AS TIMESTAMP) END"
+
 SQL = {
     "record_list": f"WITH {_REC} SELECT session_id, line_no, kind, role, source_type, text, command_key, output_key FROM rec",
     "turn_metrics": f"""WITH {_TURN} SELECT session_id, turn_no, min(line_no) AS first_line, max(line_no) AS last_line,
 CAST(coalesce(sum({_TOK}) FILTER ({_USER}), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum({_LINES}) FILTER ({_USER}), 0) AS BIGINT) AS prompt_lines,
 CAST(coalesce(sum({_TOK}) FILTER (role <> 'user'), 0) AS BIGINT) AS response_tokens, CAST(coalesce(sum({_LINES}) FILTER (role <> 'user'), 0) AS BIGINT) AS response_lines,
-count(*) FILTER (role <> 'user') AS response_records, count(*) FILTER (kind = 'action') AS actions FROM t GROUP BY ALL""",
+count(*) FILTER (role <> 'user') AS response_records, count(*) FILTER (kind = 'action') AS actions,
+CAST(coalesce(sum({_cards('Edited')}) FILTER (role <> 'user'), 0) AS BIGINT) AS edited, CAST(coalesce(sum({_cards('Created')}) FILTER (role <> 'user'), 0) AS BIGINT) AS created,
+arg_max(timestamp, line_no) FILTER (role <> 'user' AND coalesce(timestamp, '') <> '') AS last_timestamp, arg_min({_preview(120)}, line_no) FILTER ({_USER}) AS preview FROM t GROUP BY ALL""",
     "session_summary": f"""WITH {_REC} SELECT session_id, count(*) AS records, count(*) FILTER ({_USER}) AS prompts, count(*) FILTER ({_BOT}) AS replies, count(*) FILTER (kind = 'action') AS actions,
 arg_min(timestamp, line_no) FILTER (coalesce(timestamp, '') <> '') AS first_timestamp, arg_max(timestamp, line_no) FILTER (coalesce(timestamp, '') <> '') AS last_timestamp,
 CAST(sum({_MARKERS}) AS BIGINT) AS truncation_markers, CAST(sum({_MTOK}) AS BIGINT) AS truncated_tokens,
 CAST(sum(len(regexp_extract_all(text, '(?m)^Edited file$'))) AS BIGINT) AS edited, CAST(sum(len(regexp_extract_all(text, '(?m)^Created file$'))) AS BIGINT) AS created FROM rec GROUP BY session_id""",
     "message_list": f"WITH {_MSG} SELECT * FROM m",
     "response_list": f"""WITH {_TURN} SELECT session_id, turn_no, count(*) AS records, CAST(coalesce(sum(length(text)) FILTER ({_BOT}), 0) AS BIGINT) AS assistant_chars, CAST(sum({_LINES}) AS BIGINT) AS lines,
-CAST(sum({_TOK}) AS BIGINT) AS tokens, count(*) FILTER (kind = 'action') AS actions, arg_min(text, line_no) FILTER ({_BOT}) AS first_reply FROM t WHERE turn_no > 0 AND role <> 'user' GROUP BY ALL""",
+CAST(sum({_TOK}) AS BIGINT) AS tokens, count(*) FILTER (kind = 'action') AS actions, CAST(sum({_cards('Edited')}) AS BIGINT) AS edited, CAST(sum({_cards('Created')}) AS BIGINT) AS created, arg_min(text, line_no) FILTER ({_BOT}) AS first_reply FROM t WHERE turn_no > 0 AND role <> 'user' GROUP BY ALL""",
     "event_audit": f"""WITH {_IGN} SELECT 'recognized' AS status, source_type AS event, count(*) AS n FROM rec GROUP BY ALL
 UNION ALL SELECT CASE WHEN {_REASON} = 'unrecognized_schema' THEN 'unknown' ELSE 'ignored' END, event, count(*) FROM ign GROUP BY ALL""",
     "ignored_reasons": f"WITH {_IGN} SELECT {_REASON} AS reason, count(*) AS n FROM ign GROUP BY ALL",
@@ -338,7 +353,7 @@ UNION ALL SELECT CASE WHEN {_REASON} = 'unrecognized_schema' THEN 'unknown' ELSE
     "last_n_turns_indexed": f"WITH {_LAST} SELECT session_id, turn_no, line_no, kind, role FROM l WHERE turn_no > turns - 2 AND turn_no > 0",
     "since_text": f"WITH {_TURN} SELECT session_id, turn_no, line_no, role FROM t JOIN (SELECT session_id, min(turn_no) AS start_turn FROM t WHERE {_USER} AND contains({_SEARCH}, 'archive writer') GROUP BY session_id) USING (session_id) WHERE turn_no >= start_turn",
     "since_time": f"""WITH {_TURN} SELECT session_id, turn_no, line_no, role FROM t JOIN (SELECT session_id, min(turn_no) AS start_turn FROM t WHERE {_USER}
-AND try_cast(CASE WHEN regexp_matches(timestamp, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d{{1,6}})?Z$') THEN replace(timestamp, 'Z', '') END AS TIMESTAMP) >= TIMESTAMP '2025-07-01' GROUP BY session_id) USING (session_id) WHERE turn_no >= start_turn""",
+AND coalesce(epoch_us({_AWARE}), {_UNIX}) >= epoch_us(TIMESTAMP '2025-07-01') GROUP BY session_id) USING (session_id) WHERE turn_no >= start_turn""",
     "adjacent_dedup": f"""WITH {_REC}, b AS (SELECT *, lag(kind) OVER w IS DISTINCT FROM kind OR lag(role) OVER w IS DISTINCT FROM role OR lag(text) OVER w IS DISTINCT FROM text AS fresh FROM rec WINDOW w AS (PARTITION BY session_id ORDER BY line_no)),
 i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no) AS island FROM b)
 SELECT session_id, line_no, kind, role FROM (SELECT *, first_value(source_type) OVER (PARTITION BY session_id, island ORDER BY line_no) AS first_type FROM i) WHERE fresh OR ({_USER} AND source_type = first_type)""",
@@ -353,7 +368,6 @@ CASE WHEN deleted > 0 THEN 'Deleted ' || deleted || ' file' || CASE WHEN deleted
     "asof_context": f"WITH {_CTX} SELECT session_id, line_no, context_line FROM (SELECT *, max(CASE WHEN type = 'turn_context' THEN line_no END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_line FROM h) WHERE payload.type = 'user_message'",
     "interval_history": f"WITH {_CTX} SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, count(*) FILTER (type = 'compacted') AS compactions, count(*) FILTER (payload.type = 'thread_rolled_back') AS rollbacks FROM h WHERE type = 'compacted' OR payload.type = 'thread_rolled_back' GROUP BY ALL",
     "byte_provenance": f"WITH {_REC} SELECT session_id, line_no, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) AS BIGINT) AS byte_end FROM rec",
-    "manifest": f"""WITH {_REC} SELECT session_id, '{{"records":' || count(*) || ',"prompts":' || count(*) FILTER ({_USER}) || ',"replies":' || count(*) FILTER ({_BOT}) || ',"actions":' || count(*) FILTER (kind = 'action') || '}}' AS manifest FROM rec GROUP BY session_id""",
     "tool_outputs": f"""WITH {_EV} SELECT session_id, line_no, try_cast(nullif(regexp_extract(payload.item.output, '^(?:(?:Chunk ID|Wall time|Original token count)[^\\n]*\\n){{0,7}}Process exited with code (-?\\d+)', 1), '') AS INTEGER) AS exit_code, {_OUT} AS body FROM ev WHERE payload.item.type = 'local_shell_call_output'""",
     "file_changes": f"WITH {_EV} SELECT session_id, line_no, status, c.key AS path, c.value.type AS operation FROM (SELECT session_id, line_no, payload.item.status AS status, unnest(map_entries(payload.item.changes)) AS c FROM ev WHERE payload.item.type = 'FileChange')",
     "truncation_report": f"WITH {_EV}, x AS (SELECT session_id, line_no, payload.message AS text FROM ev) SELECT session_id, line_no, CAST({_MARKERS} AS BIGINT) AS markers, CAST({_MTOK} AS BIGINT) AS tokens FROM x WHERE {_MARKERS} > 0",

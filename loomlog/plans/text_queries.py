@@ -62,7 +62,7 @@ def mojibake(spark: SparkSession, folder: str) -> DataFrame:
 def shortened_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose lines above 400 characters are reduced to their ends."""
     rows = table(spark, folder, "documents").where("text is not null")
-    out = TX.mapped(rows, "doc_id", "text", {"short": "string"}, lambda t: ("\n".join(E.shortened(x, 3000) for x in t.split("\n")),))
+    out = TX.mapped(rows, "doc_id", "text", {"short": "string"}, lambda t: ("\n".join(E.shortened(x, 400, 100) for x in t.split("\n")),))
     return out.join(rows.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")).where("short <> text").select("doc_id", F.length("short").alias("chars"), F.sha2("short", 256).alias("sha256"))
 
 
@@ -188,7 +188,7 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 # ------------------------------------------------------------------------------------------------------------ SQL twins
 
 from loomlog.plans.event_queries import _clean, _guess, _strip  # noqa: E402
-from loomlog.plans.log_queries import _EV, _MARK, _MARKERS, _MTOK, _TURN  # noqa: E402
+from loomlog.plans.log_queries import _AWARE, _EV, _MARK, _MARKERS, _MTOK, _TURN, _UNIX, _WALL  # noqa: E402
 from loomlog.plans.catalog_queries import _HAS, _SLUG0, _ENDS  # noqa: E402
 
 _TEXTS = """tx AS (SELECT * FROM (SELECT 'rollout_lines' AS table_name, line_id AS record_id, 'message' AS field, payload.message AS text FROM rollout_lines
@@ -231,11 +231,6 @@ u AS (SELECT table_name, record_id, field, row_number() OVER () AS t, lines FROM
 h AS (SELECT *, CASE WHEN length(line0) > 20000 THEN regexp_replace(left(line0, 1200), '\\s+$', '') || chr(10) || '[single overlong line truncated: ' || format('{{:,}}', length(line0)) || ' characters, sha256-prefix=' || left(sha256(line0), 16) || ']' || chr(10) || regexp_replace(right(line0, 1200), '^\\s+', '') ELSE line0 END AS line FROM l),
 f AS (SELECT *, sum(CASE WHEN line IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY pos) AS island FROM (SELECT *, lag(line) OVER (PARTITION BY t ORDER BY pos) AS prev FROM h)),
 k AS (SELECT *, row_number() OVER (PARTITION BY t, island ORDER BY pos) AS run FROM f)"""
-_WALLED = r"replace(trim(timestamp), ',', '.')"
-_DT = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
-_AWARE = rf"CASE WHEN regexp_matches({_WALLED}, '^{_DT}(?:[Zz]|[+-]\d{{2}}(?::?\d{{2}})?)$') THEN try_cast(regexp_replace(regexp_replace(upper({_WALLED}), '([+-]\d{{2}})(\d{{2}})$', '\1:\2'), '(\.\d{{6}})\d+', '\1') AS TIMESTAMPTZ) END"
-_UNIX = rf"CASE WHEN regexp_matches(trim(timestamp), '^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$') AND try_cast(trim(timestamp) AS DOUBLE) BETWEEN -62135596800 AND 253402300799.99 THEN CAST(trunc(try_cast(trim(timestamp) AS DOUBLE) * 1000000) AS BIGINT) END"
-_WALL = rf"CASE WHEN regexp_matches({_WALLED}, '^{_DT}$') THEN try_cast(regexp_replace({_WALLED}, '(\.\d{{6}})\d+', '\1') AS TIMESTAMP) END"
 _RES = r'[<>:"/\\|?*\x00-\x1f]'
 _STEM1 = rf"""regexp_replace(regexp_replace(CASE WHEN suffix(lower(title), '.md') THEN left(title, length(title) - 3) ELSE coalesce(title, '') END, '{_RES}', '_', 'g'), '\s+', '_', 'g')"""
 _STEM2 = rf"""regexp_replace(regexp_replace({_STEM1}, '^[ ._]+|[ ._]+$', '', 'g'), '_+', '_', 'g')"""
@@ -258,8 +253,8 @@ SELECT left(table_name, 1) || record_id AS id, sha256({_strip('body')}) AS sha25
     "annotated_texts": f"WITH {_TEXTS} SELECT table_name, record_id, field, CAST({_MARKERS} AS BIGINT) AS markers, CAST({_MTOK} AS BIGINT) AS tokens, sha256(regexp_replace(text, {_MARK}, '[SOURCE TOOL OUTPUT TRUNCATED: \\1 tokens omitted; not recoverable from this record]', 'g')) AS sha256 FROM tx WHERE {_MARKERS} > 0",
     "mojibake": f"WITH {_TEXTS} SELECT table_name, record_id, field, sha256(translate(text, '{X.CP1252_CODES}', '{X.CP1252}')) AS sha256 FROM tx WHERE regexp_matches(text, '{X.MOJIBAKE}')",
     "shortened_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-s AS (SELECT *, CASE WHEN length(line) > 3000 THEN regexp_replace(left(line, 1200), '\s+$', '') || chr(10) || '[single overlong line truncated: ' || format('{:,}', length(line)) || ' characters, sha256-prefix=' || left(sha256(line), 16) || ']' || chr(10) || regexp_replace(right(line, 1200), '^\s+', '') ELSE line END AS short FROM l)
-SELECT doc_id, CAST(length(string_agg(short, chr(10) ORDER BY pos)) AS INTEGER) AS chars, sha256(string_agg(short, chr(10) ORDER BY pos)) AS sha256 FROM s GROUP BY doc_id HAVING max(length(line)) > 3000""",
+s AS (SELECT *, CASE WHEN length(line) > 400 THEN regexp_replace(left(line, 100), '\s+$', '') || chr(10) || '[single overlong line truncated: ' || format('{:,}', length(line)) || ' characters, sha256-prefix=' || left(sha256(line), 16) || ']' || chr(10) || regexp_replace(right(line, 100), '^\s+', '') ELSE line END AS short FROM l)
+SELECT doc_id, CAST(length(string_agg(short, chr(10) ORDER BY pos)) AS INTEGER) AS chars, sha256(string_agg(short, chr(10) ORDER BY pos)) AS sha256 FROM s GROUP BY doc_id HAVING max(length(line)) > 400""",
     "language_guesses": f"WITH {_TEXTS}, g AS (SELECT *, regexp_replace(text, '^[\\s\\p{{Z}}]+', '') AS h FROM tx) SELECT table_name, field, {_guess('h')} AS lang, count(*) AS n FROM g GROUP BY ALL",
     "commands": f"""WITH {_ARGS}, c AS (SELECT line_id, unnest(['plain', 'argv', 'nested']) AS shape, {_CMD} AS cmd FROM ar), x AS (SELECT line_id || ':' || shape AS id, CASE WHEN shape = 'argv' THEN replace(cmd, ' ', chr(10)) ELSE cmd END AS command, cmd, shape FROM c)
 SELECT id, command, lower(cmd) AS command_key, CASE WHEN shape = 'argv' THEN string_split(cmd, ' ')[1] WHEN length(cmd) > 40 THEN left(cmd, 39) || '…' ELSE cmd END AS shown FROM x""",

@@ -87,3 +87,9 @@ def publish(files: DataFrame, root: str, policy: str = "error") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in PUBLISHED.split(", ")])
 
     return files.select("path", "data").mapInArrow(run, PUBLISHED)
+
+
+def same_place(a: str, b: str) -> bool:
+    """Whether two paths are one file, through links too; an output must not be its source."""
+    a, b = local_path(a), local_path(b)
+    return os.path.realpath(a) == os.path.realpath(b) or (os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b))

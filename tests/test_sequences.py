@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window as W, functions as F
 
 from loomlog.operators import sequences as Q
-from loomlog.operators.running import running
+from loomlog.operators.running import ranked, running
 
 RECORDS = "session_id string, line_no bigint, kind string, role string, text string, source_type string, command_key string, output_key string"
 
@@ -100,3 +100,13 @@ def test_live_lines_equal_a_replay(spark):
         want += [(f"s{s}", n, left if n in compactions and (n, False) == live[0] and rows[n * 12 + s][3] == "compacted" else None) for n, _ in live if n is not None]
     got = [tuple(r) for r in Q.live_lines(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ranks_equal_a_plain_window(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), k, rnd.choice(["x", "y", None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "key string, id int, title string")
+    order = [F.col("title").desc_nulls_last(), F.col("id").asc()]
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*order)))
+    pick = lambda d: sorted((r["id"], r["rank"]) for r in d.collect())
+    assert pick(ranked(df, ["key"], order)) == pick(want)

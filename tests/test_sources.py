@@ -198,3 +198,27 @@ def test_context_and_ranges(spark):
     for bad in ("0", "4-2", "7", "x"):
         with pytest.raises(ValueError):
             CX.row_numbers(bad, 6)
+
+
+def test_documents_state_their_own_counts_and_are_no_sources(tmp_path):
+    from loomlog.sinks import documents
+
+    render = lambda lines, tokens: "\n".join(["head", f"Lines: {lines}", f"Tokens: {tokens}", *["x"] * 7]) + "\n" + "more words " * (lines % 3)
+    count = lambda t: (t.count("\n") + (not t.endswith("\n")), len(t.replace(":", " : ").split()))
+    text = documents.with_own_counts(render, count)
+    assert f"Lines: {count(text)[0]}\nTokens: {count(text)[1]}\n" in text
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.write_text("x")
+    b.symlink_to(a)
+    assert files.same_place(str(a), f"file://{b}") and not files.same_place(str(a), str(tmp_path / "c"))
+
+
+def test_tails():
+    assert chunks.tail(b"abc", 10) == b"abc" and chunks.tail("é".encode() * 4, 3) == "é".encode()
+    assert chunks.tail(b"x" * 10 + b"\n" + b"y" * 8, 10) == b"y" * 8 and chunks.tail(b"x" * 10 + b"\nab", 8) == b"xxxxx\nab"
+
+
+def test_unfinished_ends_of_growing_logs():
+    from loomlog.operators.texts import is_complete
+
+    assert all(map(is_complete, (b"", b" \n", b'{"a": 1}', b'{"a": "X:\\q"}', b"[1]"))) and not any(map(is_complete, (b'{"a": ', b'{"a": "\xff"}', "{\"é".encode()[:-1])))
