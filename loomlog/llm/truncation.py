@@ -2,10 +2,12 @@
 
 Step 1 recomputes the length of every text under several storage measures (characters, UTF-16 units, UTF-8 bytes, with
 HTML or JSON escapes, with CR LF line ends) and counts lengths by source and measure.  A limit is the greatest length
-of a source under a measure if it occurs far more often than the lengths just below it.  Of the measures that agree the
+of a source under a measure if it occurs more often than the lengths just below it can explain (a bound on a Poisson tail,
+so that what counts as often follows from the data and not from a fixed number).  Of the measures that agree the
 one with the highest count holds.  Step 2 inspects endings: a text at its source's limit is cut unless its end is
 complete; any other text is cut if it ends within a character, in an open code block, without the mark that its kind of
-sentence has everywhere else, or in a part of a word.
+sentence has everywhere else, in a part of a word, or in a word whose form is elsewhere only the beginning of a longer one
+(such as a path before its ending): how words are formed is counted, not given.
 
 All of it is Catalyst expressions; what is shuffled are counts and the candidates' last words.
 
@@ -18,8 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomlog.storage import materialize
 
-#: A limit's length occurs at least so often, and so many times as often as the mean of the WINDOW lengths below it.
-SPIKE_COUNT, SPIKE_RATIO, WINDOW = 8, 8.0, 16
+#: A limit's length occurs so many times as often as the WINDOW lengths below it do on average, and so often that chance
+#: explains it with a probability below e ** -SPIKE_ODDS.
+SPIKE_RATIO, SPIKE_ODDS, WINDOW = 8.0, 18.0, 16
+#: A form of words is only a beginning if it stands alone in less than this share of the times that it goes on with a mark.
+ALONE_SHARE = 0.02
 #: Limits are broadcast up to so many sources; beyond that, and for frequent openers, rows are spread over SALTS parts.
 BROADCAST_SOURCES, SALTS = 10_000, 16
 #: Openers of which at least this share of the sentences lacks a final mark are complete without one.
@@ -32,7 +37,6 @@ USUAL_SHARE = 0.02
 NEVER_FINAL_SHARE = 0.005
 _FINAL = r"[.?!:;…。？！」』”’\"')\]}*>|]$"
 _MARKED = r"[.?!…。？！][\"'”’)\]*]*$"
-_PATH = r"(^|\s)[\w.-]+(/[\w.-]+)+\.[A-Za-z0-9]{1,5}$"
 
 
 def _count(text: str, what: str) -> Column:
@@ -44,8 +48,9 @@ def measures() -> dict[str, Column]:
     chars, size = F.length("text"), F.octet_length("text")
     newlines = _count("text", "\n")
     html = _count("text", "&") * 4 + (_count("text", "<") + _count("text", ">")) * 3
-    quotes, backslashes, tabs = _count("text", '"'), _count("text", "\\"), _count("text", "\t") + _count("text", "\r")
-    json = quotes + backslashes + newlines + tabs
+    quoted = html + _count("text", '"') * 5 + _count("text", "'") * 4
+    short, long = F.regexp_count("text", F.lit(r'["\\\n\t\r\x08\f]')), F.regexp_count("text", F.lit(r"[\x00-\x07\x0b\x0e-\x1f]"))
+    json = short + long * 5
     utf16 = F.octet_length(F.encode("text", "UTF-16BE")) / 2
     return {
         "characters": chars,
@@ -53,6 +58,8 @@ def measures() -> dict[str, Column]:
         "utf16_units": utf16,
         "html_characters": chars + html,
         "html_bytes": size + html,
+        "html_quoted_characters": chars + quoted,
+        "html_quoted_bytes": size + quoted,
         "json_characters": chars + json,
         "json_bytes": size + json,
         "json_ascii": json + F.octet_length(F.regexp_replace("text", r"[^\x00-\x7f]", "")) + (utf16 - F.length(F.regexp_replace("text", r"[^\x00-\x7f]", ""))) * 6,
@@ -61,6 +68,12 @@ def measures() -> dict[str, Column]:
     }
 
 
+def form_of(word: Column) -> Column:
+    """A word's form: runs of letters as a, of digits as 9, of both as a, marks as they are; without quotes and brackets around it."""
+    bare = F.regexp_replace(word, r"^[\"'“‘(\[{*_`]+|[\"'”’)\]}*_`,;:!?]+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[\p{L}\p{M}\p{N}]*[\p{L}\p{M}][\p{L}\p{M}\p{N}]*", "a"), r"\p{N}+", "9")
+
+
 def texts(lines: DataFrame, items: DataFrame) -> DataFrame:
     """table_name, record_id, source, text: one row for each text that is not blank."""
     a = lines.select(F.lit("rollout_lines").alias("table_name"), F.col("line_id").alias("record_id"), "source", F.col("payload.message").alias("text"))
@@ -113,7 +126,10 @@ def limits(measured_rows: DataFrame) -> DataFrame:
     spikes = near.groupBy("source", "rank", "limit_length").agg(
         F.sum(F.when(at, F.col("n")).otherwise(0)).alias("n"), (F.sum(F.when(below, F.col("n")).otherwise(0)) / WINDOW).alias("usual"), F.max("top_n").alias("top_n")
     )
-    spikes = spikes.where((F.col("n") >= SPIKE_COUNT) & (F.col("top_n") >= SPIKE_RATIO * F.greatest("usual", F.lit(0.25))))
+    # the rate of the lengths below, by the rule of succession: a window without any text does not show that there are none
+    rate = (F.col("usual") * WINDOW + 1) / (WINDOW + 1)
+    odds = F.col("top_n") * F.log(F.col("top_n") / rate) - (F.col("top_n") - rate)
+    spikes = spikes.where((F.col("top_n") >= SPIKE_RATIO * rate) & (odds >= SPIKE_ODDS))
     best = spikes.groupBy("source").agg(F.max_by(F.struct("rank", "limit_length", "n"), F.struct("n", -F.col("rank"))).alias("b"))
     return best.select("source", F.get(names, F.col("b.rank")).alias("measure"), F.col("b.rank").alias("rank"), F.col("b.limit_length").alias("limit_length"), F.col("b.n").alias("n"))
 
@@ -132,17 +148,16 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     joined = rows.join(at, F.col("source").eqNullSafe(F.col("s")) & salted, "left").withColumn(
         "at_limit", F.coalesce(F.get("lengths", F.col("rank")).between(F.col("limit_length") - slack, F.col("limit_length")), F.lit(False))
     )
-    word = F.regexp_extract("unit", r"(\S+)$", 1)
     facts = (
         joined.withColumn("marked", F.col("unit").rlike(_FINAL) | (F.col("unit") == "") | F.col("unit").rlike("```$|`$"))
         .withColumn("opener", F.regexp_extract("unit", r"^(\S+)", 1))
-        .withColumn("last_word", word)
-        .withColumn("path", F.col("unit").rlike(_PATH))
+        .withColumn("last_word", F.regexp_extract("unit", r"(\S+)$", 1))
     )
-    facts = facts.select("table_name", "record_id", "source", "unit", "alone", "listed", "open_fence", "broken_char", "hanging", "at_limit", "marked", "opener", "last_word", "path")
-
     # one unmarked word after other sentences may be the beginning of a word and tells nothing about openers
-    facts = facts.withColumn("scrap", (F.col("unit") == F.col("opener")) & ~F.col("marked") & (~F.col("alone") | F.col("broken_char")))
+    scrap = (F.col("unit") == F.col("opener")) & ~F.col("marked") & (~F.col("alone") | F.col("broken_char"))
+    names = ["table_name", "record_id", "source", "unit", "alone", "listed", "open_fence", "broken_char", "hanging", "at_limit", "marked", "opener", "last_word"]
+    facts = materialize(facts.select(*names, scrap.alias("scrap")), "facts")  # read by every branch below
+
     # how sentences with this opener end, over all texts that are not at a limit
     openers = facts.where("not at_limit and not open_fence and not scrap").groupBy("opener").agg(
         F.count_if(~F.col("marked")).alias("unmarked"), F.count("*").alias("opened")
@@ -153,6 +168,13 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     pieces = facts.where("not open_fence").select(split.alias("pieces"), "marked")
     last = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), ((i == F.size("pieces") - 1) & F.col("marked")).cast("int").alias("final")))
     vocabulary = pieces.select(F.inline(last)).groupBy("piece").agg(F.count("*").alias("seen"), F.sum("final").alias("final"))
+    # forms of words that others follow: how often each stands alone
+    inner = F.split(F.regexp_replace("unit", r"\s*\S+$", ""), r"\s+")
+    forms = facts.where("not open_fence").select(F.explode(F.transform(inner, form_of)).alias("form")).where("form <> ''").groupBy("form").agg(F.count("*").alias("stands"))
+    # of each form that goes on after a full stop, how often it stands without what follows
+    base = F.regexp_extract("form", r"^(.*)\.[a9]$", 1)
+    goes_on = forms.where(base != "").groupBy(base.alias("begun")).agg(F.sum("stands").alias("goes_on"))
+    partial = goes_on.join(forms, F.col("begun") == F.col("form"), "left").where(F.coalesce("stands", F.lit(0)) < ALONE_SHARE * F.col("goes_on")).where(F.col("goes_on") >= F.lit(KNOWN_SHARE) * total).select("begun")
 
     # letters that are a word of their own, not the end of a hash
     doubtful = facts.where("not marked and not at_limit and not open_fence and not broken_char").withColumn(
@@ -178,17 +200,22 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("hanging"), "sentence")
         .when(~natural | stub, F.when(part_of_word | stub, "word").otherwise("sentence"))
-        .when(part_of_word & ~F.col("path"), "word")
+        .when(part_of_word, "word")
         .when(unfinished, "sentence")
     )
     judged_ends = doubtful.select("table_name", "record_id", "source", verdict.alias("reason"))
-    half_path = F.col("unit").rlike(r"(^|\s)\w+/\w*_\w*\.$")
-    complete = F.col("marked") & ~half_path & ~F.col("unit").rlike(r"[,;:]$") | F.col("path") & F.col("unit").rlike(r"^\S+ \S+$")
-    plain = facts.where("marked or at_limit or open_fence or broken_char").select(
+    plain = facts.where("marked or at_limit or open_fence or broken_char").withColumn("form", F.regexp_replace(form_of(F.col("last_word")), r"\.$", ""))
+    # forms are few and some are frequent: they are spread over SALTS parts
+    partial = partial.withColumn("begins", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dotted = F.col("last_word").endswith(".") & F.col("last_word").rlike(r"[^\p{L}\p{M}.]")
+    plain = plain.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(partial.withColumnRenamed("begun", "form"), ["form", "part"], "left")
+    half = F.coalesce("begins", F.lit(False)) & dotted
+    complete = F.col("marked") & ~half & ~F.col("unit").rlike(r"[,;:]$")
+    plain = plain.select(
         "table_name",
         "record_id",
         "source",
-        F.when(F.col("broken_char"), "character").when(F.col("open_fence"), "block").when(F.col("at_limit") & ~complete, "limit").alias("reason"),
+        F.when(F.col("broken_char"), "character").when(F.col("open_fence"), "block").when(F.col("at_limit") & ~complete, "limit").when(half & F.col("marked"), "word").alias("reason"),
     )
     return judged_ends.unionByName(plain)
 
