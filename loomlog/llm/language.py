@@ -63,8 +63,9 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LEAD = re.compile(r"^\s*(?:>+\s*|#{1,6}\s+|[-*+•]\s+|\d{1,4}[.)]\s+|\[[ xX]\]\s+|\*\*[^*\n]{1,40}\*\*:?\s*|[A-Z][a-z]{2,12}:\s+(?=[A-Z\W]))+")
 _STOP = re.compile(r"(?<=[.?!…])[\"'”’»)\]*_]*\s+|(?<=[。？！])")
 _CODE = re.compile(r"`[^`]*`")
-_RUN = re.compile(r"[A-Za-z0-9_./\\#@:=+<>{}\[\]-]+")
-_NAME = re.compile(r"[/\\_#@=<>{}\[\]\d]|[A-Za-z]\.[A-Za-z]|^[A-Z]{2,}[.:]?$|::")
+_IN_RUN = r"[A-Za-z0-9_./\\#@:=+<>{}\[\]-]"
+#: Whole runs of ASCII that are paths, identifiers, numbers or abbreviations; words as such are never matched.
+_NAME = re.compile(rf"(?<!{_IN_RUN})(?:{_IN_RUN}*?(?:[/\\_#@=<>{{}}\[\]\d]|[A-Za-z]\.[A-Za-z]|::){_IN_RUN}*|[A-Z]{{2,}}[.:]?(?!{_IN_RUN}))", re.A)
 _ASIDE = re.compile(r"[(（]([^()（）]{0,60})[)）]|[\"“„«»”「『]([^\"“„«»”「』』]{0,40})[\"”“«»」』]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -82,10 +83,10 @@ def _aside(m: re.Match) -> str:
     return " " if _weight(inner or "") <= 5 else m.group()
 
 
-def _plain(m: re.Match) -> str:
-    """A run of ASCII, or a blank for paths, identifiers, numbers and abbreviations."""
+def _blank(m: re.Match) -> str:
+    """A blank for a name; its final marks stay."""
     run = m.group()
-    return run if not _NAME.search(run) else " " + run[len(run.rstrip(".:")) :]
+    return " " + run[len(run.rstrip(".:")) :]
 
 
 def sentences(text: str | None) -> list[tuple[int, str, int]]:
@@ -101,7 +102,7 @@ def sentences(text: str | None) -> list[tuple[int, str, int]]:
             m = _STOP.search(line, start + 1)
             end = m.end() if m else len(line)
             clean = _CODE.sub(" ", _ASIDE.sub(_aside, line[start:end]))
-            clean = _SPACE.sub(" ", _RUN.sub(_plain, clean)).strip()
+            clean = _SPACE.sub(" ", _NAME.sub(_blank, clean)).strip()
             if n := _weight(clean):
                 out.append((at + start, clean, n))
             start = end
