@@ -244,9 +244,24 @@ def chunk_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """User messages that are injected context or service context as a whole."""
-    rows = R.records(table(spark, folder, "rollout_lines")).where("role = 'user'")
-    return rows.select("session_id", "line_no", CX.is_injected_context("text").alias("injected"), CX.is_service_context("text").alias("service"))
+    """Whether messages are injected or service context as a whole: user messages as they are and in several envelopes."""
+    rows = R.events(table(spark, folder, "rollout_lines")).where("payload.type = 'user_message' and payload.message is not null")
+    text = F.col("payload.message")
+    around = lambda tag, t, opening=None: F.concat(F.lit(f"<{opening or tag}>\n"), t, F.lit(f"</{tag.upper()}> "))
+    heading = F.concat(F.lit("# AGENTS.md instructions for /w\n\n<INSTRUCTIONS>"), text, F.lit("</INSTRUCTIONS>\n"))
+    aborted = around("turn_aborted", text)
+    shapes = [text, around("environment_context", text), F.concat(around("user_instructions", text), heading), F.concat(around("environment_context", text), F.lit("please")), aborted, F.concat(aborted, around("in-app-browser-context", text, "in-app-browser-context source='ambient-ui-state'")), around("in-app-browser-context", text)]
+    rows = rows.select("session_id", "line_no", F.posexplode(F.array(*shapes)).alias("shape", "text"))
+    return rows.select("session_id", "line_no", "shape", CX.is_injected_context("text").alias("injected"), CX.is_service_context("text").alias("service"))
+
+
+def chunk_promises(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of every document: whether each is within the limit, whole characters, and follows the one before."""
+    pieces = chunks.parts(table(spark, folder, "documents"), 4096)
+    order = W.partitionBy("doc_id").orderBy("byte_start")
+    rows = pieces.withColumn("follows", F.col("byte_start") == F.coalesce(F.lag("byte_end").over(order), F.lit(0))).withColumn("lines", F.octet_length("body") - F.octet_length(F.replace(F.decode("body", "utf-8"), F.lit("\n"), F.lit(""))))
+    whole = F.octet_length(F.encode(F.decode("body", "utf-8"), "utf-8")) == F.octet_length("body")
+    return rows.groupBy("doc_id").agg(F.max("byte_end").alias("bytes"), F.every("follows").alias("follows"), F.every((F.octet_length("body") <= 4096) & whole).alias("fits"), F.sum("lines").cast("bigint").alias("line_ends"))
 
 
 def event_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,7 +274,7 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
 _NAMES = """source_union catalog_full_outer missing_rollouts unindexed_rollouts catalog_audit project_rollup title_precedence best_delivery
 sorted_listing listing_page search_and path_keys project_filter latest_session session_head path_sessions created_display updated_since
 role_histogram account_inventory duplicate_samples line_gaps text_metrics    title_slugs search_keys
-member_sizes repeat_runs long_lines json_lines embedded_json tree_preorder event_counts segment_reassembly chunk_parts context_flags""".split()
+member_sizes repeat_runs long_lines json_lines embedded_json tree_preorder event_counts segment_reassembly chunk_parts chunk_promises context_flags""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -328,6 +343,8 @@ count(*) FILTER (payload.type = 'message') AS messages, count(*) FILTER (k > 1)
 b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM line AS fresh FROM l), i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS k FROM i) SELECT doc_id, count(*) FILTER (k > 2) AS dropped, sha256(string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 2)) AS sha256 FROM n GROUP BY doc_id HAVING count(*) FILTER (k > 2) > 0""",
     "long_lines": "SELECT doc_id, CAST(pos AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 400",
+    "context_flags": f"WITH {_EV}, x AS (SELECT session_id, line_no, unnest([0, 1, 2, 3, 4, 5, 6]) AS shape FROM ev WHERE payload.type = 'user_message' AND payload.message IS NOT NULL) SELECT session_id, line_no, CAST(shape AS INTEGER) AS shape, shape IN (1, 2) AS injected, shape IN (4, 5) AS service FROM x",
+    "chunk_promises": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS follows, true AS fits, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS line_ends FROM documents WHERE text <> ''",
     "json_lines": "SELECT record_id, CASE WHEN coalesce(trim(raw_json), '') = '' THEN 'blank' WHEN NOT json_valid(raw_json) THEN 'error' WHEN json_type(raw_json) = 'OBJECT' THEN 'exact' ELSE 'not_object' END AS status, CAST(0 AS INTEGER) AS repairs FROM drift_records",
     "embedded_json": f"""WITH {_EV}, x AS (SELECT session_id, line_no, trim(payload.item.arguments) AS a FROM ev WHERE payload.item.arguments IS NOT NULL AND json_valid(payload.item.arguments)), y AS (SELECT *, unnest([0, 1, 2]) AS shape FROM x)
 SELECT session_id, line_no, CAST(shape AS INTEGER) AS shape, CASE WHEN shape = 1 THEN 'list' ELSE 'object' END AS holds, json_extract_string(a, '$.cmd') AS command, json_extract_string(a, '$.workdir') AS workdir FROM y""",

@@ -365,6 +365,22 @@ SELECT *, CASE WHEN created + edited + deleted = 0 AND commands > 0 THEN 'Ran '
 CASE WHEN created > 0 THEN 'Created ' || created || ' file' || CASE WHEN created = 1 THEN '' ELSE 's' END END, CASE WHEN edited > 0 THEN 'Edited ' || edited || ' file' || CASE WHEN edited = 1 THEN '' ELSE 's' END END,
 CASE WHEN deleted > 0 THEN 'Deleted ' || deleted || ' file' || CASE WHEN deleted = 1 THEN '' ELSE 's' END END, CASE WHEN commands > 0 THEN 'ran ' || commands || ' command' || CASE WHEN commands = 1 THEN '' ELSE 's' END END) END AS summary FROM c""",
     "fifo_pairing": f"WITH {_SEG} SELECT c.session_id, c.line_no AS command_line, o.line_no AS output_line, c.command_key, o.output_key FROM n c LEFT JOIN n o ON o.session_id = c.session_id AND o.seg = c.seg AND o.k = c.k AND o.is_out WHERE c.is_cmd",
+    "lookback_dedup": f"""WITH RECURSIVE {_REC}, k AS (SELECT session_id, line_no, command_key, output_key, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n FROM rec WHERE command_key IS NOT NULL OR output_key IS NOT NULL),
+f AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS line_no, CAST([] AS VARCHAR[]) AS cs, CAST([] AS VARCHAR[]) AS os, false AS kept FROM k
+UNION ALL SELECT k.session_id, k.n, k.line_no, CASE WHEN command_key IS NOT NULL AND NOT list_contains(cs, command_key) THEN list_append(cs, command_key)[-12:] ELSE cs END,
+CASE WHEN output_key IS NOT NULL AND NOT (command_key IS NOT NULL AND list_contains(cs, command_key)) AND NOT list_contains(os, output_key) THEN list_append(os, output_key)[-3:] ELSE os END,
+NOT coalesce(list_contains(cs, command_key), false) AND NOT coalesce(list_contains(os, output_key), false) FROM f JOIN k ON k.session_id = f.session_id AND k.n = f.n + 1)
+SELECT session_id, line_no FROM f WHERE kept""",
+    "live_context": f"""WITH RECURSIVE {_EV}, k AS (SELECT session_id, line_no, {_P} AS p, type = 'compacted' AND len(coalesce(payload.replacement_history, [])) > 0 AS compacts, coalesce(payload.num_turns, 0) AS turns,
+{_P} IN ('user_message', 'agent_message', 'assistant_message') OR {_I} IN ('local_shell_call', 'local_shell_call_output', 'FileChange') AS record, list_transform(list_filter(coalesce(payload.replacement_history, []),
+lambda h: h.role = 'user' AND len(list_filter(coalesce(h.content, []), lambda c: regexp_matches(c.text, '\\S'))) > 0), lambda h: {{'n': CAST(NULL AS BIGINT), 'u': true}}) AS asked, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n FROM ev),
+f AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(n BIGINT, u BOOLEAN)[]) AS live, CAST(NULL AS BIGINT) AS head FROM k
+UNION ALL SELECT k.session_id, k.n, CASE WHEN compacts THEN list_concat([{{'n': k.line_no, 'u': false}}], asked) WHEN p = 'thread_rolled_back' AND turns > 0 THEN
+ CASE WHEN len(list_filter(live, lambda x: x.u)) >= turns THEN live[:list_filter(range(1, len(live) + 1), lambda i: live[i].u)[-turns] - 1] ELSE [] END
+ WHEN record THEN list_append(live, {{'n': k.line_no, 'u': p = 'user_message'}}) ELSE live END, CASE WHEN compacts THEN k.line_no ELSE f.head END FROM f JOIN k ON k.session_id = f.session_id AND k.n = f.n + 1),
+l AS (SELECT session_id, live, head FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1),
+e AS (SELECT session_id, head, len(list_filter(live, lambda x: x.u AND x.n IS NULL)) AS asked, unnest(live) AS x FROM l)
+SELECT session_id, x.n AS line_no, CAST(CASE WHEN x.n = head THEN asked END AS BIGINT) AS history_prompts FROM e WHERE x.n IS NOT NULL""",
     "asof_context": f"WITH {_CTX} SELECT session_id, line_no, context_line FROM (SELECT *, max(CASE WHEN type = 'turn_context' THEN line_no END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_line FROM h) WHERE payload.type = 'user_message'",
     "interval_history": f"WITH {_CTX} SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, count(*) FILTER (type = 'compacted') AS compactions, count(*) FILTER (payload.type = 'thread_rolled_back') AS rollbacks FROM h WHERE type = 'compacted' OR payload.type = 'thread_rolled_back' GROUP BY ALL",
     "byte_provenance": f"WITH {_REC} SELECT session_id, line_no, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY line_no) AS BIGINT) AS byte_end FROM rec",
