@@ -14,7 +14,7 @@ kept in RocksDB, on disk.  Rows later than the watermark allows would be lost: a
 
 Defined results for odd input: a null session id is a session of its own; rows that are no messages only show that
 their session exists, at the time they arrived; null content, null parts and invisible text make a row no message; equal
-(instant, role, texts) are one message; messages of one instant are ordered user first, then by their texts' hash.
+(instant, role, texts) are one message; messages of one instant are ordered user first, then by their texts.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     once = materialize(rows.groupBy("session_id", "instant", "answer", "hash").agg(F.min("text").alias("text")), "messages")
     # blocks of a day; messages of one instant are few
     before = running(once, ["session_id"], "instant", {"before": ("sum", F.lit(1).cast("bigint"))}, before_only=True, block=86_400_000_000)
-    tie = F.row_number().over(W.partitionBy("session_id", "instant").orderBy("answer", "hash"))
+    tie = F.row_number().over(W.partitionBy("session_id", "instant").orderBy("answer", "text", "hash"))
     return before.select(
         "session_id", (F.coalesce("before", F.lit(0)) + tie - 1).cast("bigint").alias("position"), F.col("instant").alias("instant_us"), F.when(F.col("answer"), "assistant").otherwise("user").alias("role"), "text"
     )

@@ -95,6 +95,16 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_conversations": r"""WITH r AS (SELECT session_id, lower(trim(payload.role)) AS role, list_transform(payload.content, lambda p: p.text) AS texts,
+TRY_CAST(CASE WHEN regexp_matches(trim(timestamp), '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$') THEN trim(timestamp) END AS TIMESTAMPTZ) AS instant
+FROM response_items WHERE type = 'response_item' AND payload.type = 'message'
+AND coalesce(list_bool_or(list_transform(payload.content, lambda p: coalesce(regexp_matches(p.text, '[^\s\p{Z}\p{Cc}\p{Cf}]'), false))), false)),
+m AS (SELECT DISTINCT session_id, instant, texts, CASE WHEN role IN ('user', 'human') THEN 'u' WHEN role IN ('assistant', 'model') THEN 'a' ELSE 'x' END AS who FROM r
+WHERE role IS NULL OR role NOT IN ('system', 'developer', 'tool')),
+o AS (SELECT *, array_to_string(list_filter(texts, lambda t: t IS NOT NULL), chr(10)) AS said FROM m),
+n AS (SELECT *, row_number() OVER w AS k, lead(who) OVER w AS nxt FROM o WINDOW w AS (PARTITION BY session_id ORDER BY instant, who DESC, said, texts)),
+v AS (SELECT session_id FROM n GROUP BY session_id HAVING bool_or(who = 'x' OR instant IS NULL OR (k = 1 AND who = 'a') OR (who = 'u' AND nxt IS DISTINCT FROM 'a')))
+SELECT session_id, k - 1 AS position, epoch_us(instant) AS instant_us, CASE who WHEN 'a' THEN 'assistant' ELSE 'user' END AS role, said AS text FROM n WHERE session_id NOT IN (SELECT session_id FROM v WHERE session_id IS NOT NULL)""",
     "p2_found": r"""WITH r AS (SELECT session_id, lower(trim(payload.role)) AS role, list_transform(payload.content, lambda p: p.text) AS texts,
 TRY_CAST(CASE WHEN regexp_matches(trim(timestamp), '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$') THEN trim(timestamp) END AS TIMESTAMPTZ) AS instant
 FROM response_items WHERE type = 'response_item' AND payload.type = 'message'
