@@ -25,8 +25,8 @@ from loomlog.storage import materialize
 SPIKE_RATIO, SPIKE_ODDS, WINDOW = 8.0, 18.0, 16
 #: A form of words is only a beginning if it stands alone in less than this share of the times that it goes on with a mark.
 ALONE_SHARE = 0.02
-#: Limits are broadcast up to so many sources; beyond that, and for frequent openers, rows are spread over SALTS parts.
-BROADCAST_SOURCES, SALTS = 10_000, 16
+#: Limits and word forms are broadcast up to so many; beyond that, and for frequent openers, rows are spread over SALTS parts.
+BROADCAST_SOURCES, BROADCAST_FORMS, SALTS = 10_000, 10_000, 16
 #: Openers of which at least this share of the sentences lacks a final mark are complete without one.
 UNMARKED_SHARE = 0.5
 #: An opener is known from so many other texts on, a word is rare up to and frequent from so many uses, all as shares of the texts.
@@ -36,7 +36,7 @@ USUAL_SHARE = 0.02
 #: A frequent word that ends texts in a smaller share of its uses ends no text.
 NEVER_FINAL_SHARE = 0.005
 _FINAL = r"[.?!:;…。？！」』”’\"')\]}*>|]$"
-_MARKED = r"[.?!…。？！][\"'”’)\]*]*$"
+_FORMED = r"[\p{L}\p{N}][^\s\p{L}\p{M}.,;:!?'\"]+[\p{L}\p{N}]|\p{N}"
 
 
 def _count(text: str, what: str) -> Column:
@@ -168,9 +168,10 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     pieces = facts.where("not open_fence").select(split.alias("pieces"), "marked")
     last = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), ((i == F.size("pieces") - 1) & F.col("marked")).cast("int").alias("final")))
     vocabulary = pieces.select(F.inline(last)).groupBy("piece").agg(F.count("*").alias("seen"), F.sum("final").alias("final"))
-    # forms of words that others follow: how often each stands alone
-    inner = F.split(F.regexp_replace("unit", r"\s*\S+$", ""), r"\s+")
-    forms = facts.where("not open_fence").select(F.explode(F.transform(inner, form_of)).alias("form")).where("form <> ''").groupBy("form").agg(F.count("*").alias("stands"))
+    # forms of words that others follow: how often each stands alone.  Only words of more than letters have forms to compare
+    inner = F.filter(F.split(F.regexp_replace("unit", r"\s*\S+$", ""), r"\s+"), lambda w: w.rlike(_FORMED))
+    words = facts.where("not open_fence").where(F.col("unit").rlike(_FORMED)).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    forms = words.groupBy(form_of(F.col("word")).alias("form")).agg(F.sum("n").alias("stands")).where("form <> ''")
     # of each form that goes on after a full stop, how often it stands without what follows
     base = F.regexp_extract("form", r"^(.*)\.[a9]$", 1)
     goes_on = forms.where(base != "").groupBy(base.alias("begun")).agg(F.sum("stands").alias("goes_on"))
@@ -204,12 +205,14 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
         .when(unfinished, "sentence")
     )
     judged_ends = doubtful.select("table_name", "record_id", "source", verdict.alias("reason"))
-    plain = facts.where("marked or at_limit or open_fence or broken_char").withColumn("form", F.regexp_replace(form_of(F.col("last_word")), r"\.$", ""))
-    # forms are few and some are frequent: they are spread over SALTS parts
-    partial = partial.withColumn("begins", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dotted = F.col("last_word").endswith(".") & F.col("last_word").rlike(r"[^\p{L}\p{M}.]")
-    plain = plain.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(partial.withColumnRenamed("begun", "form"), ["form", "part"], "left")
-    half = F.coalesce("begins", F.lit(False)) & dotted
+    plain = facts.where("marked or at_limit or open_fence or broken_char").withColumn("form", F.when(F.col("last_word").endswith(".") & F.col("last_word").rlike(_FORMED), F.regexp_replace(form_of(F.col("last_word")), r"\.$", "")))
+    partial = materialize(partial.select(F.col("begun").alias("form"), F.lit(True).alias("begins")), "forms")
+    if partial.count() <= BROADCAST_FORMS:
+        plain = plain.join(F.broadcast(partial), "form", "left")
+    else:  # too many forms to send: spread over SALTS parts, as one may be that of a third of all rows
+        partial = partial.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        plain = plain.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(partial, ["form", "part"], "left")
+    half = F.coalesce("begins", F.lit(False))
     complete = F.col("marked") & ~half & ~F.col("unit").rlike(r"[,;:]$")
     plain = plain.select(
         "table_name",

@@ -133,6 +133,27 @@ def test_beginnings_of_words_do_not_vouch_for_themselves(spark):
         assert got == {k: "word" for k, *_ in rows if k % len(cut + fine) < len(cut)}
 
 
+def test_forms_of_words_are_counted(spark):
+    """Paths go on after their stop everywhere, so one that ends with it was cut; other words with marks end sentences."""
+    rnd = random.Random(5)
+    name = lambda: "_".join(rnd.choices("core probe folder anchor ledger".split(), k=2))
+    fine = [f"Please look at lib/{name()}.{rnd.choice(['py', 'sql'])} and at {name()} before noon." for _ in range(300)] + [f"The fix is in {name()}." for _ in range(40)]
+    cut = ["Please look at lib/core_probe.", "Nothing depends on lib/ledger_anchor."]
+    rows = [(k, "cli", ("m", t), 0, 0) for k, t in enumerate(cut + fine)]
+    got = {r["record_id"]: r["reason"] for r in T.judged(spark.createDataFrame(rows, LINES), spark.createDataFrame([], PARTS)).collect() if r["reason"]}
+    assert got == {0: "word", 1: "word"}
+
+
+def test_spikes_follow_from_the_data(spark):
+    """Five texts of one length are no limit among as many of the lengths below; six where there are none are."""
+    line = lambda n: "x" * (n - 1) + "."
+    even = [("a", line(n)) for n in range(80, 101) for _ in range(5)]
+    alone = [("b", line(n)) for n in (20, 30, 40)] + [("b", line(100))] * 8
+    rows = spark.createDataFrame([(k, s, ("m", t), 0, 0) for k, (s, t) in enumerate(even + alone)], LINES)
+    found = T.limits(T.measured(T.texts(rows, spark.createDataFrame([], PARTS)))).collect()
+    assert [(r["source"], r["limit_length"]) for r in found] == [("b", 100)]
+
+
 # ------------------------------------------------------------------ splitting
 
 
