@@ -167,8 +167,10 @@ def duplicate_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing line numbers between a session's lines, as ranges."""
+    """Missing line numbers between a session's lines, as ranges; every seventh line is left out first, and its next one in even sessions."""
     lines = table(spark, folder, "rollout_lines").select("session_id", "line_no").distinct()
+    twice = F.substring("session_id", 1, 1).isin(*"02468ace")
+    lines = lines.where((F.col("line_no") % 7 != 3) & ~(twice & (F.col("line_no") % 7 == 4)))
     before = running(lines, ["session_id"], "line_no", {"prev": ("max", F.col("line_no"))}, before_only=True)
     return before.where("line_no > prev + 1").select("session_id", (F.col("prev") + 1).alias("gap_start"), (F.col("line_no") - 1).alias("gap_end"))
 
@@ -196,8 +198,9 @@ def member_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeat_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with runs of equal lines compacted beyond two."""
-    return TX.compacted_runs(table(spark, folder, "documents").select("doc_id", "text"), 2)
+    """Documents, each line of which comes up to five times, with runs of equal lines compacted beyond two."""
+    again = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.array_repeat(x, i % 5 + 1)))
+    return TX.compacted_runs(table(spark, folder, "documents").select("doc_id", F.array_join(again, "\n").alias("text")), 2)
 
 
 def long_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,12 +337,13 @@ SELECT coalesce(c.session_id, f.session_id) AS session_id, substring(coalesce(ti
     "account_inventory": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, session_id, type, timestamp, payload) AS k FROM response_items) SELECT source, count(*) AS scanned, count(DISTINCT session_id) AS sessions,
 count(*) FILTER (payload.type = 'message') AS messages, count(*) FILTER (k > 1) AS repeated, count(*) FILTER (session_id IN (SELECT session_id FROM session_catalog WHERE session_id IS NOT NULL AND project_id IS NOT NULL)) AS with_project FROM r GROUP BY source""",
     "duplicate_samples": "SELECT session_id, line_no, k, line_id FROM (SELECT session_id, line_no, line_id, count(*) OVER (PARTITION BY session_id, line_no) AS n, row_number() OVER (PARTITION BY session_id, line_no ORDER BY line_id) AS k FROM rollout_lines) WHERE n > 1 AND k <= 3",
-    "line_gaps": "SELECT session_id, prev + 1 AS gap_start, line_no - 1 AS gap_end FROM (SELECT session_id, line_no, lag(line_no) OVER (PARTITION BY session_id ORDER BY line_no) AS prev FROM (SELECT DISTINCT session_id, line_no FROM rollout_lines)) WHERE line_no > prev + 1",
+    "line_gaps": """SELECT session_id, prev + 1 AS gap_start, line_no - 1 AS gap_end FROM (SELECT session_id, line_no, lag(line_no) OVER (PARTITION BY session_id ORDER BY line_no) AS prev FROM (SELECT DISTINCT session_id, line_no FROM rollout_lines)
+WHERE line_no % 7 <> 3 AND NOT (session_id[1] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AND line_no % 7 = 4)) WHERE line_no > prev + 1""",
     "text_metrics": f"SELECT doc_id, CAST({_TOK} AS BIGINT) AS tokens, CAST({_LINES} AS BIGINT) AS lines, CAST({_FENCE} AS INTEGER) AS fence, {_preview(120)} AS preview FROM documents",
     "title_slugs": rf"SELECT session_id, regexp_replace(substring(CASE WHEN coalesce({_SLUG0}, '') = '' THEN 'thread' ELSE {_SLUG0} END, 1, 80), {_ENDS}, '', 'g') AS slug FROM {_HAS}",
     "search_keys": f"SELECT doc_id, sha256({_SEARCH}) AS key FROM documents",
     "member_sizes": """SELECT member_id, CASE WHEN body_bytes < 1024 THEN body_bytes || 'B' WHEN body_bytes < 1048576 THEN printf('%.1f', body_bytes / 1024) || 'KB' ELSE printf('%.1f', body_bytes / 1048576) || 'MB' END AS size, sha256(body) AS sha256 FROM archive_members""",
-    "repeat_runs": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    "repeat_runs": """WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), l AS (SELECT doc_id, line, p * 10 + unnest(range(1, (p - 1) % 5 + 2)) AS pos FROM l0),
 b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM line AS fresh FROM l), i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS k FROM i) SELECT doc_id, count(*) FILTER (k > 2) AS dropped, sha256(string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 2)) AS sha256 FROM n GROUP BY doc_id HAVING count(*) FILTER (k > 2) > 0""",
     "long_lines": "SELECT doc_id, CAST(pos AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 400",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomlog.functions import extract as E
 from loomlog.operators import classify as K
 from loomlog.operators import lineage as L
 from loomlog.operators import postprocess as P
@@ -100,8 +101,29 @@ def range_merge(spark: SparkSession, folder: str) -> DataFrame:
     return L.merged(L.line_ranges(lines, said)).select("session_id", "line_start", "line_end", "byte_start", "byte_end")
 
 
+def turn_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The turn index of a log in which every prompt comes on a second surface too, right behind the first: the turns stay the same."""
+    lines = rollout_json(spark, folder).withColumn("line_no", F.col("line_no") * 2)
+    prompts = R.events(table(spark, folder, "rollout_lines")).where("payload.type = 'user_message'")
+    part = F.array(F.struct(F.lit("input_text").alias("type"), F.col("payload.message").alias("text")))
+    again = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), part.alias("content")).alias("payload")))
+    every = lines.unionByName(prompts.select("session_id", (F.col("line_no") * 2 + 1).alias("line_no"), again.alias("raw")))
+    turns = T.turn_index(K.classify(every, with_text=False))
+    return turns.select("session_id", "turn_no", (F.col("line_no") / 2).cast("bigint").alias("line_no"), F.nullif("turn_id", F.lit("")).alias("turn_id"), F.size("duplicate_lines").alias("duplicates"))
+
+
+def source_times(spark: SparkSession, folder: str) -> DataFrame:
+    """The time that each event states, wherever: here at the top, in the payload, in an item inside it, or nowhere."""
+    rows = table(spark, folder, "rollout_lines").select("line_id", "timestamp")
+    at = lambda depth: F.pmod("line_id", F.lit(4)) == depth
+    item = F.struct(F.when(at(2), F.col("timestamp")).alias("created_at"))
+    payload = F.struct(F.when(at(1), F.col("timestamp")).alias("time"), item.alias("item"), F.struct(F.lit("no").alias("timestamp")).alias("data"))
+    raw = F.to_json(F.struct(F.when(at(0), F.col("timestamp")).alias("timestamp"), payload.alias("payload")))
+    return TX.mapped(rows.select("line_id", raw.alias("raw")), "line_id", "raw", {"stated": "string"}, lambda t: (E.event_time(E.embedded(t)) or None,))
+
+
 _NAMES = """event_records event_status user_signals turn_index history_events activity_counts parse_audit post_processed turn_excerpt record_excerpt
-range_merge""".split()
+range_merge turn_merge source_times""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -203,6 +225,30 @@ from loomlog.plans.log_queries import _REC  # noqa: E402
 
 _LINES_OF = lambda where: f"{_REC}, {_NL[len(_EV) + 2:]}, sel AS (SELECT nl.* FROM nl SEMI JOIN (SELECT * FROM rec WHERE {where}) USING (session_id, line_no))"
 
+# filters in order (recursive), pairing and blocks in closed form, as in the queries of their own
+_POST = f"""{_ALL}, rr AS (SELECT session_id, line_no, kind, role, source_type, text, command_key, output_key, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n FROM done WHERE table_name = 'rollout_lines' AND recognized),
+kk AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n) AS m FROM rr WHERE kind = 'action' AND (command_key IS NOT NULL OR output_key IS NOT NULL)),
+ff AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS cs, CAST([] AS VARCHAR[]) AS os, false AS kept FROM kk
+UNION ALL SELECT kk.session_id, kk.m, kk.n, CASE WHEN command_key IS NOT NULL AND NOT list_contains(cs, command_key) THEN list_append(cs, command_key)[-12:] ELSE cs END, CASE WHEN output_key IS NOT NULL AND NOT list_contains(os, output_key) THEN list_append(os, output_key)[-3:] ELSE os END,
+NOT coalesce(list_contains(cs, command_key), false) AND NOT coalesce(list_contains(os, output_key), false) FROM ff JOIN kk ON kk.session_id = ff.session_id AND kk.m = ff.m + 1),
+fr AS (SELECT *, kind = 'action' AND command_key IS NOT NULL AND output_key IS NULL AS is_cmd, kind = 'action' AND output_key IS NOT NULL AND command_key IS NULL AS is_out FROM rr
+WHERE NOT (kind = 'action' AND (command_key IS NOT NULL OR output_key IS NOT NULL)) OR EXISTS (SELECT 1 FROM ff WHERE ff.session_id = rr.session_id AND ff.n = rr.n AND ff.kept)),
+sg AS (SELECT *, sum(CASE WHEN is_cmd OR is_out THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY n) AS seg FROM fr),
+lv AS (SELECT *, sum(CASE WHEN is_cmd THEN 1 ELSE -1 END) OVER (PARTITION BY session_id, seg ORDER BY n) AS level FROM sg WHERE is_cmd OR is_out),
+ad AS (SELECT *, is_cmd OR level >= least(coalesce(min(level) OVER (PARTITION BY session_id, seg ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS admitted FROM lv),
+nu AS (SELECT *, row_number() OVER (PARTITION BY session_id, seg, is_cmd ORDER BY n) AS k FROM ad WHERE admitted),
+pr AS (SELECT c.session_id, c.n AS cn, o.n AS orn, c.line_no AS cl, o.line_no AS ol, c.seg, regexp_replace(c.text, '\\s+$', '') || chr(10) || chr(10) || regexp_replace(o.text, '\\s+$', '') AS text, c.text AS alone, c.source_type FROM nu c LEFT JOIN nu o ON o.session_id = c.session_id AND o.seg = c.seg AND o.k = c.k AND o.is_out WHERE c.is_cmd),
+ends AS (SELECT session_id, seg, max(n) AS last_n FROM sg GROUP BY ALL),
+al AS (SELECT session_id, n AS place, 1 AS sub, n AS tie, kind, role, source_type, [line_no] AS source_lines, text, CAST(is_out AS INTEGER) AS ran0 FROM sg WHERE NOT is_cmd AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.session_id = sg.session_id AND pr.orn = sg.n)
+UNION ALL SELECT session_id, orn, 1, cn, 'action', 'tool', source_type, list_sort([cl, ol]), text, 0 FROM pr WHERE orn IS NOT NULL
+UNION ALL SELECT p.session_id, e.last_n, 2, cn, 'action', 'tool', source_type, [cl], alone, 0 FROM pr p JOIN ends e ON e.session_id = p.session_id AND e.seg = p.seg WHERE orn IS NULL),
+isl AS (SELECT *, sum(CASE WHEN kind = 'action' THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY place, sub, tie) AS island FROM al),
+blk AS (SELECT session_id, island, min_by(place, struct_pack(a := place, b := sub, c := tie)) AS place, min_by(sub, struct_pack(a := place, b := sub, c := tie)) AS sub, min_by(tie, struct_pack(a := place, b := sub, c := tie)) AS tie, list_sort(list_distinct(flatten(list(source_lines)))) AS source_lines,
+count(*) FILTER (starts_with(text, 'Ran ')) AS ran, {", ".join(f"CAST(sum(len(regexp_extract_all(text, '(?m)^{v} file$'))) AS BIGINT) AS {v.lower()}" for v in ("Created", "Edited", "Deleted"))} FROM isl WHERE kind = 'action' GROUP BY session_id, island),
+sm AS (SELECT *, concat_ws(', ', {", ".join(f"CASE WHEN {v.lower()} > 0 THEN '{v} ' || {v.lower()} || ' file' || CASE WHEN {v.lower()} = 1 THEN '' ELSE 's' END END" for v in ("Created", "Edited", "Deleted"))},
+CASE WHEN ran > 0 THEN CASE WHEN created + edited + deleted > 0 THEN 'ran ' ELSE 'Ran ' END || ran || ' command' || CASE WHEN ran = 1 THEN '' ELSE 's' END END) AS text FROM blk),
+un AS (SELECT session_id, place, sub, tie, 1 AS own, kind, role, source_type, source_lines, text FROM al UNION ALL SELECT session_id, place, sub, tie, 0, 'note', 'system', 'summary', source_lines, text FROM sm WHERE text <> '')"""
+
 SQL = {
     "event_records": f"WITH {_ALL} SELECT table_name, session_id, line_no, kind, role, source_type, sha256(text) AS text_sha256, command_key, output_key FROM done WHERE recognized",
     "event_status": f"""WITH {_ALL} SELECT table_name, CASE WHEN recognized THEN 'recognized' ELSE 'ignored' END AS status, event, CASE WHEN NOT recognized THEN {_REASONED} END AS reason, count(*) AS n FROM done GROUP BY ALL""",
@@ -210,6 +256,9 @@ SQL = {
     "history_events": f"WITH {_ALL} SELECT session_id, line_no, CASE WHEN has_history THEN 'replacement_history' WHEN p <> '' THEN p ELSE t END AS history, has_history OR t = 'compacted' AS replaces FROM done WHERE table_name = 'rollout_lines' AND (has_history OR t = 'compacted' OR p = 'thread_rolled_back')",
     "activity_counts": f"WITH {_ALL} SELECT table_name, session_id, count(*) AS n FROM done WHERE {_ACTS} AND coalesce(prompt, '') = '' GROUP BY ALL",
     "turn_index": f"WITH RECURSIVE {_TI} SELECT session_id, turn_no, any_value(line_no) AS line_no, nullif(max_by(turn_id, n), '') AS turn_id, any_value(sha) AS text_sha256, 0 AS duplicates FROM fold WHERE turn_no > 0 GROUP BY session_id, turn_no",
+    "post_processed": f"WITH RECURSIVE {_POST} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place, sub, tie, own) AS position, kind, role, source_type, source_lines, sha256(text) AS text_sha256 FROM un",
+    "turn_merge": f"WITH RECURSIVE {_TI} SELECT session_id, turn_no, any_value(line_no) AS line_no, nullif(max_by(turn_id, n), '') AS turn_id, 1 AS duplicates FROM fold WHERE turn_no > 0 GROUP BY session_id, turn_no",
+    "source_times": "SELECT line_id, CASE WHEN line_id % 4 < 3 THEN nullif(trim(timestamp), '') END AS stated FROM rollout_lines",
     "parse_audit": """WITH r AS (SELECT record_id, raw_json, (length(raw_json) - length(replace(raw_json, '":"', ''))) // 3 AS n FROM drift_records),
 x AS (SELECT record_id || ':whole' AS record_id, 'exact' AS status, 0 AS repairs, NULL AS raw FROM r UNION ALL SELECT record_id || ':cut', 'error', 0, left(raw_json, length(raw_json) - 1) FROM r
 UNION ALL SELECT record_id || ':escape', CASE WHEN n > 0 THEN 'repaired_escapes' ELSE 'exact' END, n, CASE WHEN n > 0 THEN replace(raw_json, '":"', '":"\\q') END FROM r

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomlog.functions import context as CX
@@ -9,9 +12,11 @@ from loomlog.functions import text as X
 from loomlog.operators import catalog as C
 from loomlog.operators import records as R
 from loomlog.operators import sequences as Q
+from loomlog.operators import texts as TX
 from loomlog.operators.running import running
 from loomlog.plans.log_queries import is_prompt, is_reply
 from loomlog.sinks import archives, documents, files
+from loomlog.sources import exported
 from loomlog.sources.tables import table
 from loomlog.storage import materialize, scratch_path
 
@@ -151,6 +156,46 @@ def stream_documents(spark: SparkSession, folder: str) -> DataFrame:
     return written.join(back, F.col("session_id") == F.col("s")).select("session_id", "sections", "bytes", "sha256", (F.col("read") == F.col("sha256")).alias("same"))
 
 
+def counted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents under a head that states their own lines and tokens, rendered until the numbers are right."""
+    word = re.compile(r"\w+|[^\w\s]")
+    size = lambda t: (t.count("\n") + (0 if t.endswith(("\n", "\r")) else 1), len(word.findall(t)))
+
+    def counted(text: str) -> tuple[int, int, bool]:
+        whole = documents.with_own_counts(lambda lines, tokens: f"Lines: {lines}\nTokens: {tokens}\n\n{text}", size)
+        lines, tokens = size(whole)
+        return lines, tokens, whole.startswith(f"Lines: {lines}\nTokens: {tokens}\n")
+
+    return TX.mapped(table(spark, folder, "documents").where("text is not null"), "doc_id", "text", {"lines": "bigint", "tokens": "bigint", "stated": "boolean"}, counted)
+
+
+def existing_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents out of earlier exports: plain files, and archives of one document with a manifest that fits it; others are refused."""
+    rows = table(spark, folder, "archive_members").select("member_id", F.coalesce("body", F.lit("")).alias("body"))
+    root = scratch_path(spark, "exports")
+    materialize(files.publish(exported.as_exports(rows), root), "published")
+    if rows.isEmpty():
+        return spark.createDataFrame([], "member_id bigint, refused string, sha256 string")
+    found = exported.read(spark, f"{root}/*")
+    return found.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("member_id"), "refused", F.sha2("text", 256).alias("sha256"))
+
+
+def latest_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log file of the highest member, written after all others: the one with the latest change."""
+    from loomlog.sources import lines
+
+    rows = table(spark, folder, "archive_members").select(F.format_string("sessions/rollout-%s-%d.jsonl", "session_id", "member_id").alias("path"), "member_id", F.encode(F.coalesce("body", F.lit("")), "utf-8").alias("data"))
+    last = rows.agg(F.max("member_id")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], "member_id bigint, session_id string")
+    root = scratch_path(spark, "latest")
+    for part in (rows.where(F.col("member_id") != last), rows.where(F.col("member_id") == last)):
+        materialize(files.publish(part, root), "published")
+        time.sleep(0.05)  # files differ by a tick of the file system's clock
+    found = lines.latest_file(lines.discover(spark, root))
+    return found.select(F.regexp_extract("path", r"-(\d+)\.jsonl$", 1).cast("bigint").alias("member_id"), "session_id")
+
+
 def bundle_index(spark: SparkSession, folder: str) -> DataFrame:
     """Records written by source, and the index of the bundle: rows and sessions of each part, read back from it."""
     root = scratch_path(spark, "bundle")
@@ -192,7 +237,7 @@ def archive_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _NAMES = """session_audit manifest stream_counters mode_chat_actions response_n second_occurrence prefix_lookup catalog_status listing_rows typed_sort capped_samples
-basket session_metadata stream_documents bundle_index publish_outcomes archive_plan""".split()
+basket session_metadata stream_documents bundle_index publish_outcomes archive_plan counted_documents existing_exports latest_log""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ------------------------------------------------------------------------------------------------------------ SQL twins
@@ -231,6 +276,9 @@ SELECT 'repeated' AS sample, line_id FROM a UNION ALL SELECT 'truncated', line_i
     "session_metadata": f"""WITH {_EV}, v AS (SELECT session_id, line_no, 'models' AS field, 'm' || (line_no * 7 % 5) AS value FROM ev WHERE type = 'turn_context' UNION ALL SELECT session_id, line_no, 'sources', source FROM ev WHERE source IS NOT NULL),
 f AS (SELECT session_id, field, value, min(line_no) AS n FROM v GROUP BY ALL) SELECT session_id, field, list(value ORDER BY n) AS values FROM f GROUP BY session_id, field""",
     "stream_documents": f"WITH {_DOC} SELECT session_id, count(*) AS sections, CAST(sum(strlen(data)) AS BIGINT) AS bytes, sha256(string_agg(data, '' ORDER BY line_no)) AS sha256, true AS same FROM d WHERE session_id IS NOT NULL GROUP BY session_id",
+    "counted_documents": f"SELECT doc_id, CAST({_LINES} AS BIGINT) + 3 AS lines, CAST({_TOK} AS BIGINT) + 6 AS tokens, true AS stated FROM documents WHERE text IS NOT NULL AND text <> ''",
+    "existing_exports": """SELECT member_id, CASE member_id % 6 WHEN 2 THEN 'manifest does not fit' WHEN 3 THEN 'not one document' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'unsafe_name' END AS refused, CASE WHEN member_id % 6 < 2 THEN sha256(coalesce(body, '')) END AS sha256 FROM archive_members""",
+    "latest_log": "SELECT member_id, session_id FROM archive_members ORDER BY member_id DESC LIMIT 1",
     "bundle_index": f"WITH {_REC} SELECT source, count(*) AS rows, count(DISTINCT session_id) AS sessions, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM rec GROUP BY source",
     "publish_outcomes": f"""WITH c AS (SELECT session_id, session_id[1] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS changed, unnest(['rename', 'overwrite', 'skip']) AS policy FROM {_HAS})
 SELECT policy, session_id, CASE WHEN NOT changed THEN 'same' WHEN policy = 'rename' THEN 'written' WHEN policy = 'overwrite' THEN 'replaced' ELSE 'skipped' END AS outcome, changed AND policy = 'rename' AS renamed FROM c""",
