@@ -60,6 +60,26 @@ def running(
     return out.drop("_block", "_b", *(f"_k_{k}" for k in keys), *(f"_{p}_{n}" for n in values for p in ("in", "before")))
 
 
+def running_floor(df: DataFrame, keys: list[str], order: str, value: Column, block: int = 4096) -> DataFrame:
+    """df with level, the running sum of value, and low, the least level of the rows before (null if there are none).
+
+    One pass for both: a block is summed up by its sum and the least level inside it, which earlier blocks then move."""
+    rows = df.select("*", F.coalesce(F.floor(F.col(order) / block), F.lit(-1)).alias("_block"), value.alias("_v"))
+    inside = W.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_first())
+    rows = rows.withColumn("_c", F.sum("_v").over(inside.rangeBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_least", F.min("_c").over(inside.rangeBetween(W.unboundedPreceding, -1)))
+    parts = rows.groupBy(*keys, "_block").agg(F.sum("_v").alias("_sum"), F.min("_c").alias("_floor"))
+    across = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0)))
+    parts = parts.withColumn("_before", F.min(F.col("_base") + F.col("_floor")).over(across))
+    earlier = parts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_b"), "_base", "_before")
+    same = F.col("_block") == F.col("_b")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(earlier, same).withColumn("level", F.col("_base") + F.col("_c")).withColumn("low", F.least("_before", F.col("_base") + F.col("_least")))
+    return out.drop("_block", "_v", "_c", "_least", "_b", "_base", "_before", *(f"_k_{k}" for k in keys))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """df with each row's rank (from 1) within its key, for orders of any type; order has to decide every tie.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomlog.operators.folds import fold_sorted
 from loomlog.operators.postprocess import RECENT_COMMANDS, RECENT_OUTPUTS
 from loomlog.operators.records import events
-from loomlog.operators.running import running
+from loomlog.operators.running import running, running_floor
 from loomlog.storage import materialize
 
 
@@ -76,8 +76,7 @@ def paired(records: DataFrame) -> DataFrame:
     # each running step reads its rows twice, so the narrow rows between steps are written once
     rows = running(materialize(rows, "pairing"), ["session_id"], "line_no", {"seg": ("sum", F.when(F.col("is_cmd") | F.col("is_out"), 0).otherwise(1).cast("bigint"))})
     keys, rows = ["session_id", "seg"], materialize(rows.where("is_cmd or is_out"), "pairing")
-    rows = running(rows, keys, "line_no", {"level": ("sum", F.when(F.col("is_cmd"), 1).otherwise(-1).cast("bigint"))})
-    rows = running(materialize(rows, "pairing"), keys, "line_no", {"low": ("min", F.col("level"))}, before_only=True)
+    rows = running_floor(rows, keys, "line_no", F.when(F.col("is_cmd"), 1).otherwise(-1).cast("bigint"))
     rows = materialize(rows.where(F.col("is_cmd") | (F.col("level") >= F.least(F.coalesce("low", F.lit(0)), F.lit(0)))), "pairing")
     one = F.lit(1).cast("bigint")
     rows = running(rows, keys, "line_no", {"nc": ("sum", F.when(F.col("is_cmd"), one)), "no": ("sum", F.when(F.col("is_out"), one))})
@@ -141,8 +140,7 @@ def live_lines(lines: DataFrame) -> DataFrame:
     # each running step reads its rows twice, so the narrow rows between steps are written once
     rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"last": ("max", F.when(F.col("compacted"), F.col("line_no")))}, backwards=True)
     rows = rows.where("last is null or line_no = last").drop("last")  # nothing before the last compaction counts
-    rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"s": ("sum", F.col("step"))})
-    rows = running(materialize(rows, "replay"), ["session_id"], "line_no", {"low_before": ("min", F.col("s"))}, before_only=True)
+    rows = running_floor(materialize(rows, "replay"), ["session_id"], "line_no", F.col("step")).withColumnsRenamed({"level": "s", "low": "low_before"})
     rows = materialize(rows.withColumn("low", F.least("s", "low_before")), "replay")
     rows = rows.withColumn("level", F.col("s") - F.least(F.col("low"), F.lit(0)))
     emptied = F.col("rolled") & (F.col("s") < F.least(F.coalesce("low_before", F.lit(0)), F.lit(0)))

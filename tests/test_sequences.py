@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window as W, functions as F
 
 from loomlog.operators import sequences as Q
-from loomlog.operators.running import ranked, running
+from loomlog.operators.running import ranked, running, running_floor
 
 RECORDS = "session_id string, line_no bigint, kind string, role string, text string, source_type string, command_key string, output_key string"
 
@@ -110,3 +110,17 @@ def test_ranks_equal_a_plain_window(spark):
     want = df.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*order)))
     pick = lambda d: sorted((r["id"], r["rank"]) for r in d.collect())
     assert pick(ranked(df, ["key"], order)) == pick(want)
+
+
+def test_level_and_floor_equal_plain_windows(spark):
+    rnd = random.Random(21)
+    df = spark.createDataFrame([(rnd.choice(["a", "b", None]), k, rnd.choice([-2, -1, 0, 1, 2])) for k in range(500)], "key string, line_no bigint, v bigint")
+    got = {r["line_no"]: (r["level"], r["low"]) for r in running_floor(df, ["key"], "line_no", F.col("v"), block=16).collect()}
+    want = {}
+    for key in ("a", "b", None):
+        level, low = 0, None
+        for r in sorted((r for r in df.collect() if r["key"] == key), key=lambda r: r["line_no"]):
+            level += r["v"]
+            want[r["line_no"]] = (level, low)
+            low = level if low is None else min(low, level)
+    assert got == want
