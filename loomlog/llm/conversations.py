@@ -34,8 +34,12 @@ _VISIBLE = "[^\\s\\p{Z}\\p{Cc}\\p{Cf}\\u034f\\u115f\\u1160\\u17b4\\u17b5\\u180b-
 _OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 _END = datetime(9999, 12, 1)
 _MARK = "\0punctuation"
+#: State on disk, its caches and buffers in a bounded part of each executor's memory, and changes uploaded, not whole stores.
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.numRecentProgressUpdates": "100000",
 }
 

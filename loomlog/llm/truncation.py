@@ -49,9 +49,13 @@ def measures() -> dict[str, Column]:
     newlines = _count("text", "\n")
     html = _count("text", "&") * 4 + (_count("text", "<") + _count("text", ">")) * 3
     quoted = html + _count("text", '"') * 5 + _count("text", "'") * 4
-    short, long = F.regexp_count("text", F.lit(r'["\\\n\t\r\x08\f]')), F.regexp_count("text", F.lit(r"[\x00-\x07\x0b\x0e-\x1f]"))
-    json = short + long * 5
-    utf16 = F.octet_length(F.encode("text", "UTF-16BE")) / 2
+    # other control characters are rare: they are counted only where there are any
+    control = r"[\x00-\x07\x0b\x0e-\x1f]"
+    json = F.regexp_count("text", F.lit(r'["\\\n\t\r\x08\f]')) + F.when(F.col("text").rlike(control), F.regexp_count("text", F.lit(control)) * 5).otherwise(0)
+    plain = size == chars  # nothing but ASCII
+    utf16 = F.when(plain, chars).otherwise(F.octet_length(F.encode("text", "UTF-16BE")) / 2)
+    ascii = chars - F.length(F.regexp_replace("text", r"[\x00-\x7f]+", ""))
+    escaped = F.when(plain, chars).otherwise(ascii + (utf16 - ascii) * 6)
     return {
         "characters": chars,
         "utf8_bytes": size,
@@ -62,7 +66,7 @@ def measures() -> dict[str, Column]:
         "html_quoted_bytes": size + quoted,
         "json_characters": chars + json,
         "json_bytes": size + json,
-        "json_ascii": json + F.octet_length(F.regexp_replace("text", r"[^\x00-\x7f]", "")) + (utf16 - F.length(F.regexp_replace("text", r"[^\x00-\x7f]", ""))) * 6,
+        "json_ascii": json + escaped,
         "crlf_characters": chars + newlines,
         "crlf_bytes": size + newlines,
     }
