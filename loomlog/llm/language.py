@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomlog.storage import materialize
+
 DOCUMENTS_PER_LABEL, SENTENCES_PER_DOCUMENT = 400, 6
 BITS, ORDERS, HELD_OUT = 17, (1, 2, 3, 4), 10
 #: A run of sentences counts for a language from this calibrated posterior on; its prior is the document's leading language.
@@ -110,6 +112,21 @@ def sentences(text: str | None) -> list[tuple[int, str, int]]:
     return out
 
 
+PARSED = "doc_id bigint, label string, offsets array<int>, sentences array<string>, words array<int>"
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """PARSED of every document: its sentences, found once and written, as counting, fitting and judging each read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sentences(t) for t in b.column("text").to_pylist()]
+            parts = [pa.array([[s[k] for s in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *parts], names=["doc_id", "label", "offsets", "sentences", "words"])
+
+    return materialize(documents.select("doc_id", label().alias("label"), "text").mapInArrow(run, PARSED), "sentences")
+
+
 # ------------------------------------------------------------------------------------------------ features
 
 
@@ -301,25 +318,19 @@ def train(texts: list[str], labels: list[str], documents: list[int] | None = Non
 
 
 def training_sample(documents: DataFrame, per_label: int = DOCUMENTS_PER_LABEL, per_document: int = SENTENCES_PER_DOCUMENT) -> DataFrame:
-    """label, text: sentences of a hashed sample with at most about per_label documents of each label."""
-    known = documents.select("doc_id", "text", label().alias("label")).where("label is not null and text is not null")
+    """doc_id, label, text: sentences of a hashed sample of PARSED with at most about per_label documents of each label."""
+    known = documents.select("doc_id", "label", "sentences", "words").where("label is not null")
     counts = known.groupBy("label").agg(F.count("*").alias("n"))  # a row for each language
     picked = known.join(counts, "label").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * per_label / F.col("n"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, name, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-                own = [s for _, s, n in sentences(text) if n >= 3]
-                step = max(1, len(own) // per_document)
-                rows += [(i, name, s) for s in own[::step][:per_document]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "label", "text"])
-
-    return picked.select("doc_id", "label", "text").mapInArrow(cut, "doc_id bigint, label string, text string")
+    own = F.filter("sentences", lambda s, i: F.get("words", i) >= 3)
+    # every step-th sentence, so that they come from the whole text
+    step = F.greatest(F.lit(1), F.floor(F.size("own") / per_document))
+    chosen = F.slice(F.filter("own", lambda s, i: i % step == 0), 1, per_document)
+    return picked.select("doc_id", "label", own.alias("own")).select("doc_id", "label", F.explode(chosen).alias("text"))
 
 
 def frequencies(documents: DataFrame, chunk: int = 200_000) -> tuple[np.ndarray, int]:
-    """In how many sentences of all documents each hashed n-gram occurs, and how many sentences there are.
+    """In how many sentences of all PARSED documents each hashed n-gram occurs, and how many sentences there are.
 
     Counted inside each task, so at most 2 ** BITS counts of it are shuffled."""
 
@@ -327,8 +338,8 @@ def frequencies(documents: DataFrame, chunk: int = 200_000) -> tuple[np.ndarray,
         n, total = np.zeros(1 << BITS, np.int64), 0
         for b in batches:
             met: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                met.update({s for _, s, words in sentences(text) if words >= 3})
+            for found in b.column("sentences").to_pylist():
+                met.update(found)
             texts, times = list(met), np.array(list(met.values()), np.int64)
             total, at = total + int(times.sum()), 0
             while at < len(texts):
@@ -343,14 +354,16 @@ def frequencies(documents: DataFrame, chunk: int = 200_000) -> tuple[np.ndarray,
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *own], pa.int32()), pa.array([total, *n[own]], pa.int64())], names=["feature", "n"])
 
-    counts = documents.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    # a sentence counts once for each document it is in
+    once = documents.select(F.array_distinct(F.filter("sentences", lambda s, i: F.get("words", i) >= 3)).alias("sentences"))
+    counts = once.mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     out, own = np.zeros(1 << BITS, np.int64), counts["feature"] >= 0
     out[counts["feature"][own]] = counts["n"][own]
     return out, int(counts["n"][~own].sum())
 
 
 def fit(documents: DataFrame) -> Model | None:
-    """Model of the labels in documents; None if there are none."""
+    """Model of the labels in PARSED documents; None if there are none."""
     rows = sorted(map(tuple, training_sample(documents).distinct().collect()))
     return train([r[2] for r in rows], [r[1] for r in rows], [r[0] for r in rows], frequencies=frequencies(documents)) if rows else None
 
@@ -396,15 +409,15 @@ def judge(found: list[tuple[int, str, int]], scores: np.ndarray, labels: list[st
 
 
 def segments(documents: DataFrame, model: Model) -> DataFrame:
-    """One row for each segment of each document; whole texts, no shuffle.  The model's size is fixed by BITS."""
+    """One row for each segment of each PARSED document; no shuffle.  The model's size is fixed by BITS."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             rows: list[tuple] = []
-            ids, names, texts = (b.column(c).to_pylist() for c in ("doc_id", "label", "text"))
-            found = [sentences(t) for t in texts]
+            ids, names, offsets, said, words = (b.column(c).to_pylist() for c in ("doc_id", "label", "offsets", "sentences", "words"))
+            found = [list(zip(*f)) for f in zip(offsets, said, words)]
             flat = [s for f in found for _, s, _ in f]
             distinct = list(dict.fromkeys(flat))  # repeated sentences are scored once
             place = {s: k for k, s in enumerate(distinct)}
@@ -417,14 +430,15 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
             names_ = ["doc_id", "label", "segment", "offset", "sentences", "words", "lang", "confidence"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names_)
 
-    return documents.select("doc_id", label().alias("label"), "text").mapInArrow(run, SEGMENTS)
+    return documents.select("doc_id", "label", "offsets", "sentences", "words").mapInArrow(run, SEGMENTS)
 
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id, lang: languages of documents whose label is missing or wrong, and of documents in several languages."""
-    if (model := fit(documents)) is None:
+    rows = parsed(documents)
+    if (model := fit(rows)) is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, lang string")
-    parts = segments(documents, model)
+    parts = segments(rows, model)
     each = parts.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.first("label").alias("label"))
     case = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label"))
     return each.where(case).select("doc_id", F.explode("langs").alias("lang"))
@@ -432,6 +446,7 @@ def found(documents: DataFrame) -> DataFrame:
 
 def labelled(documents: DataFrame) -> DataFrame:
     """doc_id, segment, offset, sentences, lang, confidence of all documents."""
-    if (model := fit(documents)) is None:
+    rows = parsed(documents)
+    if (model := fit(rows)) is None:
         return documents.sparkSession.createDataFrame([], SEGMENTS).drop("label", "words")
-    return segments(documents, model).drop("label", "words")
+    return segments(rows, model).drop("label", "words")

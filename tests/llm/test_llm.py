@@ -348,7 +348,7 @@ def test_gram_frequencies_cover_all_documents(spark, monkeypatch):
             want[f] += 1
     given = {}
     monkeypatch.setattr(G, "train", lambda *a, **k: given.update(k))
-    G.fit(df)
+    G.fit(G.parsed(df))
     assert given["frequencies"][1] == len(every) and given["frequencies"][0].tolist() == want
 
 
