@@ -11,9 +11,9 @@ their ordinals: each begins a tree unless an earlier node above it did.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from loomlog.operators.running import running
+from loomlog.operators.running import ranked
 from loomlog.storage import materialize
 
 
@@ -47,9 +47,13 @@ def preorder(nodes: DataFrame) -> DataFrame:
     forest = materialize(_forest(materialize(rows, "nodes")), "forest")
     # siblings: children of a node, or the beginnings of a tree key, those that are roots first
     group = F.coalesce("parent", _key("tree"))
-    order = F.struct((F.col("parent").isNull() & ~F.col("reached")).cast("int").alias("a"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce("child_no", F.lit((1 << 62)))).alias("b"), F.col("ordinal").alias("c"))
-    sibling = W.partitionBy("group").orderBy("order")
-    placed = materialize(forest.select("*", group.alias("group"), order.alias("order")).withColumn("next", F.lead("node").over(sibling)).withColumn("first", F.row_number().over(sibling) == 1), "siblings")
+    late = F.col("parent").isNull() & ~F.col("reached")
+    child = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce("child_no", F.lit(1 << 62)))
+    numbered = forest.select("*", group.alias("group"), late.cast("int").alias("late"), child.alias("child"))
+    # a node may have a third of all nodes as children: siblings are ranked on ranges, and joined by rank
+    numbered = materialize(ranked(numbered, ["group"], [F.col("late"), F.col("child"), F.col("ordinal")], "k"), "siblings")
+    after = numbered.select(F.col("group").alias("g"), (F.col("k") - 1).alias("before"), F.col("node").alias("next"))
+    placed = materialize(numbered.join(after, (F.col("group") == F.col("g")) & (F.col("k") == F.col("before")), "left").withColumn("first", F.col("k") == 1), "siblings")
     firsts = placed.where("first and parent is not null").select(F.col("parent").alias("f"), F.col("node").alias("first_child"))
     tour = placed.join(firsts, F.col("node") == F.col("f"), "left")
     enter, leave = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))

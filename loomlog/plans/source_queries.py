@@ -205,7 +205,7 @@ def archive_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Members of each session in ZIP parts below a cap, written, read back, verified and put together again."""
     rows = table(spark, folder, "archive_members")
     parts = archives.archives(rows, CAP)
-    name = F.format_string("%s-%04d.zip", "session_id", "part_no")
+    name = F.format_string("%s-%06d-%04d.zip", "session_id", "set_no", "part_no")
     root = _publish(parts.select(name.alias("path"), "data"), "archives")
     if rows.isEmpty():
         return spark.createDataFrame([], "member_id bigint, bytes bigint, sha256 string, whole boolean")

@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomlog.operators.chunks import cut
 from loomlog.operators.folds import ordered_sha256
+from loomlog.operators.running import running
+from loomlog.storage import materialize
 
 INDEX = "INDEX.json"
 #: Bytes of a member's headers, of the archive's end, and of an index entry beside its names.
 MEMBER_BYTES, END_BYTES, ENTRY_BYTES = 76 + 16, 22, 200
 #: Sets of up to so many pieces are searched for the least number of parts, in so many steps.
 EXACT_PIECES, EXACT_STEPS = 28, 100_000
+#: Bytes of members that are packed together.
+SET_BYTES = 16 << 20
 
 
 def first_fit_decreasing(sizes: list[int], cap: int) -> list[list[int]]:
@@ -140,12 +144,18 @@ def planned(members: list[tuple[int, bytes]], cap: int) -> tuple[list[list[tuple
     return [[pieces[i] for i in sorted(g)] for g in groups], proved
 
 
-ARCHIVED = "session_id string, part_no int, parts int, proved boolean, data binary"
+ARCHIVED = "session_id string, set_no bigint, part_no int, parts int, proved boolean, data binary"
 
 
-def archives(members: DataFrame, cap: int) -> DataFrame:
-    """ARCHIVED: the members of each session in ZIP parts of at most cap bytes.  A session's members are one task's work: they
-    become files that one reader opens."""
+def archives(members: DataFrame, cap: int, set_bytes: int = SET_BYTES) -> DataFrame:
+    """ARCHIVED: the members of each session in ZIP parts of at most cap bytes.
+
+    A session's members, in order, are cut into sets of about set_bytes, so that one with a third of all bytes is spread;
+    parts are numbered within their set."""
+    sizes = materialize(members.select("session_id", "member_id", F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint").alias("size")), "sizes")
+    upto = running(sizes, ["session_id"], "member_id", {"upto": ("sum", F.col("size"))})
+    sets = upto.select(F.col("session_id").alias("s"), F.col("member_id").alias("m"), F.floor((F.col("upto") - F.col("size")) / set_bytes).alias("set_no")).distinct()
+    rows = members.select("session_id", "member_id", "original", "body").join(sets, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("member_id") == F.col("m")))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["member_id"].to_pylist(), table["original"].to_pylist(), table["body"].to_pylist()))
@@ -159,11 +169,11 @@ def archives(members: DataFrame, cap: int) -> DataFrame:
                 name = f"{i:08d}-{start:012d}.bytes"
                 held[name] = data[start:end]
                 index.append({"member": name, "id": i, "offset": start, "bytes": end - start, "sha256": hashlib.sha256(data[start:end]).hexdigest(), "original_bytes": size, "original_sha256": hashlib.sha256(data).hexdigest()})
-            out.append((key[0].as_py(), no, len(parts), proved, zipped(held, index)))
-        types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            out.append((key[0].as_py(), key[1].as_py(), no, len(parts), proved, zipped(held, index)))
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         return pa.table({c.split()[0]: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(ARCHIVED.split(", "), types))})
 
-    return members.select("session_id", "member_id", "original", "body").groupBy("session_id").applyInArrow(run, ARCHIVED)
+    return rows.select("session_id", "set_no", "member_id", "original", "body").groupBy("session_id", "set_no").applyInArrow(run, ARCHIVED)
 
 
 PROBLEMS = ("unreadable", "encrypted", "duplicate_name", "unsafe_name", "bad_content", "no_index", "not_in_index", "missing_member", "wrong_hash")

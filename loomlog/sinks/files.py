@@ -19,7 +19,9 @@ PUBLISHED = "path string, written_path string, bytes bigint, sha256 string, outc
 
 
 def local_path(path: str) -> str:
-    """The path of a file URI on a shared mount."""
+    """The path of a file URI on a shared mount; other file systems raise, as Python cannot open their files."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"not on a mounted file system: {path}")
     return path[len("file:") :].replace("///", "/") if path.startswith("file:") else path
 
 

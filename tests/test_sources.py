@@ -153,6 +153,9 @@ def test_archives_under_a_cap(spark, tmp_path):
     assert all(len(p["data"]) <= 4096 for p in parts) and len([p for p in parts if p["session_id"] == "s"]) > 3
     rows = [r for p in parts for r in archives.check(bytes(p["data"]))]
     assert all(r[0] is None for r in rows)
+    sets = archives.archives(df, 4096, set_bytes=8000).collect()
+    pieces = [r[2:4] for p in sets for r in archives.check(bytes(p["data"]))]
+    assert len({p["set_no"] for p in sets if p["session_id"] == "s"}) > 1 and len(pieces) == len(set(pieces)) and {i for i, _ in pieces} == {0, 1, 2, 3, 4, 9}
     for k, body in enumerate(bodies):
         own = sorted((r[3], r[7]) for r in rows if r[2] == k)
         assert b"".join(d for _, d in own) == body.encode() and own[0][0] == 0
@@ -213,6 +216,12 @@ def test_documents_state_their_own_counts_and_are_no_sources(tmp_path):
     assert files.same_place(str(a), f"file://{b}") and not files.same_place(str(a), str(tmp_path / "c"))
 
 
+def test_only_mounted_paths_are_opened():
+    assert files.local_path("file:///a/b") == files.local_path("file:/a/b") == files.local_path("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        files.local_path("hdfs://host/a")
+
+
 def test_tails():
     assert chunks.tail(b"abc", 10) == b"abc" and chunks.tail("é".encode() * 4, 3) == "é".encode()
     assert chunks.tail(b"x" * 10 + b"\n" + b"y" * 8, 10) == b"y" * 8 and chunks.tail(b"x" * 10 + b"\nab", 8) == b"xxxxx\nab"
