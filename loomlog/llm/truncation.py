@@ -36,7 +36,8 @@ USUAL_SHARE = 0.02
 #: A frequent word that ends texts in a smaller share of its uses ends no text.
 NEVER_FINAL_SHARE = 0.005
 _FINAL = r"[.?!:;…。？！」』”’\"')\]}*>|]$"
-_FORMED = r"[\p{L}\p{N}][^\s\p{L}\p{M}.,;:!?'\"]+[\p{L}\p{N}]|\p{N}"
+#: Words with a mark inside, such as paths and identifiers; only these have forms to compare.
+_FORMED = r"[A-Za-z0-9][/_\\@#=+&|~-]+[A-Za-z0-9]"
 
 
 def _count(text: str, what: str) -> Column:
@@ -172,13 +173,14 @@ def judged(lines: DataFrame, items: DataFrame) -> DataFrame:
     pieces = facts.where("not open_fence").select(split.alias("pieces"), "marked")
     last = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), ((i == F.size("pieces") - 1) & F.col("marked")).cast("int").alias("final")))
     vocabulary = pieces.select(F.inline(last)).groupBy("piece").agg(F.count("*").alias("seen"), F.sum("final").alias("final"))
-    # forms of words that others follow: how often each stands alone.  Only words of more than letters have forms to compare
-    inner = F.filter(F.split(F.regexp_replace("unit", r"\s*\S+$", ""), r"\s+"), lambda w: w.rlike(_FORMED))
+    # forms of words that others follow: how often each stands alone
+    every = F.split("unit", r"\s+")
+    inner = F.filter(F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))), lambda w: w.rlike(_FORMED))
     words = facts.where("not open_fence").where(F.col("unit").rlike(_FORMED)).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     forms = words.groupBy(form_of(F.col("word")).alias("form")).agg(F.sum("n").alias("stands")).where("form <> ''")
     # of each form that goes on after a full stop, how often it stands without what follows
     base = F.regexp_extract("form", r"^(.*)\.[a9]$", 1)
-    goes_on = forms.where(base != "").groupBy(base.alias("begun")).agg(F.sum("stands").alias("goes_on"))
+    goes_on = forms.where(base.rlike("[^a9.]")).groupBy(base.alias("begun")).agg(F.sum("stands").alias("goes_on"))
     partial = goes_on.join(forms, F.col("begun") == F.col("form"), "left").where(F.coalesce("stands", F.lit(0)) < ALONE_SHARE * F.col("goes_on")).where(F.col("goes_on") >= F.lit(KNOWN_SHARE) * total).select("begun")
 
     # letters that are a word of their own, not the end of a hash
